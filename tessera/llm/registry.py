@@ -6,6 +6,8 @@ from importlib import import_module
 
 _NAMES = {
     "op1_packing": "packing",
+    "op7_decontamination": "decontaminate",
+    "op10_secrets": "secrets",
 }
 
 QUERIES = {name: getattr(import_module(f"tessera.llm.{module}"), name) for name, module in _NAMES.items()}
