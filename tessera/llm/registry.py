@@ -6,7 +6,9 @@ from importlib import import_module
 
 _NAMES = {
     "op1_packing": "packing",
+    "op3_toxicity": "toxicity",
     "op7_decontamination": "decontaminate",
+    "op8_langid": "langid",
     "op10_secrets": "secrets",
 }
 
