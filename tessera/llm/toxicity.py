@@ -1,8 +1,8 @@
 """Toxicity: cumulative-link ordinal regression on sparse word features.
 
 One weight vector serves all ordered thresholds: P(grade > k) = sigmoid(w . x - theta_k) with theta
-increasing. Features are the logarithms of the counts of words and word pairs, by 64-bit hashes; the
-vocabulary and the weights come from a bounded sample of labelled texts, trained by FTRL-proximal
+increasing. Features are the logarithms of the counts of words and of the first bytes of longer words
+(abuse is inflected), by 64-bit hashes; the vocabulary and the weights come from a bounded sample of labelled texts, trained by FTRL-proximal
 with an L1 penalty, so that only telling words keep a weight and the length of a text has no say.
 The model is a sorted list of hashes with weights, broadcast to score every text in one pass.
 """
@@ -19,17 +19,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm import rowmap
 from tessera.llm.decontaminate import INSIDE
-from tessera.llm.textblocks import Words, blocks, gram_hashes, word_hashes
+from tessera.llm.textblocks import LOWER, Words, blocks, prefix_hashes, range_hashes
 
 
 @dataclass(frozen=True)
 class ToxSpec:
     """per_grade: expected texts of each label in the sample that the model is fitted on; min_texts: of a feature, in it."""
 
-    per_grade: int = 3000
+    per_grade: int = 4000
     min_texts: int = 5
     max_features: int = 200_000
-    epochs: int = 4
+    epochs: int = 6
     alpha: float = 0.3
     beta: float = 1.0
     l1: float = 2.0
@@ -43,12 +43,25 @@ class ToxModel:
     thresholds: np.ndarray
 
 
-def _features(block) -> Iterator[np.ndarray]:
-    """For each row the hashes of its words and word pairs, with repeats."""
+PREFIXES = (4, 5, 6)
+
+
+def feature_hashes(block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, row) of every word and of the prefixes of every longer word, with repeats, a kind at a time."""
     words = Words(block, INSIDE)
-    h = word_hashes(block, words, lower=True)
-    for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True):
-        yield np.concatenate([h[a:b], gram_hashes(h[a:b], 2)])
+    c = prefix_hashes(LOWER[block.data])
+    yield range_hashes(c, words.starts, words.ends), words.rows
+    for n in PREFIXES:
+        longer = np.flatnonzero(words.ends - words.starts > n)
+        starts = words.starts[longer]
+        yield range_hashes(c, starts, starts + n) ^ np.uint64(n), words.rows[longer]
+
+
+def _features(block) -> Iterator[np.ndarray]:
+    """For each row the hashes of its features, with repeats."""
+    kinds = [(h, np.searchsorted(rows, np.arange(block.rows + 1))) for h, rows in feature_hashes(block)]
+    for i in range(block.rows):
+        yield np.concatenate([h[at[i] : at[i + 1]] for h, at in kinds])
 
 
 def _sigmoid(x):
@@ -171,14 +184,9 @@ def score(docs: DataFrame, model: ToxModel | None) -> DataFrame:
                 seen = np.zeros(1 << bits, bool)
                 shift = np.uint64(64 - bits)
                 seen[m.hashes >> shift] = True
-                h = word_hashes(block, words, lower=True)
-                pairs = gram_hashes(h, 2)
-                pair_rows = words.rows[: len(pairs)].copy()
-                pair_rows[pair_rows != words.rows[len(words.rows) - len(pairs) :]] = -1
                 rows, ids = [], []
-                for g, own in ((h, words.rows), (pairs, pair_rows)):
+                for g, own in feature_hashes(block):
                     at = np.flatnonzero(seen[g >> shift])
-                    at = at[own[at] >= 0]
                     where = np.minimum(np.searchsorted(m.hashes, g[at]), len(m.hashes) - 1)
                     hit = m.hashes[where] == g[at]
                     rows.append(own[at][hit])
