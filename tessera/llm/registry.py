@@ -7,6 +7,7 @@ from importlib import import_module
 _NAMES = {
     "op1_packing": "packing",
     "op3_toxicity": "toxicity",
+    "op5_quality": "quality",
     "op7_decontamination": "decontaminate",
     "op8_langid": "langid",
     "op10_secrets": "secrets",
