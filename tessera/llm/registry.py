@@ -6,8 +6,10 @@ from importlib import import_module
 
 _NAMES = {
     "op1_packing": "packing",
+    "op2_suffix_dedup": "suffix_dedup",
     "op3_toxicity": "toxicity",
     "op5_quality": "quality",
+    "op6_phrase_dedup": "phrase_dedup",
     "op7_decontamination": "decontaminate",
     "op8_langid": "langid",
     "op10_secrets": "secrets",
