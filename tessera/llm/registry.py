@@ -8,6 +8,7 @@ _NAMES = {
     "op1_packing": "packing",
     "op2_suffix_dedup": "suffix_dedup",
     "op3_toxicity": "toxicity",
+    "op4_jaccard_join": "jaccard",
     "op5_quality": "quality",
     "op6_phrase_dedup": "phrase_dedup",
     "op7_decontamination": "decontaminate",
