@@ -13,6 +13,7 @@ _NAMES = {
     "op6_phrase_dedup": "phrase_dedup",
     "op7_decontamination": "decontaminate",
     "op8_langid": "langid",
+    "op9_training_order": "training_order",
     "op10_secrets": "secrets",
 }
 
