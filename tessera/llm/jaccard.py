@@ -1,10 +1,11 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Documents are sets of word shingles. Equal sets are one entry with its number of copies. Two sets that
-reach the threshold share one of their rarest shingles (prefix filter; rarity is estimated from a
+reach the threshold share several of their rarest shingles (prefix filter; rarity is estimated from a
 sketch of word counts of the whole corpus, and any order would be right). Every set lives in the
-bucket of the smallest shared shingle of its prefix, and is sent as a query to the buckets in which a
-set with a common prefix shingle of a fitting size lives. In a bucket the DivideSkip search counts, for
+bucket of the most widely shared shingle of its prefix, which most of a group of near copies have in
+common, and is sent as a query to the buckets with whose
+sets it shares as many prefix shingles as any linked set would. In a bucket the DivideSkip search counts, for
 each query, in how many of its inverted lists each set occurs: short lists are merged, and the sets
 that can still reach the required overlap are looked up in the long lists by binary search. A bucket
 with many sets or queries is split into blocks of both.
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import rowmap
-from tessera.llm.anchors import _partitions
 from tessera.llm.components import components
 from tessera.llm.textblocks import SPACE, Words, blocks, gram_hashes, mix, word_hashes
 
@@ -79,8 +79,18 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def prefix_share(n: int) -> int:
+    """How many prefix shingles two linked sets of n shingles at least have in common; it grows with n."""
+    return max(1, n // 20)
+
+
+def _prefix_share_of_linked(n: F.Column, percent: int) -> F.Column:
+    """What a set of n shingles shares at least with any linked one, which has percent % of n at least."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) / 20).cast("long"))
+
+
 def prefixes(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
-    """(token, doc_id, n): of every set the rarest shingles, one of which any linked set has among its own."""
+    """(token, doc_id, n): of every set the rarest shingles, of which any linked set has some among its own (see prefix_share)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, shift = levels.value, np.uint64(64 - SKETCH_BITS)
@@ -89,7 +99,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
             lengths = []
             for found, at, words in shingle_sets(batch.column(1), k):
                 n = len(found)
-                keep = n - least_overlap(n, percent) + 1 if n else 0
+                keep = n - least_overlap(n, percent) + prefix_share(n) if n else 0
                 if n > 1:
                     own = np.concatenate([[0], np.cumsum(level[words >> shift])])
                     # in whole steps, so that an estimate and not its noise decides; the hash does among equals
@@ -207,14 +217,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     whole = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     reps = sets.select(F.col("rep").alias("doc_id"), "copies")
 
-    dealt = prefixes(whole.join(reps, "doc_id", "left_semi"), k, percent, levels).repartition(_partitions(docs), "token")
-    several = dealt.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    shared = rowmap.written(dealt.join(several.hint("shuffle_hash"), "token", "left_semi"), "prefixes")
-    homes = rowmap.written(shared.groupBy("doc_id", "n").agg(F.min("token").alias("home")), "homes")
+    # dealt out by token once: the counts read the same exchange as the join, since they ask for every column
+    dealt = prefixes(whole.join(reps, "doc_id", "left_semi"), k, percent, levels).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
+    counted = dealt.groupBy("token").agg(F.count("*").alias("m"), F.max("doc_id").alias("d"), F.max("n").alias("s")).where("m > 1 and d is not null and s is not null")
+    several = counted.select(F.col("token").alias("_token"), "m").hint("shuffle_hash")
+    shared = rowmap.written(dealt.join(several, F.col("token") == F.col("_token")).drop("_token"), "prefixes")
+    homes = shared.groupBy("doc_id", "n").agg(F.max(F.struct("m", "token")).alias("most"), F.count("*").alias("has"))
+    homes = rowmap.written(homes.where(F.col("has") >= _prefix_share_of_linked(F.col("n"), percent)).select("doc_id", "n", F.col("most.token").alias("home")), "homes")
+    housed = shared.drop("m").join(homes, ["doc_id", "n"])
 
-    at = shared.join(homes, ["doc_id", "n"]).groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    at = housed.groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     fits = (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
-    queries = rowmap.written(shared.join(at, "token").where(fits).select("doc_id", "home").distinct(), "queries")
+    asks = housed.drop("home").join(at, "token").where(fits).groupBy("doc_id", "n", "home").agg(F.count("*").alias("has"))
+    queries = rowmap.written(asks.where(F.col("has") >= _prefix_share_of_linked(F.col("n"), percent)).select("doc_id", "home").distinct(), "queries")
     # buckets that hold more than one document, or are asked by another
     members = homes.select("doc_id", "home").distinct()
     size = members.groupBy("home").agg(F.count("*").alias("members")).join(queries.groupBy("home").agg(F.count("*").alias("asked")), "home").where("asked > 1")
