@@ -199,3 +199,36 @@ def search_lists(queries: DataFrame, lists_: DataFrame, codebook: DataFrame, pq:
     d2 = F.aggregate(F.transform("codes", lambda c, q: F.element_at("lut", q * size + c + 1)), F.lit(0.0), lambda a, x: a + x)
     found = lists_.join(luts, "vw").select("query_id", "vw", "vec_id", d2.alias("d2"))
     return nearest(found, k)
+
+
+def distance_scores(found: DataFrame, kind: int, sigma: float, k: int) -> DataFrame:
+    """found (query_id, dqid, d2, ...) with `score` by one of the distance weights 0, 1, 2, 4, 5, 6, 8.
+
+    0 and 1 fall linearly with the distance up to a threshold (of the query, of the query point); 2 is a
+    Gaussian, 4 and 6 exponentials scaled by the largest or a low quantile of the point's squared
+    distances, 5 a reciprocal, 8 exponentials that sum to one for each point. There is no weight 3.
+    """
+    d, point = F.col("d2"), Window.partitionBy("query_id", "dqid")
+    most = F.max("d2").over(point)
+    if kind == 0:
+        score = 1 - F.sqrt(d) / F.sqrt((1 + sigma) * F.max("d2").over(Window.partitionBy("query_id")))
+    elif kind == 1:
+        score = 1 - F.sqrt(d) / F.sqrt(sigma * most)
+    elif kind == 2:
+        score = F.exp(-d / (4 * sigma * most))
+    elif kind == 4:
+        score = F.exp(-d / (most * sigma))
+    elif kind == 5:
+        score = 1 / (d + sigma)
+    elif kind == 6:
+        real = F.when(d > 1e-4, d)
+        rank = F.when(d > 1e-4, F.row_number().over(point.orderBy(F.when(d > 1e-4, 0).otherwise(1), F.round("d2", 9), "vec_id")))
+        found = found.withColumn("_r", rank).withColumn("_at", F.floor(F.count(real).over(point) * (k // 4) / k) + 1)
+        found = found.withColumn("_t", F.max(F.when(F.col("_r") == F.col("_at"), d)).over(point))
+        score = F.exp(-d / (F.col("_t") * sigma))
+    elif kind == 8:
+        found = found.withColumn("_e", F.when(d > 0, F.exp(-d / (most * sigma))).otherwise(0.0))
+        score = F.try_divide(F.col("_e"), F.sum("_e").over(point))
+    else:
+        raise ValueError(f"no distance weight {kind}")
+    return found.withColumn("score", score).drop("_r", "_at", "_t", "_e")

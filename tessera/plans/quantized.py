@@ -140,3 +140,49 @@ def _(spark, sf):
 @query("ivfpq_search_vw", P + "SELECT query_id, vw, vec_id" + _TOP)
 def _(spark, sf):
     return _found(spark, sf).select("query_id", "vw", "vec_id")
+
+
+# the lists' neighbours as votes for images, with scale weights and weak geometry -------------------
+
+_SIGMA = 0.5
+_POINT = "(PARTITION BY query_id)"
+_WEIGHTS = {
+    0: f"1 - sqrt(d2) / sqrt((1 + {_SIGMA}) * max(d2) OVER ())",
+    1: f"1 - sqrt(d2) / sqrt({_SIGMA} * max(d2) OVER {_POINT})",
+    2: f"exp(-d2 / (4 * {_SIGMA} * max(d2) OVER {_POINT}))",
+    4: f"exp(-d2 / (max(d2) OVER {_POINT} * {_SIGMA}))",
+    5: f"1 / (d2 + {_SIGMA})",
+    6: f"exp(-d2 / (t * {_SIGMA}))",
+    8: f"CASE WHEN d2 > 0 THEN exp(-d2 / (max(d2) OVER {_POINT} * {_SIGMA})) ELSE 0 END / sum(CASE WHEN d2 > 0 THEN exp(-d2 / (mx * {_SIGMA})) ELSE 0 END) OVER {_POINT}",
+}
+
+
+def _geo_sql(weight: str) -> str:
+    return P[:-1] + f""", nn AS (SELECT * FROM ivf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), vec_id) <= 10
+), mm AS (SELECT *, max(d2) OVER {_POINT} AS mx, count(*) FILTER (d2 > 1e-4) OVER {_POINT} AS j, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN d2 > 1e-4 THEN 0 ELSE 1 END, round(d2, 9), vec_id) AS r FROM nn
+), qq AS (SELECT *, max(CASE WHEN r = floor(j * 2 / 10.0) + 1 THEN d2 END) OVER {_POINT} AS t FROM mm
+), gs AS (SELECT *, {weight} AS f FROM qq
+), gv AS (SELECT q.image_id AS query_id, p.image_id, gs.f * w.w * w.w * exp(least(q.qscale, p.qscale) * 0.06::DOUBLE) AS s, (p.qangle - q.qangle + 64) % 64 AS da, p.qscale - q.qscale + 31 AS ds
+          FROM gs JOIN post q ON q.vec_id = gs.query_id JOIN post p ON p.vec_id = gs.vec_id JOIN words w ON w.vw = gs.vw
+), gb AS (SELECT query_id, image_id, 'angle' AS dim, da AS bin, sum(s) AS s FROM gv GROUP BY ALL UNION ALL SELECT query_id, image_id, 'scale' AS dim, ds AS bin, sum(s) AS s FROM gv GROUP BY ALL
+), gm AS (SELECT query_id, image_id, dim, bin + o.o AS bin, sum(s * wt) AS s FROM gb JOIN wgcw USING (dim, bin) CROSS JOIN (SELECT unnest(range(0, 5)) AS o) o WHERE bin + o.o >= 4 AND bin + o.o < CASE WHEN dim = 'angle' THEN 64 ELSE 63 END GROUP BY ALL)
+SELECT query_id, image_id, round(min(m), 5) + 0.0 AS score FROM (SELECT query_id, image_id, dim, max(s) AS m FROM gm GROUP BY ALL) GROUP BY query_id, image_id"""
+
+
+for _kind, _weight in _WEIGHTS.items():
+
+    @query(f"ivfpq_geo_w{_kind}", _geo_sql(_weight))
+    def _(spark, sf, kind=_kind):
+        from tessera.operators import inverted
+        from tessera.plans.fixtures import assigned
+
+        found = _found(spark, sf).select(F.col("query_id").alias("qvec"), "vw", "vec_id", "d2")
+        geo = inverted.with_geometry(descriptors(spark, sf)).select("vec_id", "image_id", "pt", "qscale", "qangle")
+        asked = geo.select(F.col("vec_id").alias("qvec"), F.col("image_id").alias("query_id"), F.col("pt").alias("dqid"), F.col("qscale").alias("qs"), F.col("qangle").alias("qa"))
+        scored = pq.distance_scores(found.join(asked, "qvec"), kind, _SIGMA, 10)
+        words = inverted.word_weights(assigned(spark, sf), codebook(spark, sf)).select("vw", "w")
+        voted = scored.join(geo, "vec_id").join(words, "vw")
+        score = F.col("score") * F.col("w") * F.col("w") * F.exp(F.least("qscale", "qs") * 0.06)
+        voted = voted.select("query_id", "image_id", score.alias("score"), F.pmod(F.col("qangle") - F.col("qa"), F.lit(64)).alias("da"), (F.col("qscale") - F.col("qs") + 31).alias("ds"))
+        out = inverted.geometric_scores(inverted.histograms(voted), inverted.wgc_weights(spark), 5)
+        return out.select("query_id", "image_id", (F.round("score", 5) + 0.0).alias("score"))
