@@ -2,9 +2,11 @@
 
 Every window of `window` consecutive units (bytes or words) is owned by one of its grams of `gram`
 units: the one with the smallest hash, the leftmost among equals. Equal windows therefore have the
-same owner. Consecutive windows of a text with the same owner form an occurrence: a row with the
-owner's hash (the anchor), a hash of the units that the windows span (the passage), and their place.
-There are about 2 / (window - gram + 2) rows for each unit.
+same owner. Consecutive windows of a text with the same owner form an occurrence, with the
+owner's hash (the anchor), a hash of the units that the windows span (the passage), and its place.
+A row holds the places that a passage has in a document, so that an anchor has a row for each document
+and passage at most, however often a document repeats itself. There are about 2 / (window - gram + 2)
+rows for each unit.
 
 Two windows can only be equal if their anchors are. `shared_occurrences` keeps the rows of the anchors
 that more than one document (or place) has; from these the operators take one representative of each
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.textblocks import SPACE, Words, blocks, gram_hashes, mix, powers, prefix_hashes, range_hashes, sliding, word_hashes
 
 _CHUNK = 1 << 22
+_SEGMENT = 256
 _BITS = np.uint64(24)
 _LOW = np.uint64((1 << 24) - 1)
 _WORD_BASE = 0x9E3779B97F4A7C15 | 1
@@ -89,59 +92,73 @@ def block_occurrences(block, units, window: int, gram: int) -> tuple[np.ndarray,
     return row, s - bounds[row], n, anchor, passage(s, s + n - 1 + window)
 
 
+COLUMNS = "anchor long, passage long, doc_id long, places array<long>"
+
+
+def _gathered(ids: np.ndarray, row: np.ndarray, s: np.ndarray, n: np.ndarray, anchor: np.ndarray, passage: np.ndarray) -> pa.RecordBatch:
+    """A row for each document (row) and passage, with all its places, in the order of the first."""
+    place = s * 256 + n
+    key = anchor ^ mix(passage + row.astype(np.uint64) * np.uint64(_WORD_BASE))
+    _, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    if len(first) < len(key):
+        place = place[np.argsort(first[inverse], kind="stable")]
+        by = np.argsort(first)
+        first, counts = first[by], counts[by]
+    else:
+        first = np.arange(len(key))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    columns = [pa.array(c, pa.int64()) for c in (anchor[first].view(np.int64), passage[first].view(np.int64), ids[row[first]])]
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(place, pa.int64()))], ["anchor", "passage", "doc_id", "places"])
+
+
 def occurrences(docs: DataFrame, units, window: int, gram: int) -> DataFrame:
-    """(anchor, passage, doc_id, place) of docs; place = start * 256 + windows. Rows without doc_id or text have none."""
+    """(anchor, passage, doc_id, places) of docs; a place is start * 256 + windows. Rows without doc_id or text have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for block in blocks(batch.column(1)):
-                row, s, n, anchor, passage = block_occurrences(block, units, window, gram)
-                columns = [anchor.view(np.int64), passage.view(np.int64), ids[block.first + row], s * 256 + n]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "passage", "doc_id", "place"])
+                yield _gathered(ids[block.first : block.first + block.rows], *block_occurrences(block, units, window, gram))
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "anchor long, passage long, doc_id long, place long")
+    return rows.mapInArrow(run, COLUMNS)
 
 
 def shared_occurrences(found: DataFrame, in_two_documents: bool) -> DataFrame:
-    """The rows of anchors that two documents, or else two places, have.
+    """The rows of anchors that two documents, or else two places, have, with `alone`: whether the anchor has one passage only.
 
-    The rows are dealt out by their anchor once; the sums and the semi join work on that.
+    The rows are dealt out by their anchor once: the sums read the same exchange as the join (they ask
+    for every column, since a narrower exchange would be another one).
     """
-    dealt = found.repartition(_partitions(found), "anchor")
-    if in_two_documents:
-        several = dealt.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    else:
-        several = dealt.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    return dealt.join(several.select("anchor").hint("shuffle_hash"), "anchor", "left_semi")
-
-
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "anchor")
+    sums = dealt.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(F.size("places")).alias("m"), F.min("passage").alias("p"), F.max("passage").alias("q"))
+    several = sums.where((F.col("lo") < F.col("hi")) if in_two_documents else ((F.col("m") > 1) & F.col("hi").isNotNull()))
+    several = several.where("m > 0").select(F.col("anchor").alias("_anchor"), (F.col("p") == F.col("q")).alias("alone"))
+    return dealt.join(several.hint("shuffle_hash"), F.col("anchor") == F.col("_anchor")).drop("_anchor")
 
 
 def _with_text(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(doc_id, text, items) of the documents of places; items are its rows as structs."""
     n = F.col("n") if "n" in places.columns else F.lit(1).cast("long").alias("n")
-    items = places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "passage", "place", n)).alias("items"))
+    alone = F.col("alone") if "alone" in places.columns else F.lit(False).alias("alone")
+    items = places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "passage", "place", n, alone.cast("long").alias("alone"))).alias("items"))
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null").join(items, "doc_id")
 
 
 def _items(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Row, anchor, passage, place and n of all items of a batch of `_with_text`."""
+    """Row, anchor, passage, place, n and alone of all items of a batch of `_with_text`."""
     lists = batch.column(2)
     rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
     flat = lists.flatten()
-    return rows, *(flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+    return rows, *(flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
 
 
 def single_windows(docs: DataFrame, places: DataFrame, units, window: int) -> DataFrame:
-    """Occurrences of one window each for the windows of places: a window's own hash is its anchor and its passage."""
+    """Occurrences of one window each for the windows of `places`: a window's own hash is its anchor and its passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, _, _, place, _ = _items(batch)
+            rows, _, _, place, _, _ = _items(batch)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for block in blocks(batch.column(1)):
                 _, bounds, passage = units(block)
@@ -151,28 +168,95 @@ def single_windows(docs: DataFrame, places: DataFrame, units, window: int) -> Da
                 row = np.repeat(rows[own] - block.first, n)
                 good = start + window <= bounds[row + 1] - bounds[row]
                 row, start = row[good], start[good]
-                h = passage(bounds[row] + start, bounds[row] + start + window).view(np.int64)
-                columns = [h, h, ids[block.first + row], start * 256 + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "passage", "doc_id", "place"])
+                h = passage(bounds[row] + start, bounds[row] + start + window)
+                order = np.lexsort((start, row))
+                row, start, h = row[order], start[order], h[order]
+                yield _gathered(ids[block.first : block.first + block.rows], row, start, np.ones(len(row), np.int64), h, h)
+
+    return _with_text(docs, places).mapInArrow(run, COLUMNS)
+
 
-    return _with_text(docs, places).mapInArrow(run, "anchor long, passage long, doc_id long, place long")
+SEGMENTS = "key long, doc_id long, start long, body binary, anchors array<long>, passages array<long>, rels array<long>, windows array<long>, ns array<long>"
 
 
 def passage_texts(docs: DataFrame, places: DataFrame, cut: Callable, window: int) -> DataFrame:
-    """(anchor, passage, doc_id, place, n, body) of places; cut(block) gives a function of row, start and end (in units) for the body."""
+    """Segments of text with the passages in them; cut(block) gives a function of row, start and end (in units) for the body.
+
+    A passage whose anchor has others is a segment of its own, to go where those go: `key` is the
+    anchor. Passages that are alone with their anchor may go anywhere, and those of a document that
+    overlap or touch make one segment, which ends after _SEGMENT units at the latest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, anchor, passage, place, n = _items(batch)
+            rows, anchor, passage, place, n, alone = _items(batch)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            start, count = place // 256, place % 256
+            order = np.lexsort((start, alone, rows))
+            end = start + count - 1 + window
+            rows, anchor, passage, start, count, n, alone, end = (x[order] for x in (rows, anchor, passage, start, count, n, alone, end))
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (alone[1:] == 0) | (alone[:-1] == 0) | (start[1:] > end[:-1]) | (start[1:] // _SEGMENT != start[:-1] // _SEGMENT)
+            first = np.flatnonzero(new)
+            offsets = np.append(first, len(rows))
+            stop = np.maximum.reduceat(end, first) if len(first) else end
             for block in blocks(batch.column(1)):
-                own = np.flatnonzero((rows >= block.first) & (rows < block.first + block.rows))
+                a, b = np.searchsorted(rows[first], [block.first, block.first + block.rows])
+                if a == b:
+                    continue
+                low, high = offsets[a], offsets[b]
                 body = cut(block)
-                bodies = [body(r, p // 256, p // 256 + p % 256 - 1 + window) for r, p in zip((rows[own] - block.first).tolist(), place[own].tolist(), strict=True)]
-                columns = [anchor[own], passage[own], ids[rows[own]], place[own], n[own]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(bodies, pa.binary())], ["anchor", "passage", "doc_id", "place", "n", "body"])
-
-    return _with_text(docs, places).mapInArrow(run, "anchor long, passage long, doc_id long, place long, n long, body binary")
+                bodies = [body(r, s, e) for r, s, e in zip((rows[first[a:b]] - block.first).tolist(), start[first[a:b]].tolist(), stop[a:b].tolist(), strict=True)]
+                rel = start[low:high] - np.repeat(start[first[a:b]], np.diff(offsets[a : b + 1]))
+                at = pa.array((offsets[a : b + 1] - low).astype(np.int32))
+                listed = [pa.ListArray.from_arrays(at, pa.array(x, pa.int64())) for x in (anchor[low:high], passage[low:high], rel, count[low:high], n[low:high])]
+                columns = [pa.array(x, pa.int64()) for x in (anchor[first[a:b]], ids[rows[first[a:b]]], start[first[a:b]])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bodies, pa.binary()), *listed], ["key", "doc_id", "start", "body", "anchors", "passages", "rels", "windows", "ns"])
+
+    return _with_text(docs, places).mapInArrow(run, SEGMENTS)
+
+
+class Segments:
+    """A shard of segments: their bodies as a block, and their passages as arrays (`text` is the segment of each)."""
+
+    def __init__(self, shard: pa.Table, window: int):
+        shard = shard.combine_chunks()
+        column = lambda c: shard.column(c).combine_chunks()
+        self.window = window
+        self.doc, self.start = column("doc_id").to_numpy(), column("start").to_numpy()
+        self.block = next(blocks(column("body"), 1 << 62), None)
+        self.text = np.repeat(np.arange(len(self.doc)), pc.list_value_length(column("anchors")).to_numpy())
+        self.anchor, self.passage, self.rel, self.windows, self.n = (column(c).flatten().to_numpy() for c in ("anchors", "passages", "rels", "windows", "ns"))
+
+    def keep(self, passage: Callable, bounds: np.ndarray) -> None:
+        """Leaves each passage once, and out where the text isn't its own (another row with the same doc_id)."""
+        s = bounds[self.text] + self.rel
+        e = s + self.windows - 1 + self.window
+        good = np.flatnonzero(e <= bounds[self.text + 1])
+        good = good[passage(s[good], e[good]).view(np.int64) == self.passage[good]]
+        _, first = np.unique(np.stack([self.anchor[good], self.passage[good]]), axis=1, return_index=True)
+        own = good[np.sort(first)]
+        self.text, self.anchor, self.passage, self.rel, self.windows, self.n = (x[own] for x in (self.text, self.anchor, self.passage, self.rel, self.windows, self.n))
+
+    def each_window(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each window of each passage: the passage's number, and its start in the segment."""
+        item = np.repeat(np.arange(len(self.text)), self.windows)
+        inside = np.arange(len(item)) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows)
+        return item, self.rel[item] + inside
+
+    def judged(self, item: np.ndarray, rel: np.ndarray, hit: np.ndarray, first_doc: np.ndarray, first_start: np.ndarray, step: int) -> pa.Table:
+        """Runs of marked windows of a passage whose first places follow one another by `step`."""
+        new = hit.copy()
+        new[1:] &= (item[1:] != item[:-1]) | ~hit[:-1] | (first_doc[1:] != first_doc[:-1]) | (first_start[1:] != first_start[:-1] + step)
+        at = np.flatnonzero(new)
+        stops = np.append(np.flatnonzero(new | ~hit), len(item))
+        size = stops[np.searchsorted(stops, at, "right")] - at
+        i = item[at]
+        columns = [self.anchor[i], self.passage[i], rel[at] - self.rel[i], size - 1 + self.window, first_doc[at], first_start[at]]
+        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(JUDGED, columns, strict=True)})
+
+
+JUDGED = ("anchor", "passage", "rel", "units", "first_doc", "first_start")
 
 
 def repeated_spans(docs: DataFrame, units, cut: Callable, engine: Callable, window: int, gram: int, in_two_documents: bool, per_shard: int, most_passages: int = 20_000) -> DataFrame:
@@ -180,31 +264,31 @@ def repeated_spans(docs: DataFrame, units, cut: Callable, engine: Callable, wind
 
     One representative of each distinct passage is read from the texts, and the passages of an anchor
     go to the same shard of about per_shard of them. engine(table) judges a shard: for runs of windows
-    of a passage it returns (anchor, passage, rel, units, doc_id, start), the first place at which they
-    start. A later join applies that to every occurrence. An anchor with more than most_passages
+    of a passage it returns where they start first (see `Segments.judged`). A later join applies that to every occurrence. An anchor with more than most_passages
     distinct passages is broken up: each of its windows becomes an anchor of its own, so that a shard
     stays bounded whatever the texts are.
     """
     from tessera.llm import rowmap
 
     shared = rowmap.written(shared_occurrences(occurrences(docs, units, window, gram), in_two_documents), "shared")
-    first = lambda rows: rowmap.written(rows.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("n")).select("anchor", "passage", "f.*", "n"), "passages")
+    first = lambda rows: rowmap.written(rows.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", F.col("places")[0].alias("place"))).alias("f"), F.sum(F.size("places")).alias("n"), F.any_value("alone").alias("alone")).select("anchor", "passage", "f.*", "n", "alone"), "passages")
     passages = first(shared)
     crowded = rowmap.written(passages.groupBy("anchor").count().where(F.col("count") > most_passages).select("anchor"), "crowded")
     if crowded.head(1):
-        alone = single_windows(docs, shared.join(crowded, "anchor", "left_semi"), units, window)
+        at = shared.join(crowded, "anchor", "left_semi").select("anchor", "passage", "doc_id", F.explode("places").alias("place"))
+        alone = single_windows(docs, at, units, window)
         alone = rowmap.written(shared_occurrences(alone, in_two_documents), "alone")
         shared = shared.join(crowded, "anchor", "left_anti").select(*alone.columns).unionByName(alone)
         passages = first(shared)
     shards = max(1, -(-passages.count() // per_shard))
     texts = passage_texts(docs, passages, cut, window)
-    judged = texts.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInArrow(engine, "anchor long, passage long, rel long, units long, first_doc long, first_start long")
+    judged = texts.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInArrow(engine, ", ".join(f"{c} long" for c in JUDGED))
     judged = rowmap.written(judged, "judged")
     start = F.shiftright("place", 8)
     later = F.col("doc_id") > F.col("first_doc")
     if not in_two_documents:
         later = later | ((F.col("doc_id") == F.col("first_doc")) & (start + F.col("rel") > F.col("first_start")))
-    covered = shared.join(judged, ["anchor", "passage"]).where(later)
+    covered = shared.join(judged, ["anchor", "passage"]).withColumn("place", F.explode("places")).where(later)
     return covered.select("doc_id", F.struct((start + F.col("rel")).alias("s"), (start + F.col("rel") + F.col("units")).alias("e")).alias("span")).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 

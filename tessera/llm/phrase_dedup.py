@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import rowmap
-from tessera.llm.anchors import coverage, repeated_spans, word_units
+from tessera.llm.anchors import Segments, coverage, repeated_spans, word_units
 from tessera.llm.textblocks import SPACE, Block, Words, blocks
 
 WINDOW = 20
@@ -39,68 +39,63 @@ def _cut(block: Block):
 
 def _shard_engine(window: int):
     def judge(shard: pa.Table) -> pa.Table:
-        shard = shard.combine_chunks()
-        anchor, passage, doc, place, n = (shard.column(c).to_numpy() for c in ("anchor", "passage", "doc_id", "place", "n"))
-        out: tuple = ((), (), (), (), ())
-        block = next(blocks(shard.column("body"), 1 << 62), None)
-        if block is not None:
-            _, bounds, hashes = word_units(1)(block)
-            own = hashes(bounds[:-1], bounds[1:]).view(np.int64)
-            _, first = np.unique(np.stack([anchor, passage]), axis=1, return_index=True)
-            first = np.sort(first[(own[first] == passage[first]) & (np.diff(bounds)[first] >= window)])  # once each, and not from another text of the same doc_id
-            texts = [block.text(i).split() for i in first.tolist()]
-            out = locate(texts, doc[first], place[first] // 256, n[first], window)
-        at, rel, words, first_doc, first_start = (np.array(x, np.int64) for x in out)
-        index = first[at] if len(at) else at
-        columns = [anchor[index], passage[index], rel, words, first_doc, first_start]
-        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("anchor", "passage", "rel", "units", "first_doc", "first_start"), columns, strict=True)})
+        segments = Segments(shard, window)
+        _, bounds, passage = word_units(1)(segments.block)
+        segments.keep(passage, bounds)
+        item, rel = segments.each_window()
+        texts = [segments.block.text(i).split() for i in range(segments.block.rows)]
+        found = locate(texts, segments.text[item], rel, segments.doc, segments.start, segments.n[item], window)
+        return segments.judged(item, rel, *found, 1)
 
     return judge
 
 
-def locate(texts: list[list[bytes]], doc: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> tuple[list, ...]:
-    """(text, rel, words, first doc, first start) of every occurrence of a recurring phrase in the texts.
+def locate(texts: list[list[bytes]], text: np.ndarray, rel: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window (text, rel), n of which are alike in the corpus: whether it recurs, and the first place of its phrase.
 
-    doc and start: the first place of each text, n: how many places have it.
+    doc and start: the place of each text. Windows are in order of their texts.
     """
+    none = np.zeros(len(text), bool), np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
     numbers: dict[bytes, int] = {}
     ids = [tuple([numbers.setdefault(w, len(numbers)) for w in words]) for words in texts]
     classes: dict[tuple, int] = {}
-    at_window = [np.array([classes.setdefault(t[i : i + window], len(classes)) for i in range(len(t) - window + 1)], np.int64) for t in ids]
+    flat = np.array([classes.setdefault(ids[t][r : r + window], len(classes)) for t, r in zip(text.tolist(), rel.tolist(), strict=True)], np.int64)
     if not classes:
-        return (), (), (), (), ()
-    flat = np.concatenate(at_window)
-    text = np.repeat(np.arange(len(ids)), [len(x) for x in at_window])
-    rel = np.concatenate([np.arange(len(x)) for x in at_window])
-    count = np.bincount(flat, weights=n[text]).astype(np.int64)
+        return none
+    count = np.bincount(flat, weights=n).astype(np.int64)
     order = np.lexsort((start[text] + rel, doc[text], flat))
     head = order[np.flatnonzero(np.diff(flat[order], prepend=-1))]
-    first_doc, first_start = doc[text[head]], (start[text] + rel)[head]  # by class, in order
+    first_doc, first_start = doc[text[head]], start[text[head]] + rel[head]  # by class, in order
     # class a is always followed by class b, and b preceded by a: they are in one phrase
-    follows = np.flatnonzero(text[1:] == text[:-1])
-    pair = flat[follows] * np.int64(len(classes)) + flat[follows + 1]
-    pairs, inverse = np.unique(pair, return_inverse=True)
-    together = np.bincount(inverse, weights=n[text[follows]]).astype(np.int64)
+    follows = np.flatnonzero((text[1:] == text[:-1]) & (rel[1:] == rel[:-1] + 1) & (n[1:] == n[:-1]))
+    pairs, inverse = np.unique(flat[follows] * np.int64(len(classes)) + flat[follows + 1], return_inverse=True)
+    together = np.bincount(inverse, weights=n[follows], minlength=len(pairs)).astype(np.int64)
     a, b = pairs // len(classes), pairs % len(classes)
     bound = (together == count[a]) & (together == count[b]) & (a != b)
     joined = np.zeros(len(flat), bool)  # this window belongs to the phrase of the one before it
     joined[follows + 1] = bound[inverse]
-    recurring = count[flat] > 1
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    heads = np.flatnonzero(recurring & ~joined)
+    heads = np.flatnonzero((count[flat] > 1) & ~joined)
     stops = np.append(np.flatnonzero(~joined), len(flat))
     sizes = stops[np.searchsorted(stops, heads, "right")] - heads
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     known: set[int] = set()
     for t, r, size, c in zip(text[heads].tolist(), rel[heads].tolist(), sizes.tolist(), flat[heads].tolist(), strict=True):
         if c not in known:
             known.add(c)
-            automaton.add_word(ids[t][r : r + size - 1 + window], (size - 1 + window, int(first_doc[c]), int(first_start[c])))
-    out: list[tuple] = []
-    if known:
-        automaton.make_automaton()
-        for t, words in enumerate(ids):
-            out += [(t, last + 1 - size, size, d, s) for last, (size, d, s) in automaton.iter(words)]
-    return tuple(zip(*out, strict=True)) if out else ((), (), (), (), ())
+            automaton.add_word(ids[t][r : r + size - 1 + window], (size, int(first_doc[c]), int(first_start[c])))
+    if not known:
+        return none
+    automaton.make_automaton()
+    base = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    hit, docs, starts = np.zeros(base[-1], bool), np.zeros(base[-1], np.int64), np.zeros(base[-1], np.int64)
+    for t, words in enumerate(ids):
+        for last, (size, d, s) in automaton.iter(words):
+            at = base[t] + last + 2 - size - window
+            hit[at : at + size] = True
+            docs[at : at + size] = d
+            starts[at : at + size] = np.arange(s, s + size)
+    at = base[text] + rel
+    return hit[at], docs[at], starts[at]
 
 
 def find_recurring(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -29,11 +29,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read again: lineage ends there, and nothing is computed twice."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The table written to the shared folder and read again: lineage ends there, and nothing is computed twice.
+
+    Nothing reads the shuffles of the write after it, so they are removed when it ends.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def with_columns_from_text(docs: DataFrame, added: str, compute: Callable[[pa.Array], list[pa.Array]], replace: dict[str, int] | None = None) -> DataFrame:

@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import rowmap
-from tessera.llm.anchors import byte_units, coverage, repeated_spans
+from tessera.llm.anchors import Segments, byte_units, coverage, repeated_spans
 from tessera.llm.textblocks import Block, blocks, prefix_hashes, range_hashes
 
 MIN_LENGTH = 50
 GRAM = 20
-PER_SHARD = 16_384
+PER_SHARD = 8192
+_PACKED = 7
 
 
 class RunLengthIndex:
@@ -40,9 +41,7 @@ class RunLengthIndex:
         inside = np.ones(n, bool)
         inside[self.ends] = False
         self.text[inside] = data.astype(np.int64) + 1
-        symbol = self.text + m  # terminators are smaller than bytes and differ from one another
-        symbol[self.ends] = np.arange(m)
-        self._sort(symbol, n)
+        self._sort(n)
         same = self.equal(self.sa[1:], self.sa[:-1], depth)
         #: rows of the sorted suffixes whose first `depth` symbols agree have the same group
         self.group = np.concatenate([[0], np.cumsum(~same)])
@@ -57,33 +56,42 @@ class RunLengthIndex:
         self.lf = np.empty(len(starts), np.int64)  # row that the first row of each run maps to
         self.lf[order] = before
         self.by_char, self.by_char_key = order, self.run_char[order] * len(starts) + order
-        del self.sa
-
-    def _sort(self, symbol: np.ndarray, n: int) -> None:
-        """Suffix array by doubling; the ranks of each round stay, to compare substrings."""
-        bits = int(symbol.max()).bit_length() + 1
-        per = max(1, 62 // bits)
-        step = 1 << (per.bit_length() - 1)
-        key, padded = np.zeros(n, np.int64), np.concatenate([symbol + 1, np.zeros(step, np.int64)])
-        for j in range(step):
-            key = (key << bits) | padded[j : j + n]
-        self.ranks: list[tuple[int, np.ndarray]] = []
+
+    def _sort(self, n: int) -> None:
+        """Suffix array by doubling, of which only the suffixes still equal are sorted again; ranks stay, to compare substrings."""
+        padded = np.concatenate([self.text, np.zeros(_PACKED, np.int64)])
+        key = np.zeros(n, np.int64)
+        for j in range(_PACKED):
+            key = (key << 9) | padded[j : j + n]
+        #: the first symbols of each suffix in one number
+        self.packed = np.append(key, 0)
+        sa = np.argsort(key)
+        ordered = key[sa]
+        head = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        rank = np.empty(n + 1, np.int64)  # of a suffix, the first row of those equal so far; -1 past the end
+        rank[n] = -1
+        rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        self.ranks: list[tuple[int, np.ndarray]] = [(_PACKED, rank.astype(np.int32))]
+        step = _PACKED
         while True:
-            sa = np.argsort(key, kind="stable")
-            ordered = key[sa]
-            rank = np.empty(n, np.int64)
-            rank[sa] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-            self.ranks.append((step, np.append(rank.astype(np.int32), np.full(1, -1, np.int32))))
-            if int(rank[sa[-1]]) == n - 1:
-                self.sa = sa
-                return
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - step)] = rank[step:] + 1
-            key = rank * (n + 1) + after
+            alone = head & np.append(head[1:], True)
+            rows = np.flatnonzero(~alone)
+            if not len(rows):
+                break
+            at = sa[rows]
+            key = rank[at] * (n + 1) + rank[np.minimum(at + step, n)] + 1
+            order = np.argsort(key)
+            sa[rows], key = at[order], key[order]
+            head[rows] = np.concatenate([[True], key[1:] != key[:-1]])
+            rank[sa[rows]] = np.maximum.accumulate(np.where(head[rows], rows, 0))
             step *= 2
+            self.ranks.append((step, rank.astype(np.int32)))
+        self.sa = sa
 
     def equal(self, p: np.ndarray, q: np.ndarray, depth: int) -> np.ndarray:
-        """Whether `depth` symbols from p and q agree; a terminator agrees with none but itself."""
+        """Whether `depth` symbols from p and q agree."""
+        if depth < _PACKED:
+            return self.packed[p] >> 9 * (_PACKED - depth) == self.packed[q] >> 9 * (_PACKED - depth)
         step, rank = max((x for x in self.ranks if x[0] <= depth), key=lambda x: x[0])
         last = len(rank) - 1
         out, done = np.ones(len(p), bool), 0
@@ -94,19 +102,14 @@ class RunLengthIndex:
         return out
 
     def common(self, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix at p and q, `most` at most."""
+        """Length of the longest common prefix at p and q, `most` at most; no terminator stands within `most` of p."""
         out, last = np.zeros(len(p), np.int64), len(self.text)
-        for step, rank in reversed(self.ranks):
-            for _ in range(2 if step > self.ranks[0][0] else 1):
-                at, to = np.minimum(p + out, last), np.minimum(q + out, last)
-                out += step * ((rank[at] == rank[to]) & (at < last) & (to < last))
-        step = self.ranks[0][0] - 1
-        padded = np.append(self.text, -1)
-        open_ = np.ones(len(p), bool)
-        for _ in range(step):
+        for step, rank in reversed([x for x in self.ranks if x[0] <= int(most.max(initial=0))]):
             at, to = np.minimum(p + out, last), np.minimum(q + out, last)
-            open_ &= (padded[at] == padded[to]) & (padded[at] > 0)
-            out += open_
+            out += step * (rank[at] == rank[to])
+        differ = self.packed[np.minimum(p + out, last)] ^ self.packed[np.minimum(q + out, last)]
+        differ &= ~(differ >> 1)  # so that no rounding changes the highest bit
+        out += (9 * _PACKED - np.frexp(differ.astype(np.float64))[1]) // 9
         return np.minimum(out, most)
 
     def matching_statistics(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -159,53 +162,32 @@ class RunLengthIndex:
 
 def _shard_engine(min_length: int):
     def judge(shard: pa.Table) -> pa.Table:
-        shard = shard.combine_chunks()
-        anchor, passage, doc = (shard.column(c).to_numpy() for c in ("anchor", "passage", "doc_id"))
-        found = {"anchor": [], "passage": [], "rel": [], "units": [], "first_doc": []}
-        block = next(blocks(shard.column("body"), 1 << 62), None)
-        if block is not None:
-            own = range_hashes(prefix_hashes(block.data), block.offsets[:-1], block.offsets[1:]).view(np.int64)
-            _, first = np.unique(np.stack([anchor, passage]), axis=1, return_index=True)
-            first = np.sort(first[own[first] == passage[first]])  # once each, and not from another text of the same doc_id
-            if len(first):
-                lengths = np.diff(block.offsets)[first]
-                offsets = np.concatenate([[0], np.cumsum(lengths)])
-                data = np.concatenate([block.data[block.offsets[i] : block.offsets[i + 1]] for i in first.tolist()])
-                found = _judge(data, offsets, anchor[first], passage[first], doc[first], min_length)
-        names = ["anchor", "passage", "rel", "units", "first_doc"]
-        out = {k: pa.array(np.asarray(found[k], np.int64)) for k in names}
-        out["first_start"] = pa.array(np.zeros(len(found["rel"]), np.int64))
-        return pa.table(out)
+        segments = Segments(shard, min_length)
+        block = segments.block
+        c = prefix_hashes(block.data)
+        segments.keep(lambda s, e: range_hashes(c, s, e), block.offsets)
+        marks = mark_matches(block.data, block.offsets, segments.doc, min_length)
+        item, rel = segments.each_window()
+        first_doc = marks[block.offsets[segments.text[item]] + rel]
+        return segments.judged(item, rel, first_doc >= 0, first_doc, np.zeros(len(item), np.int64), 0)
 
     return judge
 
 
-def _judge(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, passage: np.ndarray, doc: np.ndarray, min_length: int) -> dict[str, np.ndarray]:
-    """Runs of windows of each passage with the smallest document that has them."""
+def mark_matches(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, min_length: int) -> np.ndarray:
+    """For each byte the smallest document of those whose text has the min_length bytes from there on, -1 if too few follow.
+
+    The texts are indexed, and each is streamed through the index.
+    """
     index = RunLengthIndex(data, offsets, min_length)
     # the smallest document of each group of rows: text positions -> texts -> documents
-    rank = index.ranks[-1][1][:-1]
-    text_of = np.searchsorted(index.ends, np.arange(len(rank)))
-    smallest = np.full(int(index.group[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, index.group[rank], doc[text_of])
-    marks = np.full(len(data), -1, np.int64)
+    of_row = np.repeat(doc, np.diff(offsets) + 1)[index.sa]
+    smallest = np.minimum.reduceat(of_row, np.flatnonzero(np.diff(index.group, prepend=-1)))
+    marks = np.full(len(data) + 1, -1, np.int64)
     for _, place, length, row in index.matching_statistics(data, offsets):
         long = length >= min_length
         marks[place[long]] = smallest[index.group[row[long]]]
-    hit = marks >= 0
-    new = hit.copy()
-    new[1:] &= marks[1:] != marks[:-1]
-    starts_text = np.zeros(len(data), bool)
-    starts_text[offsets[:-1]] = True
-    new |= hit & starts_text
-    first = np.flatnonzero(new)
-    stop = np.zeros(len(data) + 1, bool)
-    stop[:-1] = new | ~hit
-    stop[-1] = True
-    ends = np.flatnonzero(stop)
-    last = ends[np.searchsorted(ends, first, "right")]
-    text = np.searchsorted(offsets, first, "right") - 1
-    return {"anchor": anchor[text], "passage": passage[text], "rel": first - offsets[text], "units": last - first - 1 + min_length, "first_doc": marks[first]}
+    return marks
 
 
 def _cut(block: Block):
