@@ -20,6 +20,7 @@ LEAST_SCORE = 0.4
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language of the training rows; only text and non-null lang are learned from."""
+    rowmap.text_batches(spark)
     model = langid.fit(docs.select("doc_id", "text", "lang"))
     found = langid.predict(docs, model)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)

@@ -29,8 +29,8 @@ from tessera.llm.components import components
 from tessera.llm.textblocks import SPACE, Words, blocks, gram_hashes, mix, word_hashes
 
 SKETCH_BITS = 16
-BLOCK = 2048
-ROWS_PER_SHARD = 4000
+BLOCK = 1024
+ROWS_PER_SHARD = 1000
 #: The cost of a binary search step against that of a merge step, for the choice of the long lists.
 PROBE_COST = 0.05
 
@@ -145,11 +145,23 @@ def divide_skip(lists: tuple[np.ndarray, np.ndarray, np.ndarray], query: np.ndar
     return found, counts
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of a binary column, without copies."""
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        if not len(chunk):
+            continue
+        chunk = chunk.cast(pa.large_binary())
+        at = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        body = np.frombuffer(chunk.buffers()[2], np.uint8)
+        out += [body[a:b].view(np.uint64) for a, b in zip(at, at[1:])]
+    return out
+
+
 def _search(percent: int):
     def shard(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         key, doc, copies, role = (table.column(c).to_numpy() for c in ("key", "doc_id", "copies", "role"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        sets = _views(table.column("tokens"))
         out_doc, out_root, out_links = [], [], []
         order = np.argsort(key, kind="stable")
         cuts = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]])) if len(order) else []

@@ -68,5 +68,11 @@ def with_columns_from_text(docs: DataFrame, added: str, compute: Callable[[pa.Ar
     return docs.mapInArrow(run, schema)
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows of text are wide: fewer of them go to a task's Python worker at once, which bounds its memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*[F.col(c) for c in columns or ("doc_id", "text")])
