@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tessera.operators import knn
 
 
-def subset(rows: DataFrame, key: str, n: int) -> DataFrame:
+def subset(rows: DataFrame, key: str, n: int, salt: str = "") -> DataFrame:
     """n rows without replacement, by the order of a hash of their key. This is a sampling operator."""
-    return rows.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.lit(salt), F.col(key).cast("string"))), key).limit(n)
 
 
 def kmeans_step(points: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -40,10 +40,10 @@ def kmeans_step(points: DataFrame, centroids: DataFrame) -> DataFrame:
     return means.select(F.col("id").alias(name), F.transform("c", lambda x: x["m"]).alias("centroid"), "n")
 
 
-def kmeans(points: DataFrame, k: int, rounds: int = 20, tolerance: float = 1e-9) -> DataFrame:
+def kmeans(points: DataFrame, k: int, rounds: int = 20, tolerance: float = 1e-9, salt: str = "") -> DataFrame:
     """(vw, centroid, n) after Lloyd rounds from k points chosen by hash; an empty cell is re-seeded from a split of the largest."""
     spark = points.sparkSession
-    rows = [(i, r["vec"]) for i, r in enumerate(subset(points, "vec_id", k).collect())]
+    rows = [(i, r["vec"]) for i, r in enumerate(subset(points, "vec_id", k, salt).collect())]
     for _ in range(rounds):
         table = spark.createDataFrame(rows, "vw long, centroid array<double>")
         found = {r["vw"]: r for r in kmeans_step(points, table).collect()}
@@ -61,6 +61,13 @@ def kmeans(points: DataFrame, k: int, rounds: int = 20, tolerance: float = 1e-9)
     return spark.createDataFrame([(i, c, n) for i, c, n in new], "vw long, centroid array<double>, n long")
 
 
+def best_kmeans(points: DataFrame, k: int, rounds: int, starts: int) -> DataFrame:
+    """The result of the start, out of several, with the least sum of squared distances."""
+    found = [kmeans(points, k, rounds, salt=str(i)) for i in range(starts)]
+    cost = lambda f: knn.nearest(points, f.select("vw", "centroid")).agg(F.sum("d2")).first()[0]
+    return min(found, key=cost)
+
+
 def hierarchical_kmeans(points: DataFrame, branch: int, levels: int, rounds: int) -> DataFrame:
     """(level, parent, child, centroid, n): every cell of a level is split by k-means of its own points."""
     out, cells = None, points.withColumn("word", F.lit(0).cast("long"))

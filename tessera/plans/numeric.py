@@ -162,13 +162,19 @@ def _(spark, sf):
     return _pairs(spark, sf).select("vec_id", r6(F.sqrt(v.distance_l2_squared(F.col("v"), F.col("u")))).alias("euclid"), r6(v.total(F.zip_with(a, b, lambda x, y: F.least(x, y)))).alias("shared"), r6(v.distance_chi2(a, b)).alias("chi2"))
 
 
+@query("chi2_dist", E + "SELECT vec_id, round(list_sum(list_transform(list_zip(v, u), lambda z: CASE WHEN abs(z[1]) + abs(z[2]) = 0 THEN 0 ELSE (abs(z[1]) - abs(z[2])) * (abs(z[1]) - abs(z[2])) / (abs(z[1]) + abs(z[2])) END)), 6) AS d FROM f")
+def _(spark, sf):
+    a, b = (F.transform(c, F.abs) for c in ("v", "u"))
+    return _pairs(spark, sf).select("vec_id", r6(v.distance_chi2(a, b)).alias("d"))
+
+
 @query("desc_moments", E + "SELECT vec_id, round(list_avg(v), 6) + 0.0 AS mean, round(list_median(v), 6) + 0.0 AS med, round(list_var_pop(v), 6) AS var FROM e")
 def _(spark, sf):
     x = _vectors(spark, sf).select("vec_id", F.explode("v").alias("x")).groupBy("vec_id")
     return x.agg(r6(F.avg("x")).alias("mean"), r6(F.median("x")).alias("med"), r6(F.var_pop("x")).alias("var"))
 
 
-@query("vec_histogram", E + "SELECT label, greatest(0, least(9, floor((x + 0.5) * 10)))::BIGINT AS bin, count(*) AS n FROM (SELECT label, unnest(v) AS x FROM e) GROUP BY ALL")
+@query("histogram", E + "SELECT label, greatest(0, least(9, floor((x + 0.5) * 10)))::BIGINT AS bin, count(*) AS n FROM (SELECT label, unnest(v) AS x FROM e) GROUP BY ALL")
 def _(spark, sf):
     bins = F.greatest(F.lit(0), F.least(F.lit(9), F.floor((F.col("x") + 0.5) * 10))).cast("long")
     return _vectors(spark, sf).select("label", F.explode("v").alias("x")).groupBy("label", bins.alias("bin")).agg(F.count("*").alias("n"))
@@ -186,7 +192,7 @@ def _(spark, sf):
     return _vectors(spark, sf).select("vec_id", F.aggregate(whole, F.lit(0).cast("long"), lambda a, x: (a * 31 + x) % 1000003).alias("h"))
 
 
-@query("vec_splat_add", "SELECT p_size AS slot, round(sum(p_retailprice), 6) AS s FROM part GROUP BY p_size")
+@query("splat_add", "SELECT p_size AS slot, round(sum(p_retailprice), 6) AS s FROM part GROUP BY p_size")
 def _(spark, sf):
     return table(spark, sf, "part").groupBy(F.col("p_size").alias("slot")).agg(r6(F.sum("p_retailprice")).alias("s"))
 

@@ -78,11 +78,23 @@ for _name, _table, _column, _how in (("pq_adc", "adc", "d2", {}), ("pq_adc_cor",
     def _(spark, sf, how=_how):
         return _distances(spark, sf, **how).select("query_id", "vec_id", r6(F.col("d2")).alias("d2"))
 
-    @query(f"{_name}_knn", P + f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round({_column}, 9), vec_id)::INTEGER AS rnk FROM {_table} QUALIFY rnk <= 10")
+    @query(_name.replace("pq_", "pq_nn_"), P + f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round({_column}, 9), vec_id)::INTEGER AS rnk FROM {_table} QUALIFY rnk <= 10")
     def _(spark, sf, how=_how):
         return pq.nearest(_distances(spark, sf, **how), 10).select("query_id", "vec_id", "rnk")
 
 
+@query("pq_nn_fc", P + """SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), vec_id)::INTEGER AS rnk
+    FROM (SELECT a.vec_id AS query_id, pd.vec_id, sum(pd.d2) AS d2 FROM code a JOIN pd USING (q, c) WHERE a.vec_id BETWEEN 20 AND 24 GROUP BY ALL) QUALIFY rnk <= 10""")
+def _(spark, sf):
+    from tessera.operators import knn
+
+    model, queries = _model(spark, sf), _queries(spark, sf)
+    decoded = model.decode(model.encode(np.array([x for _, x in queries])))
+    table = spark.createDataFrame([(int(i), row.tolist()) for (i, _), row in zip(queries, decoded, strict=True)], "query_id long, centroid array<double>")
+    d = knn.cross_distances(_points(spark, sf), table).select(F.col("centroid_id").alias("query_id"), "vec_id", "d2")
+    return pq.nearest(d, 10).select("query_id", "vec_id", "rnk")
+
+
 @query("pq_learn")
 def _(spark, sf):
     model = pq.learn(_points(spark, sf), 2, 4, 3)

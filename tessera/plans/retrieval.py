@@ -314,6 +314,11 @@ def _(spark, sf):
     return clustering.kmeans(descriptors(spark, sf).select("vec_id", "vec"), 8, rounds=6)
 
 
+@query("kmeans_n")
+def _(spark, sf):
+    return clustering.best_kmeans(descriptors(spark, sf).select("vec_id", "vec"), 6, rounds=3, starts=2)
+
+
 @query("kmedoids_cost", BASE + """, cost AS (SELECT dist.vec_id, min(d2) FILTER (vw < 4) AS now, min(d2) FILTER (vw < 3) AS kept FROM dist GROUP BY vec_id)
     SELECT dist.vw AS candidate, round(sum(least(cost.kept, dist.d2)) - (SELECT sum(now) FROM cost), 6) AS change FROM cost JOIN dist USING (vec_id) WHERE dist.vw >= 4 GROUP BY dist.vw""")
 def _(spark, sf):
