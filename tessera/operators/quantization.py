@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import vectors as v
 from tessera.operators import clustering, knn
 
 
@@ -66,6 +67,51 @@ def learn(points: DataFrame, subspaces: int, cells: int, rounds: int = 10) -> Pr
     return with_errors(points, ProductQuantizer(np.array(out)))
 
 
+def _kmeans(m: np.ndarray, cells: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    c = m[rng.choice(len(m), min(cells, len(m)), replace=False)].copy()
+    for _ in range(rounds):
+        of = knn.distances(m, c).argmin(1)
+        n = np.bincount(of, minlength=len(c))
+        sums = np.zeros_like(c)
+        np.add.at(sums, of, m)
+        c[n > 0] = sums[n > 0] / n[n > 0, None]
+    return c
+
+
+def learn_lists(points: DataFrame, lists_: int, subspaces: int, cells: int, sample: int = 8192, rounds: int = 10, seed: int = 1) -> tuple[np.ndarray, ProductQuantizer]:
+    """Centroids of the lists and a quantiser of residuals, by k-means on `sample` points at most (the first by a hash of vec_id), on the driver."""
+    rows = points.select("vec_id", "vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    m, rng = np.array([r["vec"] for r in rows], np.float64), np.random.default_rng(seed)
+    centroids = _kmeans(m, lists_, rounds, rng)
+    rest = m - centroids[knn.distances(m, centroids).argmin(1)]
+    parts = rest.reshape(len(m), subspaces, -1)
+    return centroids, ProductQuantizer(np.stack([_kmeans(np.ascontiguousarray(parts[:, q]), cells, rounds, rng) for q in range(subspaces)]))
+
+
+def search_reranked(queries: DataFrame, points: DataFrame, centroids: np.ndarray, pq: ProductQuantizer, probes: int, short: int, k: int) -> DataFrame:
+    """(query_id, vec_id, d2, rnk): the k nearest by exact distance among each query's `short` nearest codes in its `probes` nearest lists.
+
+    queries: query_id, vec, of any number: they meet the codes in blocks.
+    """
+    book = points.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "vw long, centroid array<double>")
+    built = build_lists(points, book, pq).select("vec_id", F.col("vw").alias("tag"), F.col("codes").cast("array<double>").alias("vec"))
+    shared = points.sparkSession.sparkContext.broadcast((centroids, pq))
+
+    def keep(m: np.ndarray, _: np.ndarray, of: np.ndarray) -> np.ndarray:
+        centroids, _ = shared.value
+        probed = np.zeros((len(m), len(centroids)), bool)
+        np.put_along_axis(probed, np.argsort(knn.distances(m, centroids), 1, kind="stable")[:, :probes], True, 1)
+        return probed[:, of]
+
+    def rebuild(codes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, float]:
+        centroids, pq = shared.value
+        return centroids[of] + pq.decode(codes.astype(np.int64)), 0.0
+
+    coarse = knn.nearest_in_blocks(queries.withColumn("tag", F.lit(0)), built, short, keep, rebuild).select("query_id", "vec_id")
+    both = coarse.join(points.select("vec_id", "vec"), "vec_id").join(queries.select("query_id", F.col("vec").alias("asked")), "query_id")
+    return nearest(both.select("query_id", "vec_id", v.distance_l2_squared(F.col("asked"), F.col("vec")).alias("d2")), k)
+
+
 def _map(points: DataFrame, added: list[T.StructField], compute) -> DataFrame:
     at = points.columns.index("vec")
     schema = T.StructType([*points.schema.fields, *added])
