@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.plans import QUERIES, fixtures
+from tessera.plans import ORACLE_SQL, QUERIES, fixtures
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +30,51 @@ def test_recall_of_approximate_search(spark, name, sf):
     recall = np.mean([len(got[q] & set(x)) / 10 for q, x in zip(asked.tolist(), near.tolist(), strict=True)])
     print(name, sf, "recall@10", recall)
     assert recall >= 0.9
+
+
+@pytest.fixture(scope="module")
+def db():
+    from test_oracle import db
+
+    return db.__wrapped__()
+
+
+def whole_sql(name):
+    """The SQL of a query with a few ids, for every id divisible by 20."""
+    sql = ORACLE_SQL[name]
+    n = fixtures.QUERY_IMAGES
+    changes = {
+        f"q.image_id < {n}": "q.image_id % 20 = 0",
+        f"(SELECT unnest(range(0, {n})) AS query_id) q": "(SELECT image_id AS query_id FROM norms WHERE image_id % 20 = 0) q",
+        "pd.vec_id BETWEEN 20 AND 24": "pd.vec_id % 20 = 0",
+        "a.vec_id BETWEEN 20 AND 24": "a.vec_id % 20 = 0",
+        "q.image_id < 2 AND": "q.image_id % 20 = 0 AND",
+    }
+    for old, new in changes.items():
+        sql = sql.replace(old, new)
+    assert sql != ORACLE_SQL[name]
+    return sql
+
+
+def close(ours, theirs, keys, values=()):
+    ours, theirs = (x.sort_values(keys).reset_index(drop=True) for x in (ours, theirs))
+    assert len(ours) and ours[keys].astype("int64").values.tolist() == theirs[keys].astype("int64").values.tolist()
+    for v in values:
+        assert np.allclose(ours[v].astype(float), theirs[v].astype(float), atol=2e-6)
+
+
+@pytest.mark.parametrize("name,sliced,keys,values", [
+    ("ivf_search_whole", "ivf_search_topk", ["query_id", "rnk", "image_id"], ["score"]),
+    ("match_vw_whole", "match_vw", ["query_id", "qpt", "image_id", "dbpt"], ["score"]),
+    ("verify_whole", "verify_best", ["query_id", "image_id", "nmatch"], ["votes"]),
+    ("search_verified_whole", "search_verified", ["query_id", "place", "image_id", "nmatch"], ["votes"]),
+    ("match_exact_whole", "match_exact_knn", ["query_id", "qpt", "image_id", "dbpt"], ["score"]),
+    *[(f"pq_nn_{k}_whole", f"pq_nn_{k}", ["query_id", "rnk", "vec_id"], []) for k in ("adc", "adc_cor", "sdc", "sdc_cor")],
+])
+def test_every_query_id_against_all_rows(spark, db, name, sliced, keys, values):
+    theirs = db.execute(whole_sql(sliced)).df()
+    if name == "ivf_search_whole":
+        theirs = theirs[theirs["score"] > 0]
+    ours = QUERIES[name](spark, SF).toPandas()
+    assert set(ours["query_id"]) == {i for i in range(500 if name.startswith("pq") else 50) if i % 20 == 0}
+    close(ours, theirs, keys, values)
