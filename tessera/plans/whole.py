@@ -9,10 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import clustering, hamming, inverted, knn, points, sparse
 from tessera.operators import geometry as g
-from tessera.operators import inverted, knn, points
 from tessera.operators import quantization as pq
-from tessera.plans.fixtures import HAMMING, codebook, descriptors, postings
+from tessera.plans.fixtures import BITS, HAMMING, codebook, descriptors, postings
+from tessera.plans.numeric import _vectors, bags
 from tessera.plans.quantized import _model, _points
 from tessera.plans.registry import query
 from tessera.plans.retrieval import PARAMS, r6
@@ -88,3 +89,54 @@ for _name, _symmetric, _corrected in (("pq_nn_adc_whole", False, False), ("pq_nn
         coded = pq.encode(_points(spark, sf), model).select("vec_id", F.lit(0).alias("tag"), F.col("codes").cast("array<double>").alias("vec"))
         found = knn.nearest_in_blocks(asked.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("tag"), "vec"), coded, 10, rebuild=rebuild)
         return found.select("query_id", "vec_id", "rnk")
+
+
+# all words, dimensions and pairs of images ----------------------------------------------------------
+
+
+@query("sparse_dot_whole")
+def _(spark, sf):
+    rows = bags(spark, sf)
+    return sparse.dot_products_salted(rows.where("image_id % 20 = 0"), rows).where("a <> b")
+
+
+@query("matmul_whole")
+def _(spark, sf):
+    cells = _vectors(spark, sf).select(F.col("vec_id").alias("r"), F.posexplode("v").alias("i", "x"))
+    return sparse.matrix_product(cells, cells.select("i", F.col("r").alias("c"), F.col("x").alias("y"))).select("r", "c", r6(F.col("x")).alias("x"))
+
+
+@query("to_dense_whole")
+def _(spark, sf):
+    dense = sparse.to_dense(bags(spark, sf).select("image_id", F.col("vw").alias("idx"), F.col("n").alias("x")), "image_id", 1000)
+    return dense.select("image_id", F.aggregate(F.transform("v", lambda x, i: x * i), F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("s"))
+
+
+@query("covariance_whole")
+def _(spark, sf):
+    return clustering.covariance(descriptors(spark, sf).select("vec_id", "vec")).select("i", "j", r6(F.col("c")).alias("c"))
+
+
+@query("hadamard_project_whole")
+def _(spark, sf):
+    p = hamming.project(descriptors(spark, sf).select("vec_id", "vec"), hamming.hadamard(BITS))
+    return p.select("vec_id", F.posexplode("proj").alias("bit", "v")).select("vec_id", F.col("bit").cast("long").alias("bit"), r6(F.col("v")).alias("v"))
+
+
+@query("affine_lsq_whole")
+def _(spark, sf):
+    h = g.hypotheses(g.spread_votes(_matches(postings(spark, sf))))
+    return h.select("query_id", "image_id", *g.CELL, "n", (F.round(F.col("affine")[0], 3) + 0.0).alias("a"), (F.round(F.col("affine")[4], 3) + 0.0).alias("e"))
+
+
+@query("affine_inliers_whole")
+def _(spark, sf):
+    m = _matches(postings(spark, sf))
+    return g.agreeing(g.hypotheses(g.spread_votes(m)), m).groupBy("query_id", "image_id", "qpt", "dbpt").agg(F.count("*").alias("n"))
+
+
+@query("match_coords_whole")
+def _(spark, sf):
+    m = _matches(postings(spark, sf))
+    found = m.join(g.verify(m).select(*g.PAIR), list(g.PAIR), "left_semi")
+    return found.select("query_id", "image_id", "qpt", "dbpt", F.round("qx", 4).alias("qx"), F.round("x", 4).alias("x"))

@@ -78,3 +78,21 @@ def test_every_query_id_against_all_rows(spark, db, name, sliced, keys, values):
     ours = QUERIES[name](spark, SF).toPandas()
     assert set(ours["query_id"]) == {i for i in range(500 if name.startswith("pq") else 50) if i % 20 == 0}
     close(ours, theirs, keys, values)
+
+
+@pytest.mark.parametrize("name,sliced,changes,keys,values", [
+    ("sparse_dot_whole", "sparse_dot", {"AND p.vw < 40 ": "", "AND q.image_id % 20 = 0 ": ""}, ["a", "b", "dot"], []),
+    ("matmul_whole", "matmul", {"WHERE b.r < 4 ": ""}, ["r", "c"], ["x"]),
+    ("to_dense_whole", "to_dense", {"range(0, 10)": "range(0, 1000)", "WHERE vw < 10 ": ""}, ["image_id", "s"], []),
+    ("covariance_whole", "covariance", {"range(0, 8)": "range(0, 64)"}, ["i", "j"], ["c"]),
+    ("hadamard_project_whole", "hadamard_project", {" WHERE bit < 4": ""}, ["vec_id", "bit"], ["v"]),
+    ("affine_lsq_whole", "affine_lsq", {"e FROM hyp WHERE query_id = image_id AND n >= 6": "e, n FROM hyp"}, ["query_id", "image_id", "h0", "h1", "h2", "h3", "n"], []),
+    ("affine_inliers_whole", "affine_inliers", {" WHERE query_id = image_id AND qpt = dbpt": ""}, ["query_id", "image_id", "qpt", "dbpt", "n"], []),
+    ("match_coords_whole", "match_coords", {" WHERE m.qpt = m.dbpt": ""}, ["query_id", "image_id", "qpt", "dbpt"], ["qx", "x"]),
+])
+def test_all_words_dimensions_and_pairs(spark, db, name, sliced, changes, keys, values):
+    sql = ORACLE_SQL[sliced].replace(f"q.image_id < {fixtures.QUERY_IMAGES}", "q.image_id % 20 = 0")
+    for old, new in changes.items():
+        assert old in sql
+        sql = sql.replace(old, new)
+    close(QUERIES[name](spark, SF).toPandas(), db.execute(sql).df(), keys, values)
