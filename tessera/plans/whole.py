@@ -5,6 +5,8 @@ The queries without `_whole` keep their few query ids, words and dimensions, as
 
 from __future__ import annotations
 
+from math import pi
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,3 +142,35 @@ def _(spark, sf):
     m = _matches(postings(spark, sf))
     found = m.join(g.verify(m).select(*g.PAIR), list(g.PAIR), "left_semi")
     return found.select("query_id", "image_id", "qpt", "dbpt", F.round("qx", 4).alias("qx"), F.round("x", 4).alias("x"))
+
+
+# videos: ten images each, verified jointly ----------------------------------------------------------
+
+def _video() -> F.Column:
+    return F.floor(F.col("image_id") / 10)
+
+
+@query("joint_pair_scores")
+def _(spark, sf):
+    found = g.joint_inliers(_matches(postings(spark, sf)), _video())
+    return found.groupBy("query_id", F.col("grp").alias("video"), "image_id").agg(F.count("*").alias("nmatch"), r6(F.sum("score")).alias("score"))
+
+
+@query("joint_bbox_count")
+def _(spark, sf):
+    p = postings(spark, sf)
+    return bbox_counts(g.joint_inliers(_matches(p), _video()), p.withColumn("grp", _video()))
+
+
+def bbox_counts(inliers: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, video, x0, x1, y0, y1, n): the box of each video's inliers and how many of all its points (grp, x, y) lie in it."""
+    box = inliers.groupBy("query_id", "grp").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    inside = rows.select("grp", "x", "y").join(box, "grp").where("x >= x0 and x <= x1 and y >= y0 and y <= y1")
+    return inside.groupBy("query_id", F.col("grp").alias("video"), "x0", "x1", "y0", "y1").agg(F.count("*").alias("n"))
+
+
+@query("inlier_angle_hist")
+def _(spark, sf):
+    m = _matches(postings(spark, sf))
+    turn = (F.col("qangle") - F.col("angle")) / (2 * pi)
+    return g.agreeing(g.best_hypotheses(m), m).groupBy(F.floor((turn - F.floor(turn)) * 16).cast("long").alias("bin")).agg(F.count("*").alias("n"))

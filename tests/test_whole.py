@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.plans import ORACLE_SQL, QUERIES, fixtures
+from tessera.operators import geometry
+from tessera.plans import ORACLE_SQL, QUERIES, fixtures, whole
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,3 +98,29 @@ def test_all_words_dimensions_and_pairs(spark, db, name, sliced, changes, keys,
         assert old in sql
         sql = sql.replace(old, new)
     close(QUERIES[name](spark, SF).toPandas(), db.execute(sql).df(), keys, values)
+
+
+def test_videos_are_verified_jointly(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i, (x, y) in enumerate(rng.uniform(0, 300, (12, 2)).tolist()):  # half of a map's matches in either frame
+        rows.append((0, 100 + i % 2, i, i, 1.0, x, y, 2.0, 0.3, 1.05 * x + 15, 1.05 * y - 10, 2.1, 0.3))
+    for i in range(12):  # chance matches, in the same video and in another
+        x, y, u, w = rng.uniform(0, 900, 4).tolist()
+        rows.append((0, 102 if i % 2 else 777, i, 50 + i, 1.0, x, y, 2.0, 0.3, u, w, 3.1 + i, 0.3 + i / 5))
+    m = spark.createDataFrame(rows, "query_id long, image_id long, qpt long, dbpt long, score double, qx double, qy double, qscale double, qangle double, x double, y double, scale double, angle double")
+    found = geometry.joint_inliers(m, F.floor(F.col("image_id") / 10))
+    assert sorted((r["grp"], r["image_id"], r["dbpt"]) for r in found.collect()) == sorted((10, 100 + i % 2, i) for i in range(12))
+    points = m.select(F.floor(F.col("image_id") / 10).alias("grp"), "x", "y")
+    box, = whole.bbox_counts(found, points).collect()
+    planted = np.array([r[9:11] for r in rows[:12]])
+    assert np.allclose([box["x0"], box["x1"], box["y0"], box["y1"]], [planted[:, 0].min(), planted[:, 0].max(), planted[:, 1].min(), planted[:, 1].max()])
+    assert box["n"] == sum(r[1] // 10 == 10 and box["x0"] <= r[9] <= box["x1"] and box["y0"] <= r[10] <= box["y1"] for r in rows)
+
+
+def test_angles_are_those_of_inliers(spark):
+    hist = {r["bin"]: r["n"] for r in QUERIES["inlier_angle_hist"](spark, SF).collect()}
+    assert sum(hist.values()) == sum(r["nmatch"] for r in QUERIES["verify_whole"](spark, SF).collect())
+    scores = QUERIES["joint_pair_scores"](spark, SF).collect()
+    videos = {(r["query_id"], r["video"]) for r in QUERIES["joint_bbox_count"](spark, SF).collect()}
+    assert scores and {(r["query_id"], r["video"]) for r in scores} == videos
