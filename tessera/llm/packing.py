@@ -120,7 +120,7 @@ def pack(docs: DataFrame, spec: PackSpec = PackSpec()) -> DataFrame:
         end = np.array([spec.end_id], np.uint32)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = vocab.encode(text.as_py() or "", spec.vocabulary)
+                ids = vocab.document_ids(text.as_py() or "", spec.vocabulary)
                 packer.add(doc, np.concatenate([ids, end]))
                 if len(packer.out) >= 2000:
                     yield packer.drain()

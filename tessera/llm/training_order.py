@@ -72,7 +72,7 @@ def _streams(batches: Iterator[pa.RecordBatch], spec: OrderSpec) -> Iterator[tup
     end = np.array([spec.end_id], np.uint32)
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield doc, np.concatenate([vocab.encode(text.as_py() or "", spec.vocabulary), end])
+            yield doc, np.concatenate([vocab.document_ids(text.as_py() or "", spec.vocabulary), end])
 
 
 def sequence_counts(docs: DataFrame, spec: OrderSpec) -> dict[int, int]:
