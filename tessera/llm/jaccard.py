@@ -289,9 +289,27 @@ def _route_batch(rows: list) -> pa.RecordBatch:
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs less the documents that are not the smallest doc_id of their component; rows without doc_id stay."""
-    gone = near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each component, that of the smallest doc_id; rows without doc_id stay.
+
+    Rows are judged by their own text: where a doc_id repeats with several texts, each is a document. Of
+    rows with the same doc_id and text one stays.
+    """
+    key = F.col("doc_id").cast("long")
+    repeated = docs.where(key.isNotNull()).groupBy(key.alias("_id")).agg(F.count("*").alias("m")).where("m > 1").select("_id")
+    repeated = rowmap.written(repeated, "repeated")
+    if repeated.isEmpty():
+        gone = near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # a number of its own for every text of such a doc_id, above all others
+    top = docs.agg(F.max(key)).first()[0]
+    again = docs.join(repeated, key == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    again = rowmap.written(again.withColumn("_row", F.lit(top).cast("long") + 1 + F.monotonically_increasing_id()), "again")
+    rows = docs.join(repeated, key == F.col("_id"), "left_anti").withColumn("_row", key).unionByName(again)
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), k, percent).where("doc_id is not null").select(F.col("doc_id").alias("_row"), "component_id")
+    judged = found.join(rows.select("_row", key.alias("_id")), "_row")
+    kept = judged.groupBy("component_id").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_row")).select("_row")
+    gone = judged.select("_row").join(kept, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
