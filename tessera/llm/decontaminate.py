@@ -29,8 +29,8 @@ INSIDE[0x30:0x3A] = INSIDE[0x41:0x5B] = INSIDE[0x61:0x7B] = INSIDE[0x80:] = True
 STATE = "n_words long, word_spans array<struct<s:long,e:long>>, byte_spans array<struct<s:long,e:long>>, items array<string>"
 
 
-def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
-    """(item, n, h, words) of each distinct window of an item; items without words or id have none."""
+def benchmark_windows(benchmark: DataFrame, n: int, nameless: bool = False) -> DataFrame:
+    """(item, n, h, words) of each distinct window of an item; items without words have none, nor those without id unless `nameless`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,7 +48,9 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
                         rows.append((items[block.first + i], k, g - (1 << 64 if g >> 63 else 0), b" ".join(text[words.starts[j] : words.ends[j]] for j in range(at, at + k))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], ["item", "n", "h", "words"])
 
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    if not nameless:
+        items = items.where("item is not null")
     return items.mapInArrow(run, "item string, n int, h long, words binary").distinct()
 
 
@@ -99,13 +101,14 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS, nameless: bool = False) -> DataFrame:
     """docs with n_words, word_spans and byte_spans of the words inside occurring windows, and their items.
 
     Spans are maximal, in order, and end before `e`; items are distinct and sorted as strings. A null
     or empty text has no words; a repeated row gets its own result; an empty benchmark hits nothing.
+    With `nameless`, windows of items without id are hits too, which no item stands for.
     """
-    windows = benchmark_windows(benchmark, n)
+    windows = benchmark_windows(benchmark, n, nameless)
     windows = rowmap.written(windows, "windows")
     parts = max(1, -(-windows.count() // max_windows))
     windows = windows.withColumn("part", F.pmod("h", F.lit(parts)))
@@ -136,7 +139,7 @@ def _scan(docs: DataFrame, shared, first: bool) -> DataFrame:
                 for row, s, e, names in part.hits(block, words):
                     x = by_row.setdefault(row, ([], set()))
                     x[0].append((s, e))
-                    x[1].update(names)
+                    x[1].update(i for i in names if i is not None)
                 counts += words.counts.tolist()
                 for row in range(block.rows):
                     spans, names = by_row.get(row, ([], set()))
@@ -189,13 +192,13 @@ def cut_bytes(docs: DataFrame, spans: str = "byte_spans") -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5, nameless: bool = False) -> DataFrame:
     """The columns of docs: a document of which at least drop_share of the words are hit goes, of the others the hit spans."""
-    found = find_leaks(docs, benchmark, n)
+    found = find_leaks(docs, benchmark, n, nameless=nameless)
     kept = found.where((hit_words() == 0) | (hit_words() < drop_share * F.col("n_words")))
     return cut_bytes(kept).select(*docs.columns)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = find_leaks(rowmap.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = find_leaks(rowmap.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), nameless=True)
     return found.select("doc_id", "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("word_spans") > 0).alias("contaminated"))
