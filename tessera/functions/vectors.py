@@ -106,3 +106,65 @@ def inverse_affine(m: Column) -> Column:
     det = e[0] * e[4] - e[1] * e[3]
     inverse = F.array(e[4] / det, -e[1] / det, (e[1] * e[5] - e[4] * e[2]) / det, -e[3] / det, e[0] / det, (e[3] * e[2] - e[0] * e[5]) / det)
     return F.when(det != 0, inverse)
+
+
+def zeros(n: int) -> Column:
+    return F.array_repeat(F.lit(0.0), n)
+
+
+def constant(value: Column, n: int) -> Column:
+    return F.array_repeat(value, n)
+
+
+def numbered(n: int, first: int = 0) -> Column:
+    """first, first + 1, .. of n entries."""
+    return F.sequence(F.lit(first).cast("long"), F.lit(first + n - 1).cast("long"))
+
+
+def permutation(key: Column, n: int) -> Column:
+    """A random order of 0 .. n - 1 that depends on the key alone."""
+    drawn = F.transform(numbered(n), lambda i: F.struct(F.md5(F.concat(key.cast("string"), F.lit("-"), i.cast("string"))).alias("h"), i.alias("i")))
+    return F.transform(F.array_sort(drawn), lambda z: z["i"])
+
+
+def shuffled(values: Column, key: Column, n: int) -> Column:
+    """The n entries of an array in the order of `permutation`."""
+    return F.transform(permutation(key, n), lambda i: F.element_at(values, (i + 1).cast("int")))
+
+
+def histogram_distance(a: Column, b: Column) -> Column:
+    """Sum of the whole parts of the differences."""
+    return total(F.zip_with(a, b, lambda x, y: F.floor(F.abs(x - y)).cast("double")))
+
+
+def chi_distance(a: Column, b: Column) -> Column:
+    """Sum of ((x - y) / (x + y)) ** 2, 0 where x + y is 0."""
+    return total(F.zip_with(a, b, lambda x, y: F.when(x + y == 0, 0.0).otherwise((x - y) * (x - y) / ((x + y) * (x + y)))))
+
+
+def mahalanobis_diagonal(a: Column, b: Column, weights: Column) -> Column:
+    """Sum of squared differences under a weight for each entry."""
+    return total(F.zip_with(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), weights, lambda d, w: d * w))
+
+
+def mahalanobis(a: Column, b: Column, inverse: Column) -> Column:
+    """(a - b)' M (a - b) with the rows of the matrix M."""
+    d = subtract(a, b)
+    return inner_product(d, F.transform(inverse, lambda row: inner_product(row, d)))
+
+
+def polar_distance(lengths_a: Column, angles_a: Column, lengths_b: Column, angles_b: Column, cut: float | None = None) -> Column:
+    """Distance of vectors of (length, angle) pairs: lengths are compared after each is scaled by how near the angles are (1 the same, 0 opposite).
+
+    With `cut`, the lengths of pairs nearer than that are compared as they are, those of others with nothing.
+    """
+    near = F.zip_with(angles_a, angles_b, lambda s, t: F.when(F.abs(s - t) < pi, 1 - F.abs(s - t) / pi).otherwise(1 - (2 * pi - F.abs(s - t)) / pi))
+    both = F.zip_with(F.zip_with(lengths_a, lengths_b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), near, lambda p, k: F.struct(p["x"].alias("x"), p["y"].alias("y"), k.alias("k")))
+
+    def term(p: Column) -> Column:
+        x, y, k = p["x"], p["y"], p["k"]
+        if cut is not None:
+            return F.when(k > cut, (x - y) * (x - y)).otherwise(x * x + y * y)
+        return ((x - k * y) * (x - k * y) + (k * x - y) * (k * x - y)) / (1 + k * k)
+
+    return total(F.transform(both, term))

@@ -40,10 +40,10 @@ def kmeans_step(points: DataFrame, centroids: DataFrame) -> DataFrame:
     return means.select(F.col("id").alias(name), F.transform("c", lambda x: x["m"]).alias("centroid"), "n")
 
 
-def kmeans(points: DataFrame, k: int, rounds: int = 20, tolerance: float = 1e-9, salt: str = "") -> DataFrame:
-    """(vw, centroid, n) after Lloyd rounds from k points chosen by hash; an empty cell is re-seeded from a split of the largest."""
+def kmeans(points: DataFrame, k: int, rounds: int = 20, tolerance: float = 1e-9, salt: str = "", start: list | None = None) -> DataFrame:
+    """(vw, centroid, n) after Lloyd rounds from k points chosen by hash, or from the vectors `start`; an empty cell is re-seeded from a split of the largest."""
     spark = points.sparkSession
-    rows = [(i, r["vec"]) for i, r in enumerate(subset(points, "vec_id", k, salt).collect())]
+    rows = [(i, list(c)) for i, c in enumerate(start if start is not None else (r["vec"] for r in subset(points, "vec_id", k, salt).collect()))]
     for _ in range(rounds):
         table = spark.createDataFrame(rows, "vw long, centroid array<double>")
         found = {r["vw"]: r for r in kmeans_step(points, table).collect()}
@@ -91,6 +91,114 @@ def balance_step(counts: DataFrame, dim: int) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("vw", F.pow(F.col("n") / F.col("share"), F.lit(0.5 / dim**0.5)).alias("factor"))  # one row
 
 
+def balance_factors(points: DataFrame, centroids: DataFrame, rounds: int = 60, additive: bool = False) -> DataFrame:
+    """(vw, factor) after rounds of assignment under the factors so far; an empty cell counts as one of one point.
+
+    Factors multiply the squared distances, by (n / share) ** (0.5 / sqrt(dim)) a round; additive ones are
+    added, and grow by the cell's mean distance times (n / share) ** (0.2 / sqrt(dim)) - 1. A round is one
+    pass, of which a row for each centroid comes to the driver.
+    """
+    name = centroids.columns[0]
+    rows = sorted(centroids.select(F.col(name).cast("long").alias("vw"), "centroid").collect(), key=lambda r: r["vw"])
+    power = (0.2 if additive else 0.5) / len(rows[0]["centroid"]) ** 0.5
+    factor = {r["vw"]: 0.0 if additive else 1.0 for r in rows}
+    for _ in range(rounds):
+        book = points.sparkSession.createDataFrame([(r["vw"], r["centroid"], factor[r["vw"]]) for r in rows], f"vw long, centroid array<double>, {'offset' if additive else 'weight'} double")
+        found = {r["centroid_id"]: r for r in knn.nearest(points.select("vec"), book).groupBy("centroid_id").agg(F.count("*").alias("n"), F.avg("d2").alias("d")).collect()}
+        share = sum(r["n"] for r in found.values()) / len(rows)
+        for vw in factor:
+            grown = ((found[vw]["n"] if vw in found else 1) / share) ** power
+            factor[vw] = factor[vw] + (found[vw]["d"] if vw in found else 0.0) * (grown - 1) if additive else factor[vw] * grown
+    return points.sparkSession.createDataFrame(sorted(factor.items()), "vw long, factor double")
+
+
+def kmedoids(points: DataFrame, candidates: DataFrame, medoids: list[int], rounds: int) -> list[int]:
+    """Medoids after rounds of swaps: round r tries to replace medoid r (modulo their number) by the candidate that lowers the cost most.
+
+    candidates: a bounded set (id, centroid) that holds the first medoids. A swap that doesn't lower the
+    sum of squared distances is not made; among equals the smallest id enters. It ends when no medoid can
+    be replaced.
+    """
+    medoids, stuck = list(medoids), 0
+    for r in range(rounds):
+        slot = r % len(medoids)
+        best = medoid_swaps(points, candidates, medoids, medoids[slot]).orderBy(F.round("change", 9), "candidate").first()
+        if best is not None and best["change"] < -1e-9:
+            medoids[slot], stuck = best["candidate"], 0
+        else:
+            stuck += 1
+            if stuck == len(medoids):
+                break
+    return medoids
+
+
+def distance_corrections(centroids: DataFrame, k: int, alpha: float, rounds: int) -> DataFrame:
+    """(vw, factor) of contextual dissimilarity among centroids (vw, centroid), a bounded set.
+
+    A round takes each centroid's k nearest ones under squared factors (itself included), r as the mean of
+    the root of these distances times its own factor, and multiplies its factor by (geometric mean of r / r) ** alpha.
+    """
+    spark = centroids.sparkSession
+    rows = sorted(centroids.collect(), key=lambda r: r["vw"])
+    points = spark.createDataFrame([(r["vw"], r["centroid"]) for r in rows], "vec_id long, vec array<double>")
+    factor = {r["vw"]: 1.0 for r in rows}
+    for _ in range(rounds):
+        book = spark.createDataFrame([(r["vw"], r["centroid"], factor[r["vw"]] ** 2) for r in rows], "vw long, centroid array<double>, weight double")
+        near = knn.nearest(points, book, k).groupBy("vec_id").agg(F.avg(F.sqrt("d2")).alias("r")).collect()
+        r = {x["vec_id"]: x["r"] * factor[x["vec_id"]] for x in near}
+        mean = float(np.exp(np.mean(np.log(list(r.values())))))
+        factor = {vw: f * (mean / r[vw]) ** alpha for vw, f in factor.items()}
+    return spark.createDataFrame(sorted(factor.items()), "vw long, factor double")
+
+
+def pruned_kmeans(points: DataFrame, start: list, rounds: int, store) -> DataFrame:
+    """(vw, centroid, n): Lloyd rounds from the vectors `start` with bounds by the triangle inequality, the same result with fewer distances.
+
+    Every point keeps its cell, an upper bound of the distance to it and a lower one to each centroid. A
+    round moves the bounds by how far centroids went, and computes only distances that they leave open.
+    store(df, name) writes the points' state (the bounds) and reads it again.
+    """
+    spark = points.sparkSession
+    centroids = np.array(start, np.float64)
+    k = len(centroids)
+    state = points.select("vec", F.lit(0).alias("cell"), F.lit(float("inf")).alias("upper"), F.array_repeat(F.lit(0.0), k).alias("lower"))
+    moved, counts = np.zeros(k), np.zeros(k, np.int64)
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast((centroids, moved))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            c, moved = shared.value
+            apart = np.sqrt(knn.distances(c, c))
+            near = np.where(np.eye(len(c), dtype=bool), np.inf, apart).min(1) / 2
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                m, cell = knn.matrix(batch.column(0)), batch.column(1).to_numpy().copy()
+                upper, lower = batch.column(2).to_numpy() + moved[cell], np.maximum(knn.matrix(batch.column(3)) - moved, 0)
+                open_ = np.flatnonzero(upper > near[cell])
+                upper[open_] = np.sqrt(((m[open_] - c[cell[open_]]) ** 2).sum(1))
+                lower[open_, cell[open_]] = upper[open_]
+                for j in range(len(c)):
+                    at = open_[(cell[open_] != j) & (upper[open_] > lower[open_, j]) & (upper[open_] > apart[cell[open_], j] / 2)]
+                    d = np.sqrt(((m[at] - c[j]) ** 2).sum(1))
+                    lower[at, j] = d
+                    better = (d < upper[at]) | ((d == upper[at]) & (j < cell[at]))
+                    cell[at[better]], upper[at[better]] = j, d[better]
+                offsets = pa.array(np.arange(0, lower.size + 1, lower.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array(upper), pa.ListArray.from_arrays(offsets, pa.array(lower.ravel()))], ["vec", "cell", "upper", "lower"])
+
+        state = store(state.mapInArrow(run, "vec array<double>, cell int, upper double, lower array<double>"), "bounds")
+        sums = state.select("cell", F.posexplode("vec").alias("j", "x")).groupBy("cell", "j").agg(F.avg("x").alias("x"), F.count("*").alias("n")).collect()
+        new, counts = centroids.copy(), np.zeros(k, np.int64)
+        for r in sums:
+            new[r["cell"], r["j"]], counts[r["cell"]] = r["x"], r["n"]
+        moved = np.sqrt(((new - centroids) ** 2).sum(1)) * (1 + 1e-12)
+        centroids = new
+        if not moved.any():
+            break
+    return spark.createDataFrame([(i, c.tolist(), int(n)) for i, (c, n) in enumerate(zip(centroids, counts, strict=True))], "vw long, centroid array<double>, n long")
+
+
 def medoid_swaps(points: DataFrame, candidates: DataFrame, medoids: list[int], leaving: int) -> DataFrame:
     """(candidate, change): how the sum of squared distances to the nearest medoid changes if `leaving` is replaced."""
     d = knn.cross_distances(points, candidates).select("vec_id", F.col("centroid_id").alias("id"), "d2")

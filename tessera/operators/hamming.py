@@ -27,6 +27,21 @@ def random_orthogonal(n: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def whitened_basis(components: DataFrame, n: int, seed: int) -> np.ndarray:
+    """n rows: a random rotation of the principal directions, each divided by the root of its eigenvalue.
+
+    components: (component, value, vector) of `clustering.principal_components`, n of them at least.
+    """
+    rows = sorted(components.collect(), key=lambda r: r["component"])[:n]  # n vectors of one dimension
+    scaled = np.array([np.array(r["vector"]) / np.sqrt(max(r["value"], 1e-12)) for r in rows])
+    return random_orthogonal(n, seed) @ scaled
+
+
+def crop(projected: DataFrame, n: int, column: str = "proj") -> DataFrame:
+    """projected (or medians) with the first n components only."""
+    return projected.withColumn(column, F.slice(column, 1, n))
+
+
 def project(points: DataFrame, basis: np.ndarray, digits: int = 9) -> DataFrame:
     """points with `proj` = basis . vec, rounded so that a later comparison doesn't hang on the last bit."""
     at = points.columns.index("vec")
@@ -42,11 +57,15 @@ def project(points: DataFrame, basis: np.ndarray, digits: int = 9) -> DataFrame:
     return points.mapInArrow(run, schema)
 
 
-def medians(projected: DataFrame, words: DataFrame | None = None) -> DataFrame:
+def medians(projected: DataFrame, words: DataFrame | None = None, sample: int = 1_000_000) -> DataFrame:
     """(vw, medians): of each word the median of every projected component, the mean of the middle two.
 
-    Exact, for the bounded sample that the parameters are learned on. Words without points have zeros.
+    Learned on `sample` points at most (about; by a hash of vec_id), exact on all points where there are
+    no more. Words without points have zeros.
     """
+    n = projected.count()
+    if n > sample:
+        projected = projected.where(F.pmod(F.xxhash64("vec_id", F.lit(64)), F.lit(1_000_003)) < sample / n * 1_000_003)
     bits = projected.select("vw", F.posexplode("proj").alias("bit", "value"))
     found = bits.groupBy("vw", "bit").agg(F.percentile("value", 0.5).alias("m")).groupBy("vw").agg(F.sort_array(F.collect_list(F.struct("bit", "m"))).alias("b"))
     found = found.select("vw", F.transform("b", lambda x: x["m"]).alias("medians"))

@@ -142,8 +142,8 @@ def geometric_scores(bins: DataFrame, weights: DataFrame, window: int) -> DataFr
     return peaks.groupBy("query_id", "image_id").agg(F.min("m").alias("score"))
 
 
-def score_images(queries: DataFrame, postings: DataFrame, words: DataFrame, norms: DataFrame, query_norms: DataFrame, params: SearchParams) -> DataFrame:
-    """(query_id, image_id, score) of every image for every query: images without votes score 0."""
+def voted_scores(queries: DataFrame, postings: DataFrame, words: DataFrame, norms: DataFrame, query_norms: DataFrame, params: SearchParams) -> DataFrame:
+    """(query_id, image_id, score) of the images with votes for a query."""
     found = votes(probe(queries, postings, params.hamming), words, params)
     if params.burst_intra is not None:
         found = damp_within_images(found, params.burst_intra, params.cancel_multiple)
@@ -154,9 +154,15 @@ def score_images(queries: DataFrame, postings: DataFrame, words: DataFrame, norm
     else:
         scored = found.groupBy("query_id", "image_id").agg(F.sum("score").alias("score"))
     column = f"l{params.norm}"
-    qn = query_norms.select("query_id", F.col(column).alias("qn"))
-    every = norms.select("image_id", F.col(column).alias("n")).crossJoin(F.broadcast(qn))  # a batch of queries
-    return every.join(scored, ["query_id", "image_id"], "left").select("query_id", "image_id", (F.coalesce("score", F.lit(0.0)) / (F.col("n") * F.col("qn"))).alias("score"))
+    scored = scored.join(norms.select("image_id", F.col(column).alias("n")), "image_id").join(query_norms.select("query_id", F.col(column).alias("qn")), "query_id")
+    return scored.select("query_id", "image_id", (F.col("score") / (F.col("n") * F.col("qn"))).alias("score"))
+
+
+def score_images(queries: DataFrame, postings: DataFrame, words: DataFrame, norms: DataFrame, query_norms: DataFrame, params: SearchParams) -> DataFrame:
+    """(query_id, image_id, score) of every image for every query, as many rows as that is: images without votes score 0."""
+    scored = voted_scores(queries, postings, words, norms, query_norms, params)
+    every = norms.select("image_id").crossJoin(F.broadcast(query_norms.select("query_id")))  # a batch of queries
+    return every.join(scored, ["query_id", "image_id"], "left").select("query_id", "image_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -166,9 +172,20 @@ def top(scores: DataFrame, k: int) -> DataFrame:
 
 
 def search(queries: DataFrame, postings: DataFrame, codebook: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
+    """The best images of each query (query_id, image_id, score, rnk); images without votes score 0 and fill up by number.
+
+    Only images with votes are scored. A query with fewer than k of them is filled from the 2 k smallest
+    image numbers, among which the first k without votes must be.
+    """
     words = word_weights(postings, codebook, params.tfidf)
+    norms, k = image_norms(postings), params.shortlist
     query_norms = image_norms(queries.withColumn("image_id", F.col("query_id"))).withColumnRenamed("image_id", "query_id")
-    return top(score_images(queries, postings, words, image_norms(postings), query_norms, params), params.shortlist)
+    voted = top(voted_scores(queries, postings, words, norms, query_norms, params).where("score > 0"), k)
+    have = query_norms.select("query_id").join(voted.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k)
+    smallest = norms.select("image_id").orderBy("image_id").limit(2 * k)
+    none = have.select("query_id").crossJoin(F.broadcast(smallest)).join(voted.select("query_id", "image_id"), ["query_id", "image_id"], "left_anti")  # 2 k rows for a query
+    filled = none.select("query_id", "image_id", F.lit(0.0).alias("score"))
+    return top(voted.select("query_id", "image_id", "score").unionByName(filled), k)
 
 
 def merge(first: DataFrame, second: DataFrame, offset: int) -> DataFrame:
@@ -193,3 +210,8 @@ def gap_lengths(postings: DataFrame) -> DataFrame:
     w = Window.partitionBy("vw").orderBy("image_id", "pt")
     gaps = postings.select((F.col("image_id") - F.coalesce(F.lag("image_id").over(w), F.lit(-1))).alias("gap"))
     return gaps.groupBy("gap").agg(F.count("*").alias("n"))
+
+
+def without_zero_votes(votes: DataFrame) -> DataFrame:
+    """The votes that still count after damping and cancelling."""
+    return votes.where(F.col("score") > 0)

@@ -18,6 +18,23 @@ def strongest(points: DataFrame, n: int) -> DataFrame:
     return points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def first_points(points: DataFrame, n: int) -> DataFrame:
+    """The first n points of each image, by their number."""
+    w = Window.partitionBy("image_id").orderBy("pt")
+    return points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def ellipse(m11: Column, m12: Column, m21: Column, m22: Column) -> dict[str, Column]:
+    """Of the 2 x 2 map of a keypoint's shape: half axes (major, minor), the direction of the major one (v1, v2; v1 >= 0), and the root of the determinant."""
+    p, q, r = m11 * m11 + m12 * m12, m11 * m21 + m12 * m22, m21 * m21 + m22 * m22
+    root = F.sqrt((p - r) * (p - r) + 4 * q * q)
+    turn = F.atan2(2 * q, p - r) / 2
+    return {
+        "major": F.sqrt((p + r + root) / 2), "minor": F.sqrt(F.greatest(F.lit(0.0), (p + r - root) / 2)), "v1": F.cos(turn), "v2": F.sin(turn),
+        "size": F.sqrt(m11 * m22 - m12 * m21),
+    }
+
+
 def in_box(x0: float, x1: float, y0: float, y1: float) -> Column:
     return (F.col("x") > x0) & (F.col("x") < x1) & (F.col("y") > y0) & (F.col("y") < y1)
 

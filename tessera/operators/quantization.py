@@ -225,13 +225,15 @@ def build_lists(points: DataFrame, codebook: DataFrame, pq: ProductQuantizer) ->
     return encode(rest, pq).select("vw", "vec_id", "codes")
 
 
-def search_lists(queries: DataFrame, lists_: DataFrame, codebook: DataFrame, pq: ProductQuantizer, cells: int, k: int) -> DataFrame:
+def search_lists(queries: DataFrame, lists_: DataFrame, codebook: DataFrame, pq: ProductQuantizer, cells: int, k: int, ratio: float | None = None) -> DataFrame:
     """(query_id, vw, vec_id, d2, rnk): the k nearest codes in each query's nearest cells, by tables of the query's residuals.
 
     queries: query_id, vec. Codes meet the query's tables in a join on the cell, so that only the probed
-    lists are read.
+    lists are read. With a ratio, only cells nearer than ratio times the nearest are probed.
     """
     near = knn.nearest(queries.select("query_id", "vec"), codebook, cells)
+    if ratio is not None:
+        near = knn.within_ratio(near, ["query_id"], ratio)
     rest = near.join(codebook.select(F.col("vw").alias("centroid_id"), "centroid"), "centroid_id")
     rest = rest.select("query_id", F.col("centroid_id").alias("vw"), F.zip_with("vec", "centroid", lambda x, y: x - y).alias("vec"))
     shared = queries.sparkSession.sparkContext.broadcast(pq)
@@ -247,6 +249,66 @@ def search_lists(queries: DataFrame, lists_: DataFrame, codebook: DataFrame, pq:
     return nearest(found, k)
 
 
+def merge_lists(first: DataFrame, second: DataFrame, shift: int) -> DataFrame:
+    """The lists of two shards (vw, vec_id, codes) as one; the vec_ids of the second move by `shift`."""
+    return first.select("vw", "vec_id", "codes").unionByName(second.select("vw", (F.col("vec_id") + shift).alias("vec_id"), "codes"))
+
+
+def list_sizes(lists_: DataFrame, words: DataFrame) -> DataFrame:
+    """(vw, n) for every word, 0 where a list is empty."""
+    counts = lists_.groupBy("vw").agg(F.count("*").alias("n"))
+    return words.select("vw").join(counts, "vw", "left").select("vw", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def packed(coded: DataFrame, bits: int) -> DataFrame:
+    """coded with `codes` as bytes: `bits` bits for each subspace, low bits first, the last byte filled with zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = batch.schema.get_field_index("codes")
+                codes = batch.column(at).flatten().to_numpy().reshape(batch.num_rows, -1)
+                if codes.size and int(codes.max()) >> bits:
+                    raise ValueError(f"a code does not fit {bits} bits")
+                flags = (codes[:, :, None] >> np.arange(bits)) & 1
+                rows = np.packbits(flags.reshape(len(codes), -1).astype(np.uint8), axis=1, bitorder="little")
+                yield batch.set_column(at, "codes", pa.array([r.tobytes() for r in rows], pa.binary()))
+
+    return coded.mapInArrow(run, T.StructType([T.StructField("codes", T.BinaryType()) if f.name == "codes" else f for f in coded.schema.fields]))
+
+
+def unpacked(rows: DataFrame, subspaces: int, bits: int) -> DataFrame:
+    """rows with `codes` as arrays again; see `packed`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = batch.schema.get_field_index("codes")
+                body = np.frombuffer(b"".join(batch.column(at).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                flags = np.unpackbits(body, axis=1, bitorder="little")[:, : subspaces * bits].reshape(batch.num_rows, subspaces, bits)
+                yield batch.set_column(at, "codes", lists((flags.astype(np.int32) << np.arange(bits, dtype=np.int32)).sum(2, dtype=np.int32), pa.int32()))
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("codes", T.ArrayType(T.IntegerType())) if f.name == "codes" else f for f in rows.schema.fields]))
+
+
+def decoded(coded: DataFrame, pq: ProductQuantizer) -> DataFrame:
+    """(vec_id, vec) of codes."""
+    shared = coded.sparkSession.sparkContext.broadcast(pq)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                m = shared.value.decode(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists(m, pa.float64())], ["vec_id", "vec"])
+
+    return coded.select(F.col("vec_id").cast("long"), "codes").mapInArrow(run, "vec_id long, vec array<double>")
+
+
+def code_kmeans(coded: DataFrame, pq: ProductQuantizer, k: int, rounds: int, start: list | None = None) -> DataFrame:
+    """(vw, centroid, n): k-means of codes (vec_id, codes), whose vectors are made as they are read."""
+    return clustering.kmeans(decoded(coded, pq), k, rounds, start=start)
+
+
 def distance_scores(found: DataFrame, kind: int, sigma: float, k: int) -> DataFrame:
     """found (query_id, dqid, d2, ...) with `score` by one of the distance weights 0, 1, 2, 4, 5, 6, 8.
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +70,22 @@ def dot_products_salted(a: DataFrame, b: DataFrame, salts: int = 32) -> DataFram
     return right.join(left, ["vw", "salt"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
 
 
+def transposed(cells: DataFrame, row: str, column: str) -> DataFrame:
+    """Cells of a matrix with its rows as columns."""
+    return cells.select(F.col(column).alias(row), F.col(row).alias(column), *[c for c in cells.columns if c not in (row, column)])
+
+
+def matrix_vector(cells: DataFrame, vector: DataFrame) -> DataFrame:
+    """(r, y) of cells (r, i, x) and a vector (i, v)."""
+    return cells.join(vector, "i").groupBy("r").agg(F.sum(F.col("x") * F.col("v")).alias("y"))
+
+
+def submatrix(cells: DataFrame, rows: tuple[int, int], columns: tuple[int, int]) -> DataFrame:
+    """Cells (r, i, x) in ranges of rows and columns (ends exclusive), numbered from 0."""
+    inside = cells.where((F.col("r") >= rows[0]) & (F.col("r") < rows[1]) & (F.col("i") >= columns[0]) & (F.col("i") < columns[1]))
+    return inside.select((F.col("r") - rows[0]).alias("r"), (F.col("i") - columns[0]).alias("i"), "x")
+
+
 def matrix_product(a: DataFrame, b: DataFrame) -> DataFrame:
     """(r, c, x) of cells a (r, i, x) and b (i, c, y)."""
     return a.join(b, "i").groupBy("r", "c").agg(F.sum(F.col("x") * F.col("y")).alias("x"))
@@ -78,3 +98,152 @@ def earth_mover_1d(a: Column, b: Column) -> Column:
     zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("d"))
     moved = F.aggregate(step, zero, lambda s, z: F.struct((s["c"] + z["x"] / ta - z["y"] / tb).alias("c"), (s["d"] + F.abs(s["c"] + z["x"] / ta - z["y"] / tb)).alias("d")), lambda s: s["d"])
     return moved
+
+
+# atoms: small tables (atom, vw, a), bounded by their parameters ------------------------------------
+
+
+def _atoms(spark, supports: list) -> DataFrame:
+    return spark.createDataFrame([(i, int(w), 1.0) for i, support in enumerate(supports) for w in support], "atom long, vw long, a double")
+
+
+def intersection_atoms(spark, dim: int, depth: int, seed: int) -> DataFrame:
+    """dim - 1 atoms, each the words where `depth` rows of the Hadamard matrix (dim a power of two) are all positive.
+
+    The first row of atom i is a random permutation's entry i, the others stand 1, 2, 4 .. further on.
+    """
+    order = np.random.default_rng(seed).permutation(dim - 1)
+    words = np.arange(dim)
+    parity = lambda x: np.array([bin(v).count("1") & 1 for v in x.tolist()])
+    supports = []
+    for i in range(dim - 1):
+        rows = [1 + int(order[(i + ((1 << j) >> 1)) % (dim - 1)]) for j in range(depth)]
+        inside = np.ones(dim, bool)
+        for r in rows:
+            inside &= parity(words & r) == 0
+        supports.append(words[inside])
+    return _atoms(spark, supports)
+
+
+def random_atoms(spark, n: int, dim: int, rate: float, seed: int) -> DataFrame:
+    """n atoms that hold each word with probability `rate`."""
+    return _atoms(spark, [np.flatnonzero(row < rate) for row in np.random.default_rng(seed).random((n, dim))])
+
+
+def separate_atoms(spark, n: int, dim: int, support: int, seed: int, tries: int = 200) -> DataFrame:
+    """n atoms of `support` words, no two of which share more than one word: each further word is a permutation that keeps that.
+
+    If no permutation is found in so many tries, atoms are as large as they have become.
+    """
+    rng, found = np.random.default_rng(seed), [np.arange(n) % dim]
+    for _ in range(1, support):
+        pairs = {(int(a), int(b)) for i, x in enumerate(found) for y in found[i + 1 :] for a, b in zip(np.minimum(x, y), np.maximum(x, y), strict=True)}
+        column = None
+        for _ in range(tries):
+            free, column = set(range(dim)), np.full(n, -1)
+            fresh: set[tuple[int, int]] = set()
+            for atom in range(n):
+                own = [int(x[atom]) for x in found]
+                choice = [w for w in rng.permutation(sorted(free)).tolist() if w not in own and not any((min(w, o), max(w, o)) in pairs or (min(w, o), max(w, o)) in fresh for o in own)]
+                if not choice:
+                    column = None
+                    break
+                column[atom] = choice[0]
+                free.discard(choice[0])
+                fresh |= {(min(choice[0], o), max(choice[0], o)) for o in own}
+            if column is not None:
+                break
+        if column is None:
+            break
+        found.append(column)
+    return _atoms(spark, np.stack(found, 1))
+
+
+def aggregate_atoms(spark, n: int, dim: int, support: int, seed: int) -> DataFrame:
+    """Atoms of `support` words that share out the vocabulary, again for each of support * n / dim shuffles of it."""
+    rng, order, supports = np.random.default_rng(seed), np.arange(dim), []
+    rounds = max(1, support * n // dim)
+    for _ in range(rounds):
+        supports += [order[i * support : (i + 1) * support] for i in range(n // rounds)]
+        order = rng.permutation(order)
+    return _atoms(spark, supports)
+
+
+def crop_atoms(atoms: DataFrame, first: int, end: int) -> DataFrame:
+    """Atoms first .. end - 1, numbered from 0."""
+    return atoms.where((F.col("atom") >= first) & (F.col("atom") < end)).withColumn("atom", F.col("atom") - first)
+
+
+def add_atom(atoms: DataFrame, atom: int, words: list[int], values: list[float] | None = None) -> DataFrame:
+    """atoms with one more, or another in its place; values are 1 unless given."""
+    rows = [(atom, int(w), float(x)) for w, x in zip(words, values or [1.0] * len(words), strict=True)]
+    return atoms.where(F.col("atom") != atom).unionByName(atoms.sparkSession.createDataFrame(rows, "atom long, vw long, a double"))
+
+
+def sorted_atoms(atoms: DataFrame) -> DataFrame:
+    """(atom, words, values) with the words in order."""
+    rows = atoms.groupBy("atom").agg(F.sort_array(F.collect_list(F.struct("vw", "a"))).alias("p"))
+    return rows.select("atom", F.col("p.vw").alias("words"), F.col("p.a").alias("values"))
+
+
+# general earth mover's distance ---------------------------------------------------------------------
+
+
+def transport_cost(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> float:
+    """The least cost of moving weights a to weights b (of the same sum): shortest augmenting paths with potentials."""
+    n, m = len(a), len(b)
+    left, right, flow = a.astype(float).copy(), b.astype(float).copy(), np.zeros((n, m))
+    u, v_ = np.zeros(n), np.zeros(m)
+    tiny = 1e-12 * max(1.0, float(a.sum()))
+    while (left > tiny).any() and (right > tiny).any():
+        # distances from all rows with weight left, over reduced costs
+        du, dv = np.where(left > tiny, 0.0, np.inf), np.full(m, np.inf)
+        done_u, done_v, back_u, back_v = np.zeros(n, bool), np.zeros(m, bool), np.full(n, -1), np.full(m, -1)
+        while True:
+            i, j = int(np.where(done_u, np.inf, du).argmin()), int(np.where(done_v, np.inf, dv).argmin())
+            best_u, best_v = (np.inf if done_u[i] else du[i]), (np.inf if done_v[j] else dv[j])
+            if best_v <= best_u:
+                if right[j] > tiny or not np.isfinite(best_v):
+                    break
+                done_v[j] = True
+                back = np.flatnonzero((flow[:, j] > tiny) & ~done_u)
+                closer = back[dv[j] < du[back]]  # a move back costs what the move did
+                du[closer], back_u[closer] = dv[j], j
+            else:
+                done_u[i] = True
+                d = du[i] + np.maximum(cost[i] - u[i] - v_, 0)
+                closer = (d < dv) & ~done_v
+                dv[closer], back_v[closer] = d[closer], i
+        far = dv[j]
+        if not np.isfinite(far):
+            break
+        u -= np.minimum(np.where(np.isfinite(du), du, far), far) - far
+        v_ += np.minimum(np.where(np.isfinite(dv), dv, far), far) - far
+        path, at = [], j
+        while True:
+            i = int(back_v[at])
+            path.append((i, at, 1))
+            if back_u[i] < 0:
+                break
+            path.append((i, int(back_u[i]), -1))
+            at = int(back_u[i])
+        amount = min([left[i], right[j], *(flow[x, y] for x, y, s in path if s < 0)])
+        for x, y, s in path:
+            flow[x, y] += s * amount
+        left[i] -= amount
+        right[j] -= amount
+    return float((flow * cost).sum())
+
+
+def earth_mover(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, d) of rows with weights a, b (arrays of the same sum 1 after scaling) and the `cost` of each move (rows of a, columns of b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, cost in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                a, b, cost = np.array(a, float), np.array(b, float), np.array(cost, float)
+                out.append(transport_cost(a / a.sum(), b / b.sum(), cost) if len(a) and len(b) and a.sum() > 0 and b.sum() > 0 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], [key, "d"])
+
+    return pairs.select(key, "a", "b", "cost").mapInArrow(run, f"{key} long, d double")

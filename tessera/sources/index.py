@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+import json
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import inverted
+from tessera.sources import models
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; in one process, a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """A table that several parts of a plan read, written to the shared folder and read again."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def write(postings: DataFrame, path: str, parts: int = 64) -> None:
@@ -26,3 +49,17 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def for_words(postings: DataFrame, words: list[int], parts: int = 64) -> DataFrame:
     """The lists of a few words: their partitions and, by statistics, their row groups."""
     return postings.where(F.col("part").isin(sorted({w % parts for w in words})) & F.col("vw").isin(words))
+
+
+def store(postings: DataFrame, codebook: DataFrame, path: str, parts: int = 64, **settings) -> None:
+    """The whole of an index: postings and norms, the codebook, and a manifest with its shape and the settings of its searches."""
+    spark = postings.sparkSession
+    write(postings, path, parts)
+    facts = {"parts": parts, "words": codebook.count(), **settings}
+    models.write_tables(spark, "index", {"codebook": codebook}, f"{path}/model", **{k: json.dumps(x) for k, x in facts.items()})
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(postings, norms, the manifest's settings) of a stored index."""
+    said = models.manifest(spark, f"{path}/model", "index")
+    return *read(spark, path), {k: json.loads(x) for k, x in said.items() if k != "kind"}
