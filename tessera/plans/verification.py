@@ -70,12 +70,8 @@ def _(spark, sf):
     SELECT query_id, qpt, image_id, dbpt, round(1 - sqrt(d2) / sqrt(1.1::DOUBLE * max(d2) OVER (PARTITION BY query_id)), 6) + 0.0 AS score FROM k""")
 def _(spark, sf):
     d = descriptors(spark, sf)
-    parts = None
-    for i in range(2):
-        q = d.where(F.col("image_id") == i).withColumn("query_id", F.col("image_id"))
-        found = g.match_exact(q, d.where(F.col("image_id") != i), 3)
-        parts = found if parts is None else parts.unionByName(found)
-    return parts.select("query_id", "qpt", "image_id", "dbpt", r6(F.col("score")).alias("score"))
+    found = g.match_exact(d.where("image_id < 2").withColumn("query_id", F.col("image_id")), d, 3)
+    return found.select("query_id", "qpt", "image_id", "dbpt", r6(F.col("score")).alias("score"))
 
 
 @query("shortlist_semi", BASE + ", t AS (SELECT image_id FROM scores WHERE query_id = 1 ORDER BY score DESC, image_id LIMIT 10) SELECT image_id, pt, vw FROM post WHERE image_id IN (SELECT image_id FROM t)")
