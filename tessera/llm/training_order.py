@@ -1,26 +1,28 @@
 """Training-order materialisation: a keyed permutation gives every token sequence a global slot.
 
 Every input partition's texts, each closed by the end id, are one stream of ids, cut into sequences of
-a fixed length; the last is padded. A first pass counts the sequences of each partition, and so gives
-every sequence an index in 0 .. N - 1. A Feistel network over the next power of four, with
-cycle-walking, permutes these indices: the slots are dense, and the order depends on the key alone, not
-on a sort. Sequences are dealt to range partitions of slots, a shard each, sorted there and written as
-records of one size: slot s is record s % per_shard of shard s // per_shard, so that a reader can start
-anywhere and go on sequentially.
-
-The texts are tokenised in both passes: keeping the ids between them would take more disk than the
-shuffle and the shards together leave. A task of the second pass fails if its partition does not have
-as many sequences as it was counted. A shard is written under another name and then renamed; a shard
-that is there in full is not written again.
+a fixed length; the last is padded. The sequences are written to the shared folder, many to a row, and
+their numbers in each partition give every sequence an index in 0 .. N - 1. A Feistel network over the
+next power of four, with cycle-walking, permutes these indices: the slots are dense, and the order
+depends on the key alone, not on a sort. Sequences are dealt to range partitions of slots, a shard each,
+sorted there and written as records of one size: slot s is record s % per_shard of shard s // per_shard,
+so that a reader can start anywhere and go on sequentially.
+
+A manifest in the folder names the specification, the number of sequences and a checksum of the ids: a
+folder of another order is refused. A shard is written under another name and then renamed, with an
+index beside it that has a checksum for each record. Shards that agree with their index are kept and
+their sequences not shuffled again; damaged or missing ones are written anew.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -68,135 +70,226 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _streams(batches: Iterator[pa.RecordBatch], spec: OrderSpec) -> Iterator[tuple[int | None, np.ndarray]]:
-    end = np.array([spec.end_id], np.uint32)
+def _streams(batches: Iterator[pa.RecordBatch], spec: OrderSpec) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Of some documents after the other: their doc_ids, all their ids in a row, and where each document's begin."""
+    end, most = np.array([spec.end_id], np.uint32), np.iinfo(spec.id_type).max
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield doc, np.concatenate([vocab.document_ids(text.as_py() or "", spec.vocabulary), end])
+        for low in range(0, batch.num_rows, 64):
+            found = [x for ids in vocab.column_ids(batch.column(1).slice(low, 64), spec.vocabulary) for x in (ids, end)]
+            sizes = np.array([len(x) for x in found], np.int64).reshape(-1, 2).sum(1)
+            flat = np.concatenate(found)
+            if int(flat.max()) > most:
+                raise ValueError(f"id {int(flat.max())} does not fit {spec.id_type}")
+            yield batch.column(0).slice(low, 64).to_pylist(), flat, np.cumsum(sizes) - sizes
 
 
-def sequence_counts(docs: DataFrame, spec: OrderSpec) -> dict[int, int]:
-    """Sequences of each partition of docs: a number for each partition, whatever is in it."""
+#: Sequences in a row of `sequences`.
+ROW = 64
+ROWS = "part long, first long, sizes array<long>, docs array<array<long>>, crc long, body binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(len(ids) for _, ids in _streams(batches, spec))
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([-(-total // spec.length)], pa.int64())], ["part", "n"])
 
-    return {r["part"]: r["n"] for r in docs.mapInArrow(run, "part long, n long").collect()}
+def sequences(docs: DataFrame, spec: OrderSpec = OrderSpec()) -> DataFrame:
+    """The sequences of docs (doc_id, text), written to the shared folder: up to ROW of a partition in a row.
 
+    first: the number of the row's first sequence in the partition; sizes, docs: of each its ids without
+    padding and its documents; body: the ids, compressed. A null text is the end id alone; a document
+    without doc_id keeps its ids and is missing from docs; repeated rows are in the order each; other
+    columns are ignored; a text of any length is cut; an empty table has no rows.
+    """
 
-def assign_slots(docs: DataFrame, spec: OrderSpec = OrderSpec()) -> tuple[DataFrame, int]:
-    """(slot, n_tokens, doc_ids, body) of every sequence of docs (doc_id, text), and their number.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    body: the record, compressed. A null text is the end id alone; a document without doc_id keeps its
-    tokens and is missing from doc_ids; an empty table has no sequences.
+        pack, length = zstandard.ZstdCompressor(level=9), spec.length
+        part, index = TaskContext.get().partitionId(), 0
+        ids, first, owner = np.zeros(0, np.uint32), np.zeros(0, np.int64), []  # what is left, and the documents in it
+
+        def cut(n: int) -> pa.RecordBatch:
+            nonlocal index, ids, first, owner
+            own, end = ids[: n * length], n * length
+            low = np.maximum(np.searchsorted(first, np.arange(n) * length, "right") - 1, 0)
+            high = np.searchsorted(first, np.arange(1, n + 1) * length)
+            docs_of = [list(dict.fromkeys(d for d in owner[low[i] : high[i]] if d is not None)) for i in range(n)]
+            sizes = np.minimum(len(own) - np.arange(n) * length, length).tolist()
+            row = (part, index, sizes, docs_of, zlib.crc32(own), pack.compress(own.astype(spec.id_type).tobytes()))
+            keep = int(np.searchsorted(first, end, "right")) - 1 if len(ids) > end else len(first)
+            index, ids, first, owner = index + n, ids[end:], np.maximum(first[keep:] - end, 0), owner[keep:]
+            long = pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), long, pa.list_(long), pa.int64(), pa.binary()), strict=True)], ["part", "first", "sizes", "docs", "crc", "body"])
+
+        for docs_, flat, at in _streams(batches, spec):
+            first, owner, ids = np.concatenate([first, len(ids) + at]), owner + docs_, np.concatenate([ids, flat])
+            while len(ids) >= ROW * length:
+                yield cut(ROW)
+        if len(ids):
+            yield cut(-(-len(ids) // length))
+
+    return rowmap.written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ROWS), "sequences")
+
+
+def assign_slots(rows: DataFrame, starts: dict[int, int], total: int, spec: OrderSpec, done: np.ndarray) -> DataFrame:
+    """(slot, n_tokens, doc_ids, body) of the sequences in rows of `sequences` whose shards are not in `done`, a sorted array.
+
+    starts: how many sequences the partitions before each have; body: the record, compressed.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    counts = sequence_counts(docs, spec)
-    total = sum(counts.values())
-    starts, at = {}, 0
-    for part in sorted(counts):
-        starts[part] = at
-        at += counts[part]
-    shared = docs.sparkSession.sparkContext.broadcast((starts, counts, total))
+    shared = rows.sparkSession.sparkContext.broadcast((starts, done))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3)
-        starts, counts, total = shared.value
-        part = TaskContext.get().partitionId()
-        index, held, size, rows = starts.get(part, 0), [], 0, []
-        stop = index + counts.get(part, 0)
-
-        def flush() -> pa.RecordBatch:
-            slots = permute(np.array([r[0] for r in rows], np.int64), total, spec.key, spec.rounds)
-            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())], ["slot", "n_tokens", "doc_ids", "body"])
-
-        def close() -> None:
-            nonlocal held, size, index
-            ids = np.concatenate([x for _, x in held])
-            record = np.full(spec.length, spec.pad_id, spec.id_type)
-            record[: len(ids)] = ids
-            rows.append((index, len(ids), list(dict.fromkeys(d for d, _ in held if d is not None)), pack.compress(record.tobytes())))
-            held, size, index = [], 0, index + 1
-
-        for doc, ids in _streams(batches, spec):
-            while len(ids):
-                n = min(spec.length - size, len(ids))
-                held.append((doc, ids[:n]))
-                ids, size = ids[n:], size + n
-                if size == spec.length:
-                    close()
-            if len(rows) >= 512:
-                yield flush()
-                rows = []
-        if size:
-            close()
-        if index != stop:
-            raise RuntimeError(f"partition {part} has another number of sequences than it was counted")
-        if rows:
-            yield flush()
-
-    return docs.mapInArrow(run, "slot long, n_tokens long, doc_ids array<long>, body binary"), total
+        pack, unpack = zstandard.ZstdCompressor(level=5), zstandard.ZstdDecompressor()
+        starts, done = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = len(row["sizes"])
+                ids = np.frombuffer(unpack.decompress(row["body"]), spec.id_type)
+                records = np.full(n * spec.length, spec.pad_id, spec.id_type)
+                records[: len(ids)] = ids
+                index = starts[row["part"]] + row["first"]
+                slots = permute(np.arange(index, index + n), total, spec.key, spec.rounds)
+                own = np.flatnonzero(~np.isin(slots // spec.per_shard, done)).tolist()
+                bodies = [pack.compress(records[i * spec.length : (i + 1) * spec.length].tobytes()) for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array(slots[own]), pa.array([row["sizes"][i] for i in own], pa.int64()), pa.array([row["docs"][i] for i in own], pa.list_(pa.int64())), pa.array(bodies, pa.binary())], ["slot", "n_tokens", "doc_ids", "body"])
+
+    return rows.select("part", "first", "sizes", "docs", "body").mapInArrow(run, "slot long, n_tokens long, doc_ids array<long>, body binary")
 
 
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
+def index_name(shard: int) -> str:
+    return f"shard-{shard:08d}.arrow"
+
+
+def _folder(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _put(to, name: str, body: bytes) -> None:
+    """Writes a file that is there whole or not at all."""
+    part = posixpath.join(posixpath.dirname(name), f".{posixpath.basename(name)}.{uuid.uuid4().hex}")
+    with to.open_output_stream(part) as sink:
+        sink.write(body)
+    to.move(part, name)
+
+
+def _index(to, folder: str, shard: int, spec: OrderSpec) -> pa.Table | None:
+    """The index of a shard, if both are there and every record has its checksum."""
+    name, index = (posixpath.join(folder, f(shard)) for f in (shard_name, index_name))
+    if any(x.type.name != "File" for x in to.get_file_info([name, index])):
+        return None
+    try:
+        with to.open_input_file(index) as f:
+            rows = pa.ipc.open_file(f).read_all()
+        with to.open_input_stream(name) as f:
+            if any(zlib.crc32(f.read(spec.stride)) != crc for crc in rows.column("ids_crc32").to_pylist()) or f.read(1):
+                return None
+    except (OSError, pa.ArrowInvalid):
+        return None
+    return rows
+
+
+def _kept(spark, path: str, total: int, spec: OrderSpec) -> np.ndarray:
+    """The shards that are there and right, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, folder = _folder(path)
+        for batch in batches:
+            good = [s for s in batch.column(0).to_pylist() if (rows := _index(to, folder, s, spec)) is not None and len(rows) == min(spec.per_shard, total - s * spec.per_shard)]
+            yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], ["shard"])
+
+    shards = spark.range(0, -(-total // spec.per_shard)).mapInArrow(run, "shard long")
+    return np.array(sorted(r[0] for r in shards.collect()), np.int64)
+
+
 def write_shards(docs: DataFrame, path: str, spec: OrderSpec = OrderSpec()) -> DataFrame:
     """Writes the shards to the folder `path` as the result is computed: (slot, shard, byte_offset, n_tokens, doc_ids, ids_crc32).
 
-    path: a URI that pyarrow can write to, or a local path, shared by the executors.
+    path: a URI that pyarrow can write to, or a local path, shared by the executors. A folder that holds
+    another order (another specification or other texts) raises ValueError. For rows of docs see
+    `sequences`; an empty table gives no rows and no shards.
     """
-    rows, total = assign_slots(docs, spec)
+    spark = docs.sparkSession
+    rows = sequences(docs, spec)
+    # a row for each partition
+    parts = sorted(tuple(r) for r in rows.groupBy("part").agg(F.sum(F.size("sizes")).alias("n"), F.bit_xor(F.xxhash64("first", "crc")).alias("crc")).collect())
+    starts, total = {}, 0
+    for part, n, _ in parts:
+        starts[part] = total
+        total += n
+    said = json.dumps({"spec": asdict(spec), "sequences": total, "input": hashlib.sha256(repr(parts).encode()).hexdigest()}, sort_keys=True).encode()
+    to, folder = _folder(path)
+    to.create_dir(folder, recursive=True)
+    manifest = posixpath.join(folder, "manifest.json")
+    done = np.zeros(0, np.int64)
+    if to.get_file_info(manifest).type.name == "File":
+        with to.open_input_stream(manifest) as f:
+            if f.read() != said:
+                raise ValueError(f"{path} holds another training order")
+        done = _kept(spark, path, total, spec)
+    else:
+        _put(to, manifest, said)
     shards = max(1, -(-total // spec.per_shard))
+
+    def old(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, folder = _folder(path)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                rows = _index(to, folder, s, spec)
+                if rows is None:
+                    raise RuntimeError(f"shard {s} was there and is gone")
+                yield from rows.to_batches()
+
+    kept = spark.createDataFrame([(int(s),) for s in done], "shard long").mapInArrow(old, SCHEMA)
+    if total and len(done) == shards:
+        return kept
+    rows = assign_slots(rows, starts, total, spec, done)
     shard = F.floor(F.col("slot") / spec.per_shard).cast("long")
     dealt = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        from pyarrow import fs
 
         unpack = zstandard.ZstdDecompressor()
-        to, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        to.create_dir(folder, recursive=True)
-        name = part = sink = None
-        written = 0
+        to, folder = _folder(path)
+        shard = part = sink = None
+        made = []
         for batch in batches:
-            slots, shard_of = batch.column(0).to_numpy(), batch.column(4).to_numpy()
+            slots, shard_of = batch.column(0).to_numpy(), batch.column(4)
             crcs = []
-            for body, s in zip(batch.column(3).to_pylist(), shard_of.tolist(), strict=True):
-                if name is None:
-                    name, part = posixpath.join(folder, shard_name(s)), posixpath.join(folder, f".{shard_name(s)}.{uuid.uuid4().hex}")
+            for body in batch.column(3).to_pylist():
+                if sink is None:
+                    shard = shard_of[0].as_py()
+                    part = posixpath.join(folder, f".{shard_name(shard)}.{uuid.uuid4().hex}")
                     sink = to.open_output_stream(part)
                 record = unpack.decompress(body)
                 crcs.append(zlib.crc32(record))
                 sink.write(record)
-                written += len(record)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array(slots % spec.per_shard * spec.stride), batch.column(1), batch.column(2), pa.array(crcs, pa.int64())], ["slot", "shard", "byte_offset", "n_tokens", "doc_ids", "ids_crc32"])
+            made.append(pa.RecordBatch.from_arrays([batch.column(0), shard_of, pa.array(slots % spec.per_shard * spec.stride), batch.column(1), batch.column(2), pa.array(crcs, pa.int64())], ["slot", "shard", "byte_offset", "n_tokens", "doc_ids", "ids_crc32"]))
+            yield made[-1]
         if sink is not None:
             sink.close()
-            there = to.get_file_info(name)
-            if there.type == fs.FileType.File and there.size == written:
-                to.delete_file(part)
-            else:
-                to.move(part, name)
+            to.move(part, posixpath.join(folder, shard_name(shard)))
+            index = pa.BufferOutputStream()
+            with pa.ipc.new_file(index, made[0].schema) as f:
+                for x in made:
+                    f.write_batch(x)
+            _put(to, posixpath.join(folder, index_name(shard)), index.getvalue())
 
-    return dealt.select("slot", "n_tokens", "doc_ids", "body", "shard").mapInArrow(run, SCHEMA)
+    new = dealt.select("slot", "n_tokens", "doc_ids", "body", "shard").mapInArrow(run, SCHEMA)
+    return kept.unionByName(new) if len(done) else new
 
 
 def read_slots(path: str, first: int, count: int, spec: OrderSpec = OrderSpec()) -> np.ndarray:
     """The ids of `count` consecutive slots from `first` on, one row each; fewer at the end of the order."""
-    from pyarrow import fs
-
-    source, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    source, folder = _folder(path)
     out = []
     while count > 0:
         name = posixpath.join(folder, shard_name(first // spec.per_shard))
-        if source.get_file_info(name).type != fs.FileType.File:
+        if source.get_file_info(name).type.name != "File":
             break
         with source.open_input_file(name) as f:
             at = first % spec.per_shard
