@@ -119,8 +119,7 @@ def pack(docs: DataFrame, spec: PackSpec = PackSpec()) -> DataFrame:
         packer = Packer(spec, TaskContext.get().partitionId() << 36)
         end = np.array([spec.end_id], np.uint32)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = vocab.document_ids(text.as_py() or "", spec.vocabulary)
+            for doc, ids in zip(batch.column(0).to_pylist(), vocab.column_ids(batch.column(1), spec.vocabulary), strict=True):
                 packer.add(doc, np.concatenate([ids, end]))
                 if len(packer.out) >= 2000:
                     yield packer.drain()
