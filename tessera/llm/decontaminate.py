@@ -105,13 +105,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows:
     """docs with n_words, word_spans and byte_spans of the words inside occurring windows, and their items.
 
     Spans are maximal, in order, and end before `e`; items are distinct and sorted as strings. A null
-    or empty text has no words; a repeated row gets its own result; an empty benchmark hits nothing.
+    or empty text has no words; a text is read whole; a repeated row gets its own result; an empty
+    benchmark hits nothing; columns of docs with the names of these, in any case, are replaced.
     With `nameless`, windows of items without id are hits too, which no item stands for.
     """
     windows = benchmark_windows(benchmark, n, nameless)
     windows = rowmap.written(windows, "windows")
     parts = max(1, -(-windows.count() // max_windows))
-    windows = windows.withColumn("part", F.pmod("h", F.lit(parts)))
+    windows = windows.withColumn("part", F.pmod(F.xxhash64("h", "item"), F.lit(parts)))
     for k in range(parts):
         part = docs.sparkSession.sparkContext.broadcast(windows.where(F.col("part") == k).drop("part").collect())
         if k:
@@ -153,11 +154,11 @@ def _scan(docs: DataFrame, shared, first: bool) -> DataFrame:
                     items.append(sorted(names))
             span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
             made = [pa.array(counts, pa.int64()), pa.array(word_spans, span), pa.array(byte_spans, span), pa.array(items, pa.list_(pa.string()))]
-            kept = [c for c in batch.schema.names if c not in ("n_words", "word_spans", "byte_spans", "items")]
+            kept = [c for c in batch.schema.names if c.lower() not in ("n_words", "word_spans", "byte_spans", "items")]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + made, [*kept, "n_words", "word_spans", "byte_spans", "items"])
 
     clash = ("n_words", "word_spans", "byte_spans", "items")
-    kept = [c for c in docs.columns if c not in clash]
+    kept = [c for c in docs.columns if c.lower() not in clash]
     from pyspark.sql import types as T
 
     schema = T.StructType([docs.schema[c] for c in kept] + T._parse_datatype_string(STATE).fields)
@@ -193,10 +194,16 @@ def cut_bytes(docs: DataFrame, spans: str = "byte_spans") -> DataFrame:
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5, nameless: bool = False) -> DataFrame:
-    """The columns of docs: a document of which at least drop_share of the words are hit goes, of the others the hit spans."""
-    found = find_leaks(docs, benchmark, n, nameless=nameless)
+    """docs without leaks: a document of which at least drop_share of the words are hit goes, of the others the hit spans.
+
+    All columns stay as they are, whatever their names, but for text. Null and empty texts stay; texts
+    are read whole; repeated rows are judged alike; an empty table stays empty, and an empty benchmark
+    changes nothing. The words around a cut are not looked at again.
+    """
+    own, back = rowmap.set_aside(docs)
+    found = find_leaks(own, benchmark, n, nameless=nameless)
     kept = found.where((hit_words() == 0) | (hit_words() < drop_share * F.col("n_words")))
-    return cut_bytes(kept).select(*docs.columns)
+    return back(cut_bytes(kept))
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import rowmap
-from tessera.llm.textblocks import blocks
+from tessera.llm.textblocks import Block, blocks
 
 UNKNOWN = "und"
 
@@ -90,6 +90,31 @@ def _gram_ids(points: np.ndarray, bounds: np.ndarray, n: int, buckets: int) -> n
     return out
 
 
+#: Characters of a text that are looked at together; longer texts are taken in parts.
+PART = 1 << 20
+
+
+def _gram_parts(block, spec) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(characters, where each text starts and the last ends, buckets of the n-grams of each order that start at each character).
+
+    A block of one long text comes in parts, in order.
+    """
+    lower, _ = _folding()
+    if block.rows > 1 or len(block.data) <= PART:
+        points, bounds = _characters(block)
+        low = lower[points]
+        yield points, bounds, [_gram_ids(low, bounds, n, spec.buckets) for n in spec.orders]
+        return
+    more = max(spec.orders) - 1
+    heads = np.append(np.flatnonzero((block.data & 0xC0) != 0x80), len(block.data))
+    for a in range(0, len(heads) - 1, PART):
+        b = min(a + PART, len(heads) - 1)
+        end = heads[min(b + more, len(heads) - 1)]
+        points, bounds = _characters(Block(block.data[heads[a] : end], np.array([0, end - heads[a]]), 0))
+        low = lower[points]
+        yield points[: b - a], np.array([0, b - a]), [_gram_ids(low, bounds, n, spec.buckets)[: b - a] for n in spec.orders]
+
+
 def is_training() -> F.Column:
     return (F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("lang").isNotNull()
 
@@ -98,19 +123,19 @@ def _document_frequencies(docs: DataFrame, spec: LangSpec) -> DataFrame:
     """(bucket, df) over all docs; bucket -1 counts the docs. A partition gives a row for each bucket at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower, _ = _folding()
         df, seen, total = np.zeros(spec.buckets + 1, np.int64), np.zeros(spec.buckets + 1, bool), 0
         for batch in batches:
             total += batch.num_rows
             for block in blocks(batch.column(0)):
-                points, bounds = _characters(block)
-                ids = np.stack([_gram_ids(lower[points], bounds, n, spec.buckets) for n in spec.orders], 1)
-                for i in range(block.rows):
-                    own = ids[bounds[i] : bounds[i + 1]].ravel()
-                    seen[own] = True
-                    at = np.flatnonzero(seen)
-                    df[at] += 1
-                    seen[at] = False
+                for part, (_, bounds, ids) in enumerate(_gram_parts(block, spec)):
+                    ids = np.stack(ids, 1)
+                    for i in range(len(bounds) - 1):
+                        if part == 0:
+                            at = np.flatnonzero(seen)
+                            df[at] += 1
+                            seen[at] = False
+                        seen[ids[bounds[i] : bounds[i + 1]].ravel()] = True
+        df[seen] += 1
         at = np.flatnonzero(df[: spec.buckets])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], total), pa.int64())], ["bucket", "df"])
 
@@ -126,17 +151,25 @@ def _sample(docs: DataFrame, spec: LangSpec) -> list:
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_003)) < rate[F.col("lang")] * 1_000_003)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower, _ = _folding()
         for batch in batches:
             ids_out, counts_out = [], []
             for block in blocks(batch.column(1)):
-                points, bounds = _characters(block)
-                ids = np.stack([_gram_ids(lower[points], bounds, n, spec.buckets) for n in spec.orders], 1)
-                for i in range(block.rows):
-                    own = ids[bounds[i] : bounds[i + 1]].ravel()
-                    at, counts = np.unique(own[own < spec.buckets], return_counts=True)
+                sums = None  # of the parts of one long text
+                for _, bounds, ids in _gram_parts(block, spec):
+                    ids = np.stack(ids, 1)
+                    if block.rows == 1:
+                        own = np.bincount(ids.ravel(), minlength=spec.buckets + 1)
+                        sums = own if sums is None else sums + own
+                        continue
+                    for i in range(block.rows):
+                        own = ids[bounds[i] : bounds[i + 1]].ravel()
+                        at, counts = np.unique(own[own < spec.buckets], return_counts=True)
+                        ids_out.append(at.astype("<u4").tobytes())
+                        counts_out.append(counts.astype("<u4").tobytes())
+                if sums is not None:
+                    at = np.flatnonzero(sums[: spec.buckets])
                     ids_out.append(at.astype("<u4").tobytes())
-                    counts_out.append(counts.astype("<u4").tobytes())
+                    counts_out.append(sums[at].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids_out, pa.binary()), pa.array(counts_out, pa.binary())], ["doc_id", "lang", "ids", "counts"])
 
     return chosen.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, ids binary, counts binary").collect()
@@ -148,7 +181,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, spec: LangSpec = LangSpec()) -> LangModel | None:
-    """Learns from doc_id, text and lang of docs, all of which are training rows; None if there are none."""
+    """Learns from doc_id, text and lang of docs, all of which are training rows; None if there are none.
+
+    Rows without text or lang teach nothing; a null doc_id is a value like others, and repeated rows count each.
+    """
     docs = docs.where("text is not null and lang is not null")
     frequency = np.zeros(spec.buckets)
     total = 0
@@ -203,29 +239,30 @@ def predict(docs: DataFrame, model: LangModel | None) -> DataFrame:
     """docs with lang_pred and score, the calibrated probability of that language.
 
     A text that is null or has no letter is `und` with score 0, and so is every text without a model.
-    A tie goes to the first language by name. Columns of docs with these names are replaced.
+    A tie goes to the first language by name. Texts are read whole; repeated rows are judged alike; an
+    empty table stays empty. Columns of docs with these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts: pa.Array) -> list[pa.Array]:
         m: LangModel | None = shared.value
-        lower, letter = _folding()
+        _, letter = _folding()
         names, scores = [], []
         for block in blocks(texts):
-            points, bounds = _characters(block)
-            some = np.flatnonzero(np.diff(bounds))
-            has = np.zeros(block.rows, bool)
-            if len(some):
-                has[some] = np.logical_or.reduceat(letter[points], bounds[some])
+            k = len(m.languages) if m is not None else 1
+            has, sums, grams = np.zeros(block.rows, bool), np.zeros((block.rows, k)), np.zeros(block.rows, np.int64)
+            for points, bounds, ids in _gram_parts(block, m.spec if m is not None else LangSpec()):
+                some = np.flatnonzero(np.diff(bounds))
+                if len(some):
+                    has[some] |= np.logical_or.reduceat(letter[points], bounds[some])
+                if m is not None and len(some):
+                    rows = sum(np.take(m.weights, x, axis=0) for x in ids)
+                    sums[some] += np.add.reduceat(rows, bounds[some], axis=0)
+                    grams[some] += sum(np.add.reduceat((x < m.spec.buckets).astype(np.int64), bounds[some]) for x in ids)
             if m is None or not has.any():
                 names += [UNKNOWN] * block.rows
                 scores += [0.0] * block.rows
                 continue
-            low = lower[points]
-            rows = sum(np.take(m.weights, _gram_ids(low, bounds, n, m.spec.buckets), axis=0) for n in m.spec.orders)
-            sums = np.zeros((block.rows, len(m.languages)))
-            sums[some] = np.add.reduceat(rows, bounds[some], axis=0)
-            grams = sum(np.maximum(np.diff(bounds) - n + 1, 0) for n in m.spec.orders)
             p = _softmax((sums / np.maximum(grams, 1)[:, None] + m.bias) / m.temperature)
             best = p.argmax(1)
             names += [m.languages[b] if ok else UNKNOWN for b, ok in zip(best, has, strict=True)]
@@ -238,4 +275,6 @@ def predict(docs: DataFrame, model: LangModel | None) -> DataFrame:
 def op8_langid(spark, sf_dir: str) -> DataFrame:
     model = fit(rowmap.documents(spark, sf_dir, "doc_id", "text", "lang").where(is_training()))
     found = predict(rowmap.documents(spark, sf_dir), model)
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score")
+    # a document without doc_id is not learned from, and not held out
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,9 +12,11 @@ from pyspark.sql import types as T
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one is set only where none is, as in tests."""
+    """The folder that the cluster shares; one is set only where none is and all runs in one process, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -68,9 +71,31 @@ def with_columns_from_text(docs: DataFrame, added: str, compute: Callable[[pa.Ar
     return docs.mapInArrow(run, schema)
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Rows of text are wide: fewer of them go to a task's Python worker at once, which bounds its memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def set_aside(docs: DataFrame, *kept: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with every column but doc_id, text and `kept` under a name that clashes with nothing, and what gives the names back."""
+    kept = {"doc_id", "text", *kept}
+    names = [(c if c in kept else f"_own_{i}", c) for i, c in enumerate(docs.columns)]
+    return docs.toDF(*[a for a, _ in names]), lambda found: found.select(*[F.col(a).alias(c) for a, c in names])
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table of `written` that nothing reads any more."""
+    jvm = table.sparkSession._jvm
+    for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_batches(spark: SparkSession, rows: int = 2000, size: int = 64 << 20) -> None:
+    """Rows of text are wide: fewer of them, and so many bytes, go to a task's Python worker at once, which bounds its memory.
+
+    The session keeps these settings, since tables are computed later than they are declared; smaller ones stay.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.match(r"\d+$", spark.conf.get(key))
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, most)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

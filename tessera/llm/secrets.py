@@ -47,10 +47,16 @@ def base62_crc(body: bytes) -> bytes:
     return out
 
 
+#: Characters of a JWT header at most; longer ones are not decoded and not JWTs.
+MOST_HEADER = 8192
+
+
 def _jwt_header(part: bytes) -> bool:
+    if len(part) > MOST_HEADER:
+        return False
     try:
         head = json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4)))
-    except (ValueError, binascii.Error):
+    except (ValueError, binascii.Error, RecursionError):
         return False
     return isinstance(head, dict) and "alg" in head
 
@@ -115,8 +121,8 @@ def _batch_spans(texts: pa.Array) -> list[list[tuple[str, int, int]]]:
 def _in_characters(raw: bytes, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     if not spans or raw.isascii():
         return spans
-    count = lambda i: len(raw[:i].decode())
-    return [(k, count(s), count(e)) for k, s, e in spans]
+    before = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+    return [(k, int(before[s]), int(before[e])) for k, s, e in spans]
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -137,7 +143,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with each secret of their text replaced by the mark; overlapping spans become one mark."""
+    """docs with each secret of their text replaced by the mark; overlapping spans become one mark.
+
+    All columns stay as they are, whatever their names, but for text. A null text stays null, an empty
+    one empty; a text is read whole; repeated rows are redacted alike; an empty table stays empty. What
+    is left where a secret was is not looked at again.
+    """
 
     def compute(texts: pa.Array) -> list[pa.Array]:
         rows = []
@@ -153,7 +164,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             rows.append(b"".join([*out, raw[at:]]).decode())
         return [pa.array(rows, pa.string())]
 
-    return rowmap.with_columns_from_text(docs, "text string", compute).select(*docs.columns)
+    own, back = rowmap.set_aside(docs)
+    return back(rowmap.with_columns_from_text(own, "text string", compute))
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
