@@ -83,12 +83,12 @@ def severity_grades(examples: list[tuple[np.ndarray, np.ndarray]], toxic: np.nda
     return np.where(toxic == 1, 1 + (weight > np.median(weight[toxic == 1])), 0)
 
 
-def _labelled_sample(docs: DataFrame, labels: DataFrame, spec: ToxSpec) -> list:
-    """(doc_id, toxic, ids, counts) of about per_grade texts of each label, chosen by a hash of doc_id."""
+def _labelled_sample(docs: DataFrame, labels: DataFrame, spec: ToxSpec) -> tuple[np.ndarray, list]:
+    """The features kept, in order, and (doc_id, toxic, their numbers, counts) of about per_grade texts of each label, chosen by a hash of doc_id."""
     flags = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in flags.groupBy("toxic").count().collect()}
     if not sizes:
-        return []
+        return np.zeros(0, np.uint64), []
     rate = F.create_map(*[F.lit(x) for flag, n in sizes.items() for x in (flag, min(1.0, spec.per_grade / n))])
     chosen = flags.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_003)) < rate[F.col("toxic")] * 1_000_003)
 
@@ -104,7 +104,31 @@ def _labelled_sample(docs: DataFrame, labels: DataFrame, spec: ToxSpec) -> list:
 
     # the sample is bounded by the specification, and so may be broadcast
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    return rows.mapInArrow(run, "doc_id long, toxic int, ids binary, counts binary").collect()
+    sample = rowmap.written(rows.mapInArrow(run, "doc_id long, toxic int, ids binary, counts binary"), "labelled")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(ids)], ["id"])
+
+    # only features of enough texts leave the executors, and max_features at most
+    frequent = sample.select("ids").mapInArrow(listed, "id long").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= spec.min_texts)
+    kept = np.sort(np.array([r["id"] for r in frequent.orderBy(F.desc("n"), "id").limit(spec.max_features).select("id").collect()], np.int64).view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(kept)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            ids_out, counts_out = [], []
+            for ids, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                ids, counts = np.frombuffer(ids, "<u8"), np.frombuffer(counts, "<u4")
+                at = np.minimum(np.searchsorted(known, ids), max(0, len(known) - 1))
+                has = known[at] == ids if len(known) else np.zeros(len(ids), bool)
+                ids_out.append(at[has].astype("<u4").tobytes())
+                counts_out.append(counts[has].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids_out, pa.binary()), pa.array(counts_out, pa.binary())], ["doc_id", "toxic", "ids", "counts"])
+
+    return kept, sample.mapInArrow(own, "doc_id long, toxic int, ids binary, counts binary").collect()
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_features: int, spec: ToxSpec) -> tuple[np.ndarray, np.ndarray]:
@@ -141,23 +165,15 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_f
 
 
 def fit(docs: DataFrame, labels: DataFrame, spec: ToxSpec = ToxSpec()) -> ToxModel | None:
-    """labels: doc_id and toxic (0 or 1; the largest counts where a doc_id has several). None without labelled texts."""
-    rows = sorted(_labelled_sample(docs.where("text is not null"), labels, spec), key=lambda r: (r.doc_id, r.ids))
-    if not rows:
-        return None
-    raw = [(np.frombuffer(r.ids, "<u8"), np.frombuffer(r.counts, "<u4")) for r in rows]
-    hashes, texts = np.unique(np.concatenate([ids for ids, _ in raw]), return_counts=True)
-    kept = texts >= spec.min_texts
-    if kept.sum() > spec.max_features:
-        kept &= texts > np.sort(texts)[-spec.max_features]
-    hashes = hashes[kept]
+    """labels: doc_id and toxic (0 or 1; the largest counts where a doc_id has several). None without labelled texts.
+
+    Rows without doc_id, text or label teach nothing; an empty text has no features; repeated rows count each.
+    """
+    hashes, rows = _labelled_sample(docs.where("text is not null"), labels, spec)
     if not len(hashes):
         return None
-    examples = []
-    for ids, counts in raw:
-        at = np.minimum(np.searchsorted(hashes, ids), len(hashes) - 1)
-        own = hashes[at] == ids
-        examples.append((at[own].astype(np.int64), counts[own].astype(float)))
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.ids, r.counts))
+    examples = [(np.frombuffer(r.ids, "<u4").astype(np.int64), np.frombuffer(r.counts, "<u4").astype(float)) for r in rows]
     grades = severity_grades(examples, np.array([r.toxic for r in rows]))
     weights, thresholds = train([(i, 1 + np.log(c)) for i, c in examples], grades, len(hashes), spec)
     used = np.flatnonzero(weights)
