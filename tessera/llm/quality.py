@@ -110,7 +110,8 @@ def fit(sample: DataFrame, spec: RuleSpec = RuleSpec()) -> list[list[Literal]]:
     without bad texts. Ties go to the earlier feature and the smaller threshold.
     """
     marks = [i / (spec.thresholds + 1) for i in range(1, spec.thresholds + 1)]
-    cuts_of = sample.groupBy("bad").agg(*[F.percentile_approx(f, marks, 10_000).alias(f) for f in FEATURES]).collect()
+    # exact, so that the list doesn't depend on how the bounded sample is partitioned
+    cuts_of = sample.groupBy("bad").agg(*[F.percentile(f, F.array(*[F.lit(m) for m in marks])).alias(f) for f in FEATURES]).collect()
     if not any(r["bad"] for r in cuts_of):
         return []
     # values half-way between quantiles of either class, so that no threshold is a value of one of them
@@ -186,7 +187,11 @@ def rule_number(rules: list[list[Literal]]) -> Column:
 
 
 def judge(docs: DataFrame, rules: list[list[Literal]]) -> DataFrame:
-    """statistics(docs) with base_failed, rule (its number, 0 for none) and kept."""
+    """statistics(docs) with base_failed, rule (its number, 0 for none) and kept.
+
+    A null or empty text fails for want of words; texts are read whole; repeated rows are judged alike; an
+    empty table stays empty; columns with these names, in any case, are replaced.
+    """
     return statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", rule_number(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
