@@ -14,32 +14,47 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, langid, packing, rowmap, secrets
 
-#: Below this calibrated probability a language counts as not recognised.
+#: A language with a calibrated probability below this counts as not recognised, and the document goes. Between four
+#: languages it drops what the classifier all but guesses at: on the small check table no document that has a language.
 LEAST_SCORE = 0.4
 
 
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language of the training rows; only text and non-null lang are learned from."""
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs in a language of the training rows; only text and non-null lang are learned from.
+
+    Null and empty texts and texts without a letter go, and so do all rows if no row has text and lang.
+    Every column stays as it is, whatever its name; repeated rows are judged alike; texts are read whole.
+    """
     rowmap.text_batches(spark)
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    found = langid.predict(docs, model)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    own, back = rowmap.set_aside(docs)
+    return back(langid.predict(own, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least_score)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8), that of the smallest doc_id.
+
+    Rows without doc_id stay, and so do null and empty texts, of which one of each doc_id is left.
+    """
     return jaccard.keep_first(docs, k=5, percent=80)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without documents that are benchmark text for half of their words or more, and of others without those passages.
+
+    Benchmark rows without text have no passages, those without item_id have. n_chars follows the text.
+    """
     kept = decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), nameless=True)
     return _recounted(kept, docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with every secret of their texts replaced by a mark; no row goes. n_chars follows the text."""
     return _recounted(secrets.redact(docs), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences of at most 2048 tokens; see `packing.pack` for null and empty texts and ids."""
     return packing.pack(docs)
 
 
