@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import stored
+
 
 def top_k(rows: DataFrame, value: str, k: int, tie: str, largest: bool = True) -> DataFrame:
     """The k rows with the largest (or smallest) values. The limit is the feature: each task keeps k rows."""
@@ -20,7 +22,7 @@ def value_ranks(rows: DataFrame, values: DataFrame, column: str, decreasing: boo
     counts = rows.select(F.col(column).cast("double").alias("value")).where("value is not null and not isnan(value)").groupBy("value").agg(F.count("*").alias("n"))
     every = counts.join(wanted.withColumn("_w", F.lit(True)), "value", "full").select("value", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("_w", F.lit(False)).alias("wanted"))
     # two levels: the sums of ranges of values, then within each, so that no task sees all values
-    ranged = every.repartitionByRange("value").withColumn("_p", F.spark_partition_id())
+    ranged = stored(every.repartitionByRange("value").withColumn("_p", F.spark_partition_id()), "ranged")  # both uses see the same ranges
     order = F.desc if decreasing else F.asc
     within = F.sum("n").over(Window.partitionBy("_p").orderBy(order("value"))) - F.col("n")
     totals = ranged.groupBy("_p").agg(F.sum("n").alias("t"))

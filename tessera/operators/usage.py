@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import stored
+
 
 def calendar(facts: DataFrame, day: str) -> DataFrame:
     """Every day of the years between the first and the last fact: a few thousand rows, whatever the number of facts."""
@@ -40,6 +42,7 @@ def next_ids(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataF
     """new with consecutive ids after the largest existing one: counts of ranges of the order, not one window over all rows."""
     start = existing.agg(F.coalesce(F.max(key), F.lit(-1)).alias("start"))
     sorted_rows = new.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sorted_rows = stored(sorted_rows, "ranged")  # both uses see the same ranges
     sizes = sorted_rows.groupBy("_p").agg(F.count("*").alias("c"))
     before = sizes.select("_p", (F.sum("c").over(Window.orderBy("_p")) - F.col("c")).alias("before"))  # a row for each partition
     return sorted_rows.join(before, "_p").crossJoin(F.broadcast(start)).withColumn("id", F.col("start") + 1 + F.col("before") + F.col("_i")).drop("_p", "_i", "before", "start")
@@ -56,7 +59,7 @@ def text_search(docs: DataFrame, words: list[str], k1: float = 1.2, b: float = 0
     counted = docs.select("doc_id", F.filter(tokens, lambda t: t != "").alias("t"))
     times = lambda w: F.size(F.filter("t", lambda t: t == F.lit(w)))
     counts = [times(w).alias(f"c{i}") for i, w in enumerate(words)]
-    rows = counted.select("doc_id", F.size("t").alias("len"), *counts)
+    rows = stored(counted.select("doc_id", F.size("t").alias("len"), *counts), "counted")
     stats = rows.agg(F.count("*").alias("total"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in range(len(words))])
     joined = rows.where(" or ".join(f"c{i} > 0" for i in range(len(words)))).crossJoin(F.broadcast(stats))  # one row
     parts = []

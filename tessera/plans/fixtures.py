@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as v
 from tessera.operators import hamming, inverted, knn
 from tessera.plans.registry import table
-from tessera.sources import index
+from tessera.sources.scratch import stored
 
 WORDS = 16
 BITS = 64
@@ -45,9 +45,9 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, pt, vw, binsign, qscale, qangle, cornerness and geometry of every descriptor, written once for all parts of a plan."""
-    projected = index.stored(hamming.project(assigned(spark, sf_dir), hamming.hadamard(BITS)), "projected")
+    projected = stored(hamming.project(assigned(spark, sf_dir), hamming.hadamard(BITS)), "projected")
     medians = hamming.medians(projected)
-    return index.stored(inverted.with_geometry(hamming.signatures(projected, medians)).drop("proj"), "postings")
+    return stored(inverted.with_geometry(hamming.signatures(projected, medians)).drop("proj"), "postings")
 
 
 def query_points(points: DataFrame) -> DataFrame:

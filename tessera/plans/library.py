@@ -16,6 +16,7 @@ from tessera.plans.registry import query
 from tessera.plans.retrieval import r6
 from tessera.plans.verification import M, matches
 from tessera.sources import binary, index, models
+from tessera.sources.scratch import scratch, stored
 
 
 # points --------------------------------------------------------------------------------------------
@@ -127,7 +128,7 @@ def _(spark, sf):
 
 @query("kmeans_pruned", _kmeans_sql(BASE, "d", _START, 3))
 def _(spark, sf):
-    return _cells(clustering.pruned_kmeans(_points(spark, sf), _start(spark, sf, 6), 3, index.stored))
+    return _cells(clustering.pruned_kmeans(_points(spark, sf), _start(spark, sf, 6), 3, stored))
 
 
 # codes and lists -----------------------------------------------------------------------------------
@@ -249,6 +250,50 @@ def _(spark, sf):
     return cells.groupBy("query_id", "image_id").agg(F.count_distinct("qpt1", "dbpt1", "qpt2", "dbpt2").alias("pairs"), F.round(F.sum("vote"), 5).alias("votes"))
 
 
+# whole vectors of operations whose other queries return sums -------------------------------------------
+
+
+@query("vec_elements", E + """SELECT vec_id, i, i * label AS ranged, round(sqrt(abs((v[i + 1] + 1) * 3 / 2 - 0.5)), 6) AS scalar, round(v[i + 1] + u[i + 1], 6) + 0.0 AS added, round(v[i + 1] - u[i + 1], 6) + 0.0 AS subtracted,
+    round(v[i + 1] * u[i + 1], 6) + 0.0 AS multiplied, round(v[i + 1] / list_sum(list_transform(v, lambda y: abs(y))), 6) + 0.0 AS normalized, round(CASE WHEN v[i + 1] < -0.1 THEN 7 ELSE v[i + 1] END, 6) + 0.0 AS purged,
+    round((floor((v[i + 1] + 1) * 127.5) + 0.5) / 512, 6) AS rescaled FROM f CROSS JOIN (SELECT unnest(range(0, 64)) AS i)""")
+def _(spark, sf):
+    a, b = F.col("v"), F.col("u")
+    made = {
+        "ranged": F.transform(v.numbered(64), lambda i: i * F.col("label")), "scalar": F.transform(a, lambda x: F.sqrt(F.abs((x + 1) * 3 / 2 - 0.5))), "added": v.add(a, b), "subtracted": v.subtract(a, b), "multiplied": v.multiply(a, b),
+        "normalized": v.normalized(a, 1), "purged": v.without_nans(F.transform(a, lambda x: F.when(x < -0.1, F.lit(float("nan"))).otherwise(x)), 7.0), "rescaled": F.transform(a, lambda x: (F.floor((x + 1) * 127.5) + 0.5) / 512),
+    }
+    rows = _pairs(spark, sf).select("vec_id", F.posexplode(F.arrays_zip(*[c.alias(k) for k, c in made.items()])).alias("i", "x"))
+    return rows.select("vec_id", F.col("i").cast("long").alias("i"), F.col("x.ranged").alias("ranged"), *[r6(F.col(f"x.{k}")).alias(k) for k in made if k != "ranged"])
+
+
+@query("pq_elements", P + "SELECT code.vec_id, code.q * 8 + j.j AS i, round(sub.v[j.j + 1], 6) + 0.0 AS part, round(pc.v[j.j + 1], 6) + 0.0 AS decoded FROM code JOIN pc USING (q, c) JOIN sub ON sub.vec_id = code.vec_id AND sub.q = code.q CROSS JOIN (SELECT unnest(range(0, 8)) AS j) j")
+def _(spark, sf):
+    model = _model(spark, sf)
+    back = pq.decoded(pq.encode(_points(spark, sf), model), model).withColumnRenamed("vec", "back")
+    rows = _points(spark, sf).join(back, "vec_id").select("vec_id", F.posexplode(F.arrays_zip(F.col("vec").alias("a"), F.col("back").alias("b"))).alias("i", "x"))
+    return rows.select("vec_id", F.col("i").cast("long").alias("i"), r6(F.col("x.a")).alias("part"), r6(F.col("x.b")).alias("decoded"))
+
+
+@query("invert_affine_whole", BASE + """SELECT vec_id, round(e / det, 5) + 0.0 AS a0, round(-b / det, 5) + 0.0 AS a1, round((b * f - e * c) / det, 4) + 0.0 AS a2, round(-dd / det, 5) + 0.0 AS a3, round(a / det, 5) + 0.0 AS a4, round((dd * c - a * f) / det, 4) + 0.0 AS a5
+    FROM (SELECT *, a * e - b * dd AS det FROM (SELECT vec_id, 1 + vec[1] AS a, vec[2] AS b, x AS c, vec[3] AS dd, 1 + vec[4] AS e, y AS f FROM d))""")
+def _(spark, sf):
+    at = lambda i: F.col("vec")[i]
+    m = F.array(1 + at(0), at(1), F.col("x"), at(2), 1 + at(3), F.col("y"))
+    inverse = descriptors(spark, sf).select("vec_id", m.alias("m")).select("vec_id", v.inverse_affine(F.col("m")).alias("i"))
+    return inverse.select("vec_id", *[(F.round(F.col("i")[k], 4 if k in (2, 5) else 5) + 0.0).alias(f"a{k}") for k in range(6)])
+
+
+@query("he_signature_words", BASE + """, w AS (SELECT vec_id, sum(CASE WHEN bit < 16 AND v >= m THEN 1::BIGINT << bit ELSE 0 END)::BIGINT AS a, sum(CASE WHEN bit >= 16 AND bit < 48 AND v >= m THEN 1::BIGINT << (bit - 16) ELSE 0 END)::BIGINT AS b, sum(CASE WHEN bit >= 48 AND v >= m THEN 1::BIGINT << (bit - 48) ELSE 0 END)::BIGINT AS c FROM proj JOIN med USING (vw, bit) GROUP BY vec_id)
+    SELECT vec_id, b AS low, c + (a << 16) AS high, b & 65535 AS second FROM w""")
+def _(spark, sf):
+    """80 bits in two words: components 16 to 63, and then 0 to 31, of which the second word has 16."""
+    p = hamming.project(assigned(spark, sf), hamming.hadamard(BITS))
+    turned = lambda c: F.concat(F.slice(c, 17, 48), F.slice(c, 1, 32))
+    wide = hamming.wide_signatures(p.withColumn("proj", turned("proj")), hamming.medians(p).withColumn("medians", turned("medians")), 80)
+    first = F.col("binsigns")[0]
+    return wide.select("vec_id", first.bitwiseAND(F.lit((1 << 32) - 1).cast("long")).alias("low"), F.shiftrightunsigned(first, 32).alias("high"), F.col("binsigns")[1].alias("second"))
+
+
 # atoms, matrices, distances ------------------------------------------------------------------------
 
 
@@ -355,7 +400,7 @@ def _stored(spark, sf) -> str:
         F.lit("").alias("file"), "pt", "x", "y", F.col("image_id").alias("scale"), F.col("pt").alias("angle"), *[F.lit(float(i in (0, 3))).alias(f"mi{n}") for i, n in enumerate((11, 12, 21, 22))], "cornerness", body.alias("desc")
     )
     rows = rows.select(*[F.col(c).cast("float") if c in binary.GEOMETRY else F.col(c) for c in rows.columns])
-    path = index.scratch(spark, "points")
+    path = scratch(spark, "points")
     rows.write.format("points").option("layout", "siftgeo").mode("append").save(path)
     return path
 
@@ -381,7 +426,7 @@ def _(spark, sf):
 @query("points_read_first", "SELECT least(7, count(*)) AS n FROM embeddings")
 def _(spark, sf):
     """The first rows of each file; all descriptors are in one here."""
-    path = index.scratch(spark, "first")
+    path = scratch(spark, "first")
     spark.read.format("points").load(_stored(spark, sf)).coalesce(1).write.format("points").option("layout", "siftgeo").mode("append").save(path)
     return spark.read.format("points").option("first", 7).load(path).agg(F.count("*").alias("n"))
 
@@ -405,7 +450,7 @@ def _vector_files(spark, sf, kind: str) -> DataFrame:
     """Vectors with their vec_id in front, written and read."""
     binary.register(spark)
     rows = _vectors(spark, sf).select(F.lit("").alias("file"), F.col("vec_id").alias("id"), F.concat(F.array(F.col("vec_id").cast("float")), F.transform("v", lambda z: z.cast("float"))).alias("vec"))
-    path = index.scratch(spark, kind)
+    path = scratch(spark, kind)
     rows.write.format(kind).mode("append").save(path)
     back = spark.read.format(kind).option("dim", 65).load(path)
     return back.select(F.col("vec")[0].cast("long").alias("vec_id"), F.posexplode(F.slice("vec", 2, 64)).alias("i", "value")).select("vec_id", F.col("i").cast("long").alias("i"), "value")
@@ -414,7 +459,7 @@ def _vector_files(spark, sf, kind: str) -> DataFrame:
 @query("ivecs_roundtrip", "SELECT vec_id, label::BIGINT AS label FROM embeddings")
 def _(spark, sf):
     binary.register(spark)
-    path = index.scratch(spark, "ivecs")
+    path = scratch(spark, "ivecs")
     rows = _vectors(spark, sf).select(F.lit("").alias("file"), F.col("vec_id").alias("id"), F.array(F.col("vec_id").cast("int"), F.col("label").cast("int")).alias("vec"))
     rows.write.format("ivecs").mode("append").save(path)
     return spark.read.format("ivecs").load(path).select(F.col("vec")[0].cast("long").alias("vec_id"), F.col("vec")[1].cast("long").alias("label"))
@@ -423,7 +468,7 @@ def _(spark, sf):
 @query("index_stored", BASE + "SELECT p.image_id, p.pt, p.vw, p.qscale, p.qangle, round(n.l2, 6) AS l2 FROM post p JOIN norms n USING (image_id)")
 def _(spark, sf):
     """The index written with its manifest, and read."""
-    path = index.scratch(spark, "index")
+    path = scratch(spark, "index")
     index.store(postings(spark, sf), codebook(spark, sf), path)
     p, norms, manifest = index.load(spark, path)
     if manifest["words"] != 16:
@@ -434,7 +479,7 @@ def _(spark, sf):
 @query("models_stored", P + "SELECT vec_id, q, c FROM code")
 def _(spark, sf):
     """Codes by a quantiser that was written and read."""
-    path = index.scratch(spark, "model")
+    path = scratch(spark, "model")
     models.write_quantizer(spark, _model(spark, sf), path)
     coded = pq.encode(_points(spark, sf), models.read_quantizer(spark, path))
     return coded.select("vec_id", F.posexplode("codes").alias("q", "c")).select("vec_id", F.col("q").cast("long").alias("q"), F.col("c").cast("long").alias("c"))
@@ -444,7 +489,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Signatures by a basis and medians that were written and read."""
     projected = hamming.project(assigned(spark, sf), hamming.hadamard(BITS))
-    path = index.scratch(spark, "binarizer")
+    path = scratch(spark, "binarizer")
     models.write_binarizer(spark, hamming.hadamard(BITS), hamming.medians(projected), path)
     basis, medians = models.read_binarizer(spark, path)
     s = hamming.signatures(hamming.project(assigned(spark, sf), basis), medians)

@@ -10,6 +10,7 @@ from tessera.operators import ranking, sparse
 from tessera.plans.fixtures import BASE, descriptors
 from tessera.plans.registry import query, table
 from tessera.plans.retrieval import r6
+from tessera.sources.scratch import stored
 
 E = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda z: z::DOUBLE) AS v FROM embeddings), f AS (SELECT e.*, b.v AS u FROM e JOIN e b ON b.vec_id = e.vec_id + 1) "
 
@@ -101,7 +102,7 @@ def _(spark, sf):
 @query("merge_ordered", "SELECT k, row_number() OVER (ORDER BY k, src)::BIGINT AS pos FROM (SELECT p_partkey AS k, 0 AS src FROM part UNION ALL SELECT s_suppkey, 1 FROM supplier)")
 def _(spark, sf):
     both = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.lit(0).alias("src")).unionByName(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(1).alias("src")))
-    ranged = both.repartitionByRange("k", "src").withColumn("_p", F.spark_partition_id())
+    ranged = stored(both.repartitionByRange("k", "src").withColumn("_p", F.spark_partition_id()), "ranged")  # both uses see the same ranges
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("c"))
     before = sizes.select("_p", (F.sum("c").over(Window.orderBy("_p")) - F.col("c")).alias("before"))  # a row for each partition
     w = Window.partitionBy("_p").orderBy("k", "src")

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,23 +11,6 @@ from tessera.operators import inverted
 from tessera.sources import models
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; in one process, a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(rows: DataFrame, name: str) -> DataFrame:
-    """A table that several parts of a plan read, written to the shared folder and read again."""
-    path = scratch(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def write(postings: DataFrame, path: str, parts: int = 64) -> None:
     """Postings in `parts` ranges of words, so that a query reads the row groups of its words only; norms beside them.
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as v
 from tessera.operators import clustering, geometry, hamming, knn, quantization, sparse
 from tessera.plans import fixtures
-from tessera.sources import binary, index, models
+from tessera.sources import binary, models
+from tessera.sources.scratch import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,7 +70,7 @@ def test_pruned_kmeans_is_kmeans(spark):
     start = [r["vec"] for r in points.orderBy("vec_id").limit(5).collect()]
     for rounds in (1, 4):
         a = {r["vw"]: r for r in clustering.kmeans(points, 5, rounds, start=start).collect()}
-        b = {r["vw"]: r for r in clustering.pruned_kmeans(points, start, rounds, index.stored).collect()}
+        b = {r["vw"]: r for r in clustering.pruned_kmeans(points, start, rounds, stored).collect()}
         assert all(np.allclose(a[i]["centroid"], b[i]["centroid"]) and a[i]["n"] == b[i]["n"] for i in a)
 
 
