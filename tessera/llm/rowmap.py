@@ -78,14 +78,6 @@ def set_aside(docs: DataFrame, *kept: str) -> tuple[DataFrame, Callable[[DataFra
     return docs.toDF(*[a for a, _ in names]), lambda found: found.select(*[F.col(a).alias(c) for a, c in names])
 
 
-def drop(table: DataFrame) -> None:
-    """Deletes a table of `written` that nothing reads any more."""
-    jvm = table.sparkSession._jvm
-    for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_batches(spark: SparkSession, rows: int = 2000, size: int = 64 << 20) -> None:
     """Rows of text are wide: fewer of them, and so many bytes, go to a task's Python worker at once, which bounds its memory.
 

@@ -129,7 +129,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """docs with `spans`: kind, start and end (code points, end exclusive) of each secret, by start and then kind.
 
     A null or empty text has none; a text is read whole, however long; repeated rows get the same
-    spans; a column of docs named spans is replaced.
+    spans; an empty table stays empty; a column of docs named spans, in any case, is replaced.
     """
 
     def compute(texts: pa.Array) -> list[pa.Array]:

@@ -183,8 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, spec: ToxSpec = ToxSpec()) -> ToxMod
 def score(docs: DataFrame, model: ToxModel | None) -> DataFrame:
     """docs with expected_severity (0 to the top grade), grade (the likeliest) and toxic (P(grade > 0) >= 0.5).
 
-    A null or empty text, and every text without a model, has severity 0 and grade 0. Texts are read
-    whole; repeated rows are scored alike; columns of docs with these names are replaced.
+    A null or empty text, and every text without a model, has severity 0 and grade 0; among equally likely
+    grades the lowest counts. Texts are read whole; repeated rows are scored alike; an empty table stays
+    empty; columns of docs with these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
