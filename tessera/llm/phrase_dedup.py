@@ -1,10 +1,12 @@
 """Removal of recurring passages by sharded Aho-Corasick automata over words.
 
 Passages that may recur (see `anchors`) are dealt out to shards. In a shard the windows of `window`
-words that occur at least twice are confirmed; consecutive ones that always occur together are joined
-to phrases. pyahocorasick compiles a shard's phrases, as sequences of word numbers, to an automaton,
-and the distinct passages of the documents are streamed through it to locate every occurrence of every
-phrase. Copies of a passage share the result of its representative.
+words that occur at least twice are confirmed on one representative of each distinct passage, and
+consecutive ones that always occur together are joined to phrases, with the place of their first
+occurrence. pyahocorasick compiles a shard's phrases, as sequences of word numbers, to an automaton, and
+all text of all documents that may hold one of them is streamed through it: what the automaton finds,
+but for a phrase's first place, is removed. A shard that is asked by very many documents is compiled in
+several tasks, each of which streams a part of them.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import rowmap
-from tessera.llm.anchors import Segments, coverage, repeated_spans, word_units
+from tessera.llm.anchors import MOST_PASSAGES, Segments, coverage, passage_texts, shared_text, streamed_spans, word_units
+from tessera.llm.decontaminate import merge
 from tessera.llm.textblocks import SPACE, Block, Words, blocks
 
 WINDOW = 20
 GRAM = 8
-PER_SHARD = 20_000
+PER_SHARD = 10_000
 
 
 def _cut(block: Block):
@@ -37,31 +40,31 @@ def _cut(block: Block):
     return body
 
 
-def _shard_engine(window: int):
-    def judge(shard: pa.Table) -> pa.Table:
+def _confirm(window: int):
+    def run(shard: pa.Table) -> pa.Table:
         segments = Segments(shard, window)
         _, bounds, passage = word_units(1)(segments.block)
         segments.keep(passage, bounds)
         item, rel = segments.each_window()
         texts = [segments.block.text(i).split() for i in range(segments.block.rows)]
-        found = locate(texts, segments.text[item], rel, segments.doc, segments.start, segments.n[item], window)
-        return segments.judged(item, rel, *found, 1)
+        found = phrases(texts, segments.text[item], rel, segments.doc, segments.start, segments.n[item], window)
+        columns = [[int(segments.key[f[0]]) for f in found], *([f[i] for f in found] for i in (3, 4)), [b" ".join(texts[t][r : r + size - 1 + window]) for t, r, size, _, _ in found]]
+        return pa.table({k: pa.array(c, pa.binary() if k == "body" else pa.int64()) for k, c in zip(("key", "doc_id", "start", "body"), columns, strict=True)})
 
-    return judge
+    return run
 
 
-def locate(texts: list[list[bytes]], text: np.ndarray, rel: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window (text, rel), n of which are alike in the corpus: whether it recurs, and the first place of its phrase.
+def phrases(texts: list[list[bytes]], text: np.ndarray, rel: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
+    """The recurring phrases among windows (text, rel), n of which are alike in the corpus: text, rel, windows, and the first place.
 
     doc and start: the place of each text. Windows are in order of their texts.
     """
-    none = np.zeros(len(text), bool), np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
     numbers: dict[bytes, int] = {}
     ids = [tuple([numbers.setdefault(w, len(numbers)) for w in words]) for words in texts]
     classes: dict[tuple, int] = {}
     flat = np.array([classes.setdefault(ids[t][r : r + window], len(classes)) for t, r in zip(text.tolist(), rel.tolist(), strict=True)], np.int64)
     if not classes:
-        return none
+        return []
     count = np.bincount(flat, weights=n).astype(np.int64)
     order = np.lexsort((start[text] + rel, doc[text], flat))
     head = order[np.flatnonzero(np.diff(flat[order], prepend=-1))]
@@ -77,36 +80,56 @@ def locate(texts: list[list[bytes]], text: np.ndarray, rel: np.ndarray, doc: np.
     heads = np.flatnonzero((count[flat] > 1) & ~joined)
     stops = np.append(np.flatnonzero(~joined), len(flat))
     sizes = stops[np.searchsorted(stops, heads, "right")] - heads
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     known: set[int] = set()
+    out = []
     for t, r, size, c in zip(text[heads].tolist(), rel[heads].tolist(), sizes.tolist(), flat[heads].tolist(), strict=True):
         if c not in known:
             known.add(c)
-            automaton.add_word(ids[t][r : r + size - 1 + window], (size, int(first_doc[c]), int(first_start[c])))
-    if not known:
-        return none
-    automaton.make_automaton()
-    base = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-    hit, docs, starts = np.zeros(base[-1], bool), np.zeros(base[-1], np.int64), np.zeros(base[-1], np.int64)
-    for t, words in enumerate(ids):
-        for last, (size, d, s) in automaton.iter(words):
-            at = base[t] + last + 2 - size - window
-            hit[at : at + size] = True
-            docs[at : at + size] = d
-            starts[at : at + size] = np.arange(s, s + size)
-    at = base[text] + rel
-    return hit[at], docs[at], starts[at]
-
-
-def find_recurring(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+            out.append((t, r, size, int(first_doc[c]), int(first_start[c])))
+    return out
+
+
+def _locate(window: int):
+    def run(shard: pa.Table) -> pa.Table:
+        role, body, doc, start = (shard.column(c).to_pylist() for c in ("role", "body", "doc_id", "start"))
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        numbers: dict[bytes, int] = {}
+        for r, text, d, s in zip(role, body, doc, start, strict=True):
+            if r == 0:
+                words = text.split(b" ")
+                automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in words]), (len(words), d, s))
+        out: list[tuple[int, int, int]] = []
+        if numbers:
+            automaton.make_automaton()
+            for r, text, d, s in zip(role, body, doc, start, strict=True):
+                if r == 1:
+                    spans = []
+                    for last, (n, fd, fs) in automaton.iter(tuple([numbers.get(w, 0) for w in text.split(b" ")])):
+                        end = s + last + 1
+                        if d > fd or (d == fd and end - n > fs):
+                            spans.append((end - n, end))
+                    out += [(d, a, b) for a, b in merge(spans)]
+        return pa.table({k: pa.array([x[j] for x in out], pa.int64()) for j, k in enumerate(("doc_id", "s", "e"))})
+
+    return run
+
+
+def find_recurring(docs: DataFrame, window: int = WINDOW, per_shard: int = PER_SHARD, most_passages: int = MOST_PASSAGES) -> DataFrame:
     """(doc_id, spans): words covered by a window whose words also start earlier.
 
     Words are what the pattern [^\\x20\\x09-\\x0D]+ matches; earlier is a smaller doc_id, or the same one
     and an earlier start. A null text has no words; documents without repeats or without doc_id have
-    no row. doc_id names a document: rows that repeat it count as the same places.
+    no row, nor has an empty table any. Texts are read whole, and other columns ignored. doc_id names a
+    document: rows that repeat it count as the same places.
     """
     gram = min(GRAM, max(1, window // 2))
-    return repeated_spans(docs, word_units(gram), _cut, _shard_engine(window), window, gram, False, PER_SHARD)
+    shared = shared_text(docs, word_units(gram), window, gram, False, most_passages)
+
+    def confirmed(shard: F.Column) -> DataFrame:
+        texts = passage_texts(docs, shared.where("rep"), _cut, window)
+        return rowmap.written(texts.groupBy(shard).applyInArrow(_confirm(window), "key long, doc_id long, start long, body binary"), "phrases")
+
+    return streamed_spans(docs, shared, F.lit(2), confirmed, _cut, _locate(window), window, per_shard, None)
 
 
 def remove_recurring(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -1,11 +1,12 @@
 """Substring deduplication by a run-length index.
 
-Passages that may repeat (see `anchors`) are dealt out to shards. A shard's distinct passages are
-indexed by their run-compressed Burrows-Wheeler transform with the text positions of run ends
-(an r-index): space and the cost of a step depend on the number of runs. Every passage is then
-streamed through the index from its end: one backward step a byte keeps a longest match (its length,
-one place of it, and its row), jumping to the nearer run end when the preceding byte differs. Matches
-of at least the minimum length are marked with the smallest document of the rows that share them.
+Passages that may repeat (see `anchors`) are dealt out to shards. One representative of each distinct
+passage of a shard is indexed by their run-compressed Burrows-Wheeler transform with the text positions
+of run ends (an r-index). The text of every document that may repeat one is then streamed through the
+index from its end: one backward step a byte keeps a longest match (its length, one place of it, and its
+row), jumping to the nearer run end when the preceding byte differs. Matches of at least the minimum
+length are marked with the smallest document of the rows that share them, and those of a smaller document
+than the streamed one are removed. Lengths are counted up to the minimum, which is all that is asked.
 """
 
 from __future__ import annotations
@@ -18,48 +19,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import rowmap
-from tessera.llm.anchors import Segments, byte_units, coverage, repeated_spans
-from tessera.llm.textblocks import Block, blocks, prefix_hashes, range_hashes
+from tessera.llm.anchors import MOST_PASSAGES, byte_units, coverage, shared_text, streamed_spans
+from tessera.llm.textblocks import Block, blocks
 
 MIN_LENGTH = 50
 GRAM = 20
-PER_SHARD = 8192
+PER_SHARD = 32768
+#: Bytes of a segment at most, since a step is one byte of every segment.
+MOST_SEGMENT = 1024
 _PACKED = 7
 
 
 class RunLengthIndex:
-    """An r-index over some texts, each at least one byte long."""
+    """An r-index over some texts, each at least one byte long.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, depth: int):
-        """data holds the texts one after the other; `depth` is the match length that `group` tells apart."""
-        m = len(offsets) - 1
-        lengths = np.diff(offsets)
-        self.ends = np.cumsum(lengths + 1) - 1  # of each text, where its terminator stands
-        n = int(self.ends[-1]) + 1
-        self.starts = self.ends - lengths
-        self.text = np.zeros(n, np.int64)  # bytes from 1, terminators 0
+    What stays after building: for each run its first and last row, symbol, samples and mapping; the rows
+    where groups of `depth` equal symbols begin, with the least owner of each; and, to compare places,
+    the first symbols at each place and its rank among the suffixes by some powers of symbols.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, depth: int, owner: np.ndarray | None = None, most: int | None = None):
+        """data holds the texts one after the other; `owner` is a number of each (itself by default); with `most`, longer matches count as so long."""
+        lengths, self.most = np.diff(offsets), most
+        ends = np.cumsum(lengths + 1) - 1  # of each text, where its terminator stands
+        n = int(ends[-1]) + 1
+        text = np.zeros(n, np.int64)  # bytes from 1, terminators 0
         inside = np.ones(n, bool)
-        inside[self.ends] = False
-        self.text[inside] = data.astype(np.int64) + 1
-        self._sort(n)
-        same = self.equal(self.sa[1:], self.sa[:-1], depth)
-        #: rows of the sorted suffixes whose first `depth` symbols agree have the same group
-        self.group = np.concatenate([[0], np.cumsum(~same)])
-        bwt = self.text[self.sa - 1]
+        inside[ends] = False
+        text[inside] = data.astype(np.int64) + 1
+        sa = self._sort(text)
+        self.size = n
+        same = self.equal(sa[1:], sa[:-1], depth)
+        self.group_start = np.flatnonzero(np.concatenate([[True], ~same]))
+        of_row = np.repeat(np.arange(len(lengths)) if owner is None else owner, lengths + 1)[sa]
+        self.least_owner = np.minimum.reduceat(of_row, self.group_start)
+        bwt = text[sa - 1]
         starts = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         self.run_start, self.run_char = starts, bwt[starts]
         run_length = np.diff(np.append(starts, n))
-        self.first_sample, self.last_sample = self.sa[starts], self.sa[starts + run_length - 1]
         self.run_last = starts + run_length - 1
+        self.first_sample, self.last_sample = sa[starts], sa[self.run_last]
         order = np.argsort(self.run_char, kind="stable")  # runs by symbol, then place
         before = np.concatenate([[0], np.cumsum(run_length[order])[:-1]])
         self.lf = np.empty(len(starts), np.int64)  # row that the first row of each run maps to
         self.lf[order] = before
         self.by_char, self.by_char_key = order, self.run_char[order] * len(starts) + order
 
-    def _sort(self, n: int) -> None:
-        """Suffix array by doubling, of which only the suffixes still equal are sorted again; ranks stay, to compare substrings."""
-        padded = np.concatenate([self.text, np.zeros(_PACKED, np.int64)])
+    def owners(self, rows: np.ndarray) -> np.ndarray:
+        """The least owner of the texts that have the first `depth` symbols of each row."""
+        return self.least_owner[np.searchsorted(self.group_start, rows, "right") - 1]
+
+    def _sort(self, text: np.ndarray) -> np.ndarray:
+        """Suffix array by doubling, of which only the suffixes still equal are sorted again; ranks by at most `most` symbols stay, to compare places."""
+        n = len(text)
+        padded = np.concatenate([text, np.zeros(_PACKED, np.int64)])
         key = np.zeros(n, np.int64)
         for j in range(_PACKED):
             key = (key << 9) | padded[j : j + n]
@@ -85,8 +98,9 @@ class RunLengthIndex:
             head[rows] = np.concatenate([[True], key[1:] != key[:-1]])
             rank[sa[rows]] = np.maximum.accumulate(np.where(head[rows], rows, 0))
             step *= 2
-            self.ranks.append((step, rank.astype(np.int32)))
-        self.sa = sa
+            if self.most is None or step <= self.most:
+                self.ranks.append((step, rank.astype(np.int32)))
+        return sa
 
     def equal(self, p: np.ndarray, q: np.ndarray, depth: int) -> np.ndarray:
         """Whether `depth` symbols from p and q agree."""
@@ -103,7 +117,7 @@ class RunLengthIndex:
 
     def common(self, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix at p and q, `most` at most; no terminator stands within `most` of p."""
-        out, last = np.zeros(len(p), np.int64), len(self.text)
+        out, last = np.zeros(len(p), np.int64), self.size
         for step, rank in reversed([x for x in self.ranks if x[0] <= int(most.max(initial=0))]):
             at, to = np.minimum(p + out, last), np.minimum(q + out, last)
             out += step * (rank[at] == rank[to])
@@ -115,8 +129,8 @@ class RunLengthIndex:
     def matching_statistics(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Streams texts from their ends, all at once; each step gives (text, place, match length, row) arrays.
 
-        The match is the longest prefix of what follows `place` that occurs in the index; `row` is the
-        rank of the suffix at which it does.
+        The match is the longest prefix of what follows `place` that occurs in the index, counted up to
+        `most`; `row` is the rank of a suffix at which it does.
         """
         lengths = np.diff(offsets)
         order = np.argsort(-lengths, kind="stable")
@@ -155,38 +169,51 @@ class RunLengthIndex:
             row[:live] = self.lf[r] + ahead
             sample -= 1
             size += 1
+            if self.most is not None:
+                np.minimum(size, self.most, out=size)
             if len(lost):  # the byte does not occur: start again
                 row[lost], sample[lost], size[lost] = 0, self.first_sample[0], 0
             yield order[:live], ends[:live] - 1 - step, size, row[:live]
 
 
-def _shard_engine(min_length: int):
-    def judge(shard: pa.Table) -> pa.Table:
-        segments = Segments(shard, min_length)
-        block = segments.block
-        c = prefix_hashes(block.data)
-        segments.keep(lambda s, e: range_hashes(c, s, e), block.offsets)
-        marks = mark_matches(block.data, block.offsets, segments.doc, min_length)
-        item, rel = segments.each_window()
-        first_doc = marks[block.offsets[segments.text[item]] + rel]
-        return segments.judged(item, rel, first_doc >= 0, first_doc, np.zeros(len(item), np.int64), 0)
+def _locate(min_length: int):
+    def run(shard: pa.Table) -> pa.Table:
+        shard = shard.combine_chunks()
+        role, doc, start = (shard.column(c).to_numpy() for c in ("role", "doc_id", "start"))
+        bodies = shard.column("body").combine_chunks()
+        known, asked = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        out = [np.zeros(0, np.int64)] * 3
+        if len(known) and len(asked):
+            # copies are streamed once
+            distinct = bodies.take(pa.array(asked)).dictionary_encode()
+            texts, of = distinct.dictionary, distinct.indices.to_numpy()
+            a, b = (next(blocks(x, 1 << 62)) for x in (bodies.take(pa.array(known)), texts))
+            first = mark_matches(a.data, a.offsets, doc[known], b.data, b.offsets, min_length)
+            sizes = np.diff(b.offsets)[of]
+            base = np.cumsum(sizes) - sizes
+            item = np.repeat(np.arange(len(asked)), sizes)
+            rel = np.arange(len(item)) - base[item]
+            hit = first[b.offsets[of][item] + rel] < doc[asked][item]
+            new = hit & ~np.concatenate([[False], hit[:-1] & (item[1:] == item[:-1])])
+            last = hit & ~np.concatenate([hit[1:] & (item[1:] == item[:-1]), [False]])
+            i = item[new]
+            s = start[asked][i] + rel[new]
+            out = [doc[asked][i], s, start[asked][i] + rel[last] + min_length]
+        return pa.table({k: pa.array(x, pa.int64()) for k, x in zip(("doc_id", "s", "e"), out, strict=True)})
 
-    return judge
+    return run
 
 
-def mark_matches(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, min_length: int) -> np.ndarray:
-    """For each byte the smallest document of those whose text has the min_length bytes from there on, -1 if too few follow.
+NONE = np.iinfo(np.int64).max
 
-    The texts are indexed, and each is streamed through the index.
-    """
-    index = RunLengthIndex(data, offsets, min_length)
-    # the smallest document of each group of rows: text positions -> texts -> documents
-    of_row = np.repeat(doc, np.diff(offsets) + 1)[index.sa]
-    smallest = np.minimum.reduceat(of_row, np.flatnonzero(np.diff(index.group, prepend=-1)))
-    marks = np.full(len(data) + 1, -1, np.int64)
+
+def mark_matches(known: np.ndarray, known_offsets: np.ndarray, doc: np.ndarray, data: np.ndarray, offsets: np.ndarray, min_length: int) -> np.ndarray:
+    """For each byte of data the smallest document of those whose known text has the min_length bytes from there on; NONE where there is none."""
+    index = RunLengthIndex(known, known_offsets, min_length, doc, min_length)
+    marks = np.full(len(data) + 1, NONE)
     for _, place, length, row in index.matching_statistics(data, offsets):
         long = length >= min_length
-        marks[place[long]] = smallest[index.group[row[long]]]
+        marks[place[long]] = index.owners(row[long])
     return marks
 
 
@@ -195,15 +222,18 @@ def _cut(block: Block):
     return lambda row, s, e: data[offsets[row] + s : min(offsets[row] + e, offsets[row + 1])]
 
 
-def find_repeats(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
+def find_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, per_shard: int = PER_SHARD, most_passages: int = MOST_PASSAGES) -> DataFrame:
     """(doc_id, spans): bytes covered by strings of min_length bytes that also start in a document with a smaller doc_id.
 
-    Texts are their UTF-8 bytes, null as empty; matches lie within one document; documents without
-    repeats, without doc_id or shorter than min_length have no row. doc_id names a document: rows that
-    repeat it do not repeat one another.
+    Texts are their UTF-8 bytes, read whole, null as empty; matches lie within one document; documents
+    without repeats, without doc_id or shorter than min_length have no row, nor has an empty table any.
+    Other columns are ignored. doc_id names a document: rows that repeat it do not repeat one another.
     """
     gram = min(GRAM, max(1, min_length // 2))
-    return repeated_spans(docs, byte_units(gram), _cut, _shard_engine(min_length), min_length, gram, True, PER_SHARD)
+    shared = shared_text(docs, byte_units(gram), min_length, gram, True, most_passages)
+    # the first document that has an anchor has nothing of it to lose
+    roles = F.when(F.col("rep"), 1).otherwise(0) + F.when(F.col("first"), 0).otherwise(2)
+    return streamed_spans(docs, shared, roles, None, _cut, _locate(min_length), min_length, per_shard, max(MOST_SEGMENT, 4 * min_length))
 
 
 def remove_repeats(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:

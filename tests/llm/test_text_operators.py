@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import anchors, decontaminate, jaccard, phrase_dedup, quality, rowmap, secrets, suffix_dedup
+from tessera.llm import decontaminate, jaccard, phrase_dedup, quality, rowmap, secrets, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,8 +86,8 @@ def merged(df):
 
 @pytest.mark.parametrize("kind", ["bytes", "words"])
 def test_crowded_anchors_are_broken_up_without_loss(docs, kind):
-    how = (anchors.byte_units(20), suffix_dedup._cut, suffix_dedup._shard_engine(50), 50, 20, True) if kind == "bytes" else (anchors.word_units(8), phrase_dedup._cut, phrase_dedup._shard_engine(20), 20, 8, False)
-    assert merged(anchors.repeated_spans(docs, *how, 4096)) == merged(anchors.repeated_spans(docs, *how, 16, most_passages=1))
+    find = (lambda n, most: suffix_dedup.find_repeats(docs, 50, n, most)) if kind == "bytes" else (lambda n, most: phrase_dedup.find_recurring(docs, 20, n, most))
+    assert merged(find(4096, 4096)) == merged(find(16, 1))
 
 
 def test_run_length_index_finds_longest_matches():
