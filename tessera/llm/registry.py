@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from tessera.llm.oracles import SQL
+
 _NAMES = {
     "op1_packing": "packing",
     "op2_suffix_dedup": "suffix_dedup",
@@ -18,4 +20,4 @@ _NAMES = {
 }
 
 QUERIES = {name: getattr(import_module(f"tessera.llm.{module}"), name) for name, module in _NAMES.items()}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(SQL)
