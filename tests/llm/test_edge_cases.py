@@ -53,25 +53,21 @@ NAMES = ["packing", "suffix_dedup", "toxicity", "jaccard", "quality", "phrase_de
 @pytest.mark.parametrize("name", NAMES)
 def test_operator(spark, docs, models, tmp_path, name):
     run, per_row = operators(spark, models, tmp_path / "s")[name]
-    found = run(docs).collect()
+    made = run(docs)
+    found = made.collect()
     if per_row:
         assert len(found) == len(ROWS)  # a row each, repeated ones too
     else:
         assert found
+    assert len({c.lower() for c in made.columns}) == len(made.columns)
+    if name != "training_order":
+        assert sum(r["doc_id"] is None for r in found) >= 2
+    if "source" in made.columns:
+        assert [r["source"] for r in found if r["doc_id"] == 4] == [None]
     empty, _ = operators(spark, models, tmp_path / "none")[name]
     assert empty(docs.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_other_columns_and_null_ids(spark, docs, models, tmp_path, name):
-    found = operators(spark, models, tmp_path / "s")[name][0](docs)
-    assert len({c.lower() for c in found.columns}) == len(found.columns)
-    if name not in ("training_order",):
-        assert found.where("doc_id is null").count() >= 2
-    if "source" in found.columns:
-        assert found.where("doc_id = 4 and source is null").count() == 1
-
-
 def test_repeated_rows_and_ties(spark, docs, models):
     same = {}
     for r in suffix_dedup.remove_repeats(docs).where("doc_id = 2").collect() + phrase_dedup.remove_recurring(docs).where("doc_id = 2").collect():
