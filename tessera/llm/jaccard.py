@@ -6,8 +6,8 @@ sketch of word counts of the whole corpus, and any order would be right). Every
 bucket of the most widely shared shingle of its prefix, which most of a group of near copies have in
 common, and is sent as a query to the buckets with whose
 sets it shares as many prefix shingles as any linked set would. In a bucket the DivideSkip search counts, for
-each query, in how many of its inverted lists each set occurs: short lists are merged, and the sets
-that can still reach the required overlap are looked up in the long lists by binary search. A bucket
+each query, in how many of its inverted lists each set occurs: the short lists are merged with a heap,
+and the sets that can still reach the required overlap are looked up in the long lists by binary search. A bucket
 with many sets or queries is split into blocks of both.
 
 A pair is met in one bucket only, so that links can be counted there; for the classes a bucket returns
@@ -17,6 +17,7 @@ one edge for each of its documents, and the components of all edges are found by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heapreplace
 from math import log2
 
 import numpy as np
@@ -32,7 +33,7 @@ SKETCH_BITS = 16
 BLOCK = 1024
 ROWS_PER_SHARD = 1000
 #: The cost of a binary search step against that of a merge step, for the choice of the long lists.
-PROBE_COST = 0.05
+PROBE_COST = 0.001
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -115,11 +116,53 @@ def prefixes(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "token long, doc_id long, n long")
 
 
-def divide_skip(lists: tuple[np.ndarray, np.ndarray, np.ndarray], query: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+def list_runs(begin: np.ndarray, entries: np.ndarray) -> tuple[list[int], list[int]]:
+    """Runs of consecutive entries: where each list's begin (one more for the end), and of all runs in order the first entry and the one after the last."""
+    new = np.ones(len(entries), bool)
+    new[1:] = entries[1:] != entries[:-1] + 1
+    new[begin[:-1]] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(entries)) - 1
+    bounds = np.stack([entries[first], entries[last] + 1], 1).ravel() if len(first) else entries
+    return (2 * np.searchsorted(first, begin)).tolist(), bounds.tolist()
+
+
+def merge_short(lists: list[list[int]], need: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, in how many lists) of the entries that are in `need` of the ordered lists at least.
+
+    A list is given by the bounds of its runs (see `list_runs`), so that where most sets have a token it
+    is short. A heap holds the next bound of each list; between bounds the lists that are inside a run
+    stay the same.
+    """
+    n, at = len(lists), [0] * len(lists)
+    heap = [own[0] * n + i for i, own in enumerate(lists) if own]
+    heapify(heap)
+    starts, ends, counts, inside, since = [], [], [], 0, 0
+    while heap:
+        here = heap[0] // n
+        if inside >= need:
+            starts.append(since)
+            ends.append(here)
+            counts.append(inside)
+        since, stop = here, (here + 1) * n
+        while heap and heap[0] < stop:
+            i = heap[0] % n
+            inside += -1 if at[i] & 1 else 1
+            at[i] += 1
+            if at[i] < len(lists[i]):
+                heapreplace(heap, lists[i][at[i]] * n + i)
+            else:
+                heappop(heap)
+    sizes = np.array(ends, np.int64) - np.array(starts, np.int64)
+    shift = np.repeat(np.array(starts, np.int64) - np.cumsum(sizes) + sizes, sizes)
+    return shift + np.arange(len(shift)), np.repeat(np.array(counts, np.int64), sizes)
+
+
+def divide_skip(lists: tuple[np.ndarray, np.ndarray, np.ndarray], query: np.ndarray, need: int, runs: tuple[list[int], list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(entries, in how many of the query's lists) of the entries that are in `need` of them at least.
 
     lists: the tokens in order, where the list of each begins (one more entry for the end), and the
-    lists' entries in order.
+    lists' entries in order; runs: `list_runs` of them, if it is at hand.
     """
     tokens, begin, entries = lists
     at = np.searchsorted(tokens, query)
@@ -130,11 +173,8 @@ def divide_skip(lists: tuple[np.ndarray, np.ndarray, np.ndarray], query: np.ndar
     n_long = min(int(need / (PROBE_COST * log2(max(2, int(sizes.max()))) + 1)), need - 1)
     order = np.argsort(sizes, kind="stable")
     short, long = at[order[: len(at) - n_long]], at[order[len(at) - n_long :]]
-    n = begin[short + 1] - begin[short]
-    merged = entries[np.repeat(begin[short] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    found, counts = np.unique(merged, return_counts=True)  # the merge of the sorted lists
-    kept = counts >= need - n_long
-    found, counts = found[kept], counts[kept]
+    at, bounds = list_runs(begin, entries) if runs is None else runs
+    found, counts = merge_short([bounds[at[i] : at[i + 1]] for i in short.tolist()], need - n_long)
     for i, left in zip(long.tolist(), range(n_long - 1, -1, -1), strict=True):
         if not len(found):
             break
@@ -174,6 +214,7 @@ def _search(percent: int):
             by = np.lexsort((owner, flat))
             tokens, begin = np.unique(flat[by], return_index=True)
             lists = (tokens, np.append(begin, len(flat)), owner[by])
+            runs = list_runs(*lists[1:])
             parent: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -185,7 +226,7 @@ def _search(percent: int):
             member_docs, sizes, weight = doc[members], np.array([len(sets[i]) for i in members]), copies[members]
             for q in queries.tolist():
                 n = len(sets[q])
-                found, common = divide_skip(lists, sets[q], least_overlap(n, percent))
+                found, common = divide_skip(lists, sets[q], least_overlap(n, percent), runs)
                 linked = found[(100 * common >= percent * (n + sizes[found] - common)) & (member_docs[found] != doc[q])]
                 out_links.append((int(doc[q]), int(weight[linked].sum())))
                 a = root(int(doc[q]))
@@ -215,7 +256,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sequence if it has fewer words. Documents link if percent % at least of the union of their sets is
     common; component_id is the smallest doc_id reachable, n_links the number of other documents linked
     to. A text without words has an empty set and no links. Rows without doc_id have none either; rows
-    that repeat a doc_id are the same document.
+    that repeat a doc_id are the same document. Texts are read whole; an empty table gives no rows; other
+    columns of docs are ignored.
     """
     spark = docs.sparkSession
     described = rowmap.written(describe(docs, k), "described")
@@ -292,14 +334,16 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id; rows without doc_id stay.
 
     Rows are judged by their own text: where a doc_id repeats with several texts, each is a document. Of
-    rows with the same doc_id and text one stays.
+    rows with the same doc_id and text one stays. Null and empty texts are like nothing else. All columns
+    stay as they are, whatever their names; an empty table stays empty.
     """
+    docs, back = rowmap.set_aside(docs)
     key = F.col("doc_id").cast("long")
     repeated = docs.where(key.isNotNull()).groupBy(key.alias("_id")).agg(F.count("*").alias("m")).where("m > 1").select("_id")
     repeated = rowmap.written(repeated, "repeated")
     if repeated.isEmpty():
         gone = near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        return back(docs.join(gone, "doc_id", "left_anti"))
     # a number of its own for every text of such a doc_id, above all others
     top = docs.agg(F.max(key)).first()[0]
     again = docs.join(repeated, key == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
@@ -309,7 +353,7 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     judged = found.join(rows.select("_row", key.alias("_id")), "_row")
     kept = judged.groupBy("component_id").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_row")).select("_row")
     gone = judged.select("_row").join(kept, "_row", "left_anti")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return back(rows.join(gone, "_row", "left_anti"))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
