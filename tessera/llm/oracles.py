@@ -57,4 +57,37 @@ WITH w AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), {_ITEM_WORD
 SELECT w.doc_id, len(w.ws) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-SQL = {"op2_suffix_dedup": SUFFIX, "op4_jaccard_join": JACCARD, "op6_phrase_dedup": PHRASES, "op7_decontamination": LEAKS}
+RUNS = rf"""
+WITH crc AS (SELECT list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws, string_split(doc_id::VARCHAR, '') AS cs FROM documents
+), h AS (SELECT doc_id, ws, len(ws) AS n, xor(list_reduce(list_concat([4294967295], list_transform(cs, lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM d CROSS JOIN crc
+), g AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a, (h // 10) % 8 AS e FROM h
+), w AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(ws[: a], list_transform(range(a, n), lambda i: ws[a + (i - a) % (1 + (n - a) // (3 + e)) + 1])) ELSE ws END AS ws FROM g
+), u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS i, len(ws) AS n FROM w
+), m AS (SELECT x.doc_id, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS k FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), s AS (SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM m GROUP BY doc_id, q, k HAVING count(*) >= 3 * q AND count(*) + q >= 6
+), r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length
+), b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1
+), l AS (SELECT doc_id, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id
+), x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r
+), k AS (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.i) AS kept FROM u ANTI JOIN x ON x.doc_id = u.doc_id AND x.i = u.i GROUP BY u.doc_id)
+SELECT d.doc_id, coalesce(l.n, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(l.runs, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {s}) % 32 + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
+
+REVISITS = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages
+), m AS (SELECT *, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM m"""
+
+NEGATIVES = """
+WITH e AS (SELECT vec_id::BIGINT AS v, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS l, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (SELECT a.v AS a, b.v AS b, a.l = b.l AS same, list_inner_product(a.x, b.x)::BIGINT AS s FROM e a JOIN e b ON a.v % 100 = 0 AND a.v <> b.v AND len(a.x) = len(b.x)
+), p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5
+), w AS (SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b)::INTEGER AS rank, s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+  FROM p JOIN s ON s.a = p.a AND NOT s.same WHERE 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s)
+SELECT * FROM w WHERE rank <= 10"""
+
+SQL = {"op11_periodic_runs": RUNS, "op12_warc": REVISITS, "op13_hard_negatives": NEGATIVES, "op2_suffix_dedup": SUFFIX, "op4_jaccard_join": JACCARD, "op6_phrase_dedup": PHRASES, "op7_decontamination": LEAKS}

@@ -17,6 +17,9 @@ _NAMES = {
     "op8_langid": "langid",
     "op9_training_order": "training_order",
     "op10_secrets": "secrets",
+    "op11_periodic_runs": "periodic_runs",
+    "op12_warc": "warc",
+    "op13_hard_negatives": "hard_negatives",
 }
 
 QUERIES = {name: getattr(import_module(f"tessera.llm.{module}"), name) for name, module in _NAMES.items()}

@@ -8,6 +8,7 @@ not depend on the batch size. All hashes are 64 bits wide.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -113,8 +114,16 @@ def range_hashes(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((c[ends] - c[starts]) * powers(_INVERSE, len(c))[starts])
 
 
+#: Longer words are hashed with BLAKE2b: sums of powers modulo 2 ** 64 can be made equal on purpose where a text is long (Thue-Morse words of 1024 letters).
+POLYNOMIAL = 64
+
+
 def word_hashes(block: Block, words: Words, lower: bool = False) -> np.ndarray:
-    return range_hashes(prefix_hashes(LOWER[block.data] if lower else block.data), words.starts, words.ends)
+    data = LOWER[block.data] if lower else block.data
+    out = range_hashes(prefix_hashes(data), words.starts, words.ends)
+    for i in np.flatnonzero(words.ends - words.starts > POLYNOMIAL).tolist():
+        out[i] = int.from_bytes(blake2b(data[words.starts[i] : words.ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
