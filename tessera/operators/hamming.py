@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.knn import matrix
+from tessera.operators.medians import group_medians
 
 
 def hadamard(n: int) -> np.ndarray:
@@ -57,26 +58,21 @@ def project(points: DataFrame, basis: np.ndarray, digits: int = 9) -> DataFrame:
     return points.mapInArrow(run, schema)
 
 
-def medians(projected: DataFrame, words: DataFrame | None = None, sample: int = 1_000_000) -> DataFrame:
-    """(vw, medians): of each word the median of every projected component, the mean of the middle two.
+def medians(projected: DataFrame, words: DataFrame | None = None, hold: int = 1 << 16) -> DataFrame:
+    """(vw, medians): of each word the median of every projected component over all its points, the mean of the middle two.
 
-    Learned on `sample` points at most (about; by a hash of vec_id), exact on all points where there are
-    no more. Words without points have zeros.
+    Exact at every size; see `medians.group_medians` for `hold`. projected is read several times. Words
+    without points have no row, or a null where `words` lists them; a signature takes that as zeros.
     """
-    n = projected.count()
-    if n > sample:
-        projected = projected.where(F.pmod(F.xxhash64("vec_id", F.lit(64)), F.lit(1_000_003)) < sample / n * 1_000_003)
-    bits = projected.select("vw", F.posexplode("proj").alias("bit", "value"))
-    found = bits.groupBy("vw", "bit").agg(F.percentile("value", 0.5).alias("m")).groupBy("vw").agg(F.sort_array(F.collect_list(F.struct("bit", "m"))).alias("b"))
-    found = found.select("vw", F.transform("b", lambda x: x["m"]).alias("medians"))
+    found = group_medians(projected, "vw", "proj", hold)
     if words is None:
         return found
     return words.select("vw").distinct().join(found, "vw", "left")
 
 
 def signatures(projected: DataFrame, medians_: DataFrame, first: int = 0) -> DataFrame:
-    """projected with binsign: bit j is set if component first + j is at least its word's median; 64 bits at most."""
-    joined = projected.join(medians_, "vw")
+    """projected with binsign: bit j is set if component first + j is at least its word's median (0 without one); 64 bits at most."""
+    joined = projected.join(medians_, "vw", "left")
     bits = F.slice(F.col("proj"), first + 1, 64)
     marks = F.zip_with(bits, F.slice(F.coalesce("medians", F.transform("proj", lambda x: F.lit(0.0))), first + 1, 64), lambda p, m: p >= m)
     # two's complement: the pattern of the bits, whatever its sign
@@ -85,8 +81,9 @@ def signatures(projected: DataFrame, medians_: DataFrame, first: int = 0) -> Dat
 
 
 def wide_signatures(projected: DataFrame, medians_: DataFrame, n_bits: int) -> DataFrame:
-    """Signatures of more than 64 bits, as arrays of longs."""
-    joined = projected.join(medians_, "vw")
+    """Signatures of more than 64 bits, as arrays of longs; a word without medians has zeros."""
+    joined = projected.join(medians_, "vw", "left")
+    joined = joined.withColumn("medians", F.coalesce("medians", F.transform("proj", lambda x: F.lit(0.0))))
     words = []
     for low in range(0, n_bits, 64):
         size = min(64, n_bits - low)

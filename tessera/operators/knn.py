@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import vectors as v
+from tessera.sources.scratch import stored
 
 MAX_BROADCAST = 65_536
 
@@ -59,6 +60,8 @@ def nearest(points: DataFrame, centroids: DataFrame, k: int = 1, metric: str = "
     parts = max(1, -(-centroids.count() // max_broadcast))
     numbered = centroids.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
     out = None
+    if parts > 1:  # each row is a point of its own, whatever its columns
+        points = stored(points.withColumn("_point", F.monotonically_increasing_id()), "points")
     for i in range(parts):
         rows = sorted(numbered.where(F.col("_part") == i).drop("_part").collect(), key=lambda r: r["id"])
         if rows:
@@ -66,10 +69,10 @@ def nearest(points: DataFrame, centroids: DataFrame, k: int = 1, metric: str = "
             out = part if out is None else out.unionByName(part)
     if out is None:
         empty = points.withColumns({"centroid_id": F.lit(0).cast("long"), "d2": F.lit(0.0), "rnk": F.lit(1)})
-        return empty.where("false")
+        return empty.where("false").drop("_point")
     if parts > 1:
-        by = Window.partitionBy(*[c for c in points.columns if c != "vec"]).orderBy("d2", "centroid_id")
-        out = out.withColumn("rnk", F.row_number().over(by)).where(F.col("rnk") <= k)
+        by = Window.partitionBy("_point").orderBy("d2", "centroid_id")
+        out = out.withColumn("rnk", F.row_number().over(by)).where(F.col("rnk") <= k).drop("_point")
     return out
 
 

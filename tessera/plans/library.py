@@ -186,7 +186,7 @@ def _(spark, sf):
 
 @query("he_crop", BASE + ", s AS (SELECT vec_id, sum(CASE WHEN p.bit < 24 AND p.v >= m.m THEN 1::BIGINT << p.bit ELSE 0 END)::BIGINT AS sign FROM proj p JOIN med m USING (vw, bit) GROUP BY vec_id) SELECT vec_id, sign FROM s")
 def _(spark, sf):
-    projected = hamming.project(assigned(spark, sf), hamming.hadamard(BITS))
+    projected = stored(hamming.project(assigned(spark, sf), hamming.hadamard(BITS)), "projected")
     medians = hamming.crop(hamming.medians(projected), 24, "medians")
     return hamming.signatures(hamming.crop(projected, 24), medians).select("vec_id", F.col("binsign").alias("sign"))
 
@@ -196,7 +196,7 @@ def _(spark, sf):
     """Signatures on a random rotation of the whitened principal directions, with the medians there."""
     p = assigned(spark, sf)
     basis = hamming.whitened_basis(clustering.principal_components(p.select("vec_id", "vec"), BITS), BITS, 7)
-    projected = hamming.project(p, basis, 6)
+    projected = stored(hamming.project(p, basis, 6), "projected")
     return hamming.signatures(projected, hamming.medians(projected)).select("vec_id", "vw", "binsign")
 
 
@@ -287,7 +287,7 @@ def _(spark, sf):
     SELECT vec_id, b AS low, c + (a << 16) AS high, b & 65535 AS second FROM w""")
 def _(spark, sf):
     """80 bits in two words: components 16 to 63, and then 0 to 31, of which the second word has 16."""
-    p = hamming.project(assigned(spark, sf), hamming.hadamard(BITS))
+    p = stored(hamming.project(assigned(spark, sf), hamming.hadamard(BITS)), "projected")
     turned = lambda c: F.concat(F.slice(c, 17, 48), F.slice(c, 1, 32))
     wide = hamming.wide_signatures(p.withColumn("proj", turned("proj")), hamming.medians(p).withColumn("medians", turned("medians")), 80)
     first = F.col("binsigns")[0]
@@ -488,7 +488,7 @@ def _(spark, sf):
 @query("medians_stored", BASE + "SELECT vec_id, lo, hi FROM sig")
 def _(spark, sf):
     """Signatures by a basis and medians that were written and read."""
-    projected = hamming.project(assigned(spark, sf), hamming.hadamard(BITS))
+    projected = stored(hamming.project(assigned(spark, sf), hamming.hadamard(BITS)), "projected")
     path = scratch(spark, "binarizer")
     models.write_binarizer(spark, hamming.hadamard(BITS), hamming.medians(projected), path)
     basis, medians = models.read_binarizer(spark, path)

@@ -9,6 +9,7 @@ from tessera.functions import vectors as v
 from tessera.operators import clustering, hamming, inverted, knn, points
 from tessera.plans.fixtures import BASE, BITS, HAMMING, QUERY_IMAGES, WORDS, assigned, codebook, descriptors, postings, query_points
 from tessera.plans.registry import query, table
+from tessera.sources.scratch import stored
 
 PARAMS = inverted.SearchParams(hamming=HAMMING)
 
@@ -366,7 +367,7 @@ def _(spark, sf):
 
 
 def _projected(spark, sf) -> DataFrame:
-    return hamming.project(assigned(spark, sf), hamming.hadamard(BITS))
+    return stored(hamming.project(assigned(spark, sf), hamming.hadamard(BITS)), "projected")
 
 
 @query("he_project", BASE + "SELECT vec_id, round(sum(abs(v)), 6) AS s FROM proj GROUP BY vec_id")
