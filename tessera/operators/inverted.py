@@ -43,7 +43,11 @@ def with_geometry(points: DataFrame) -> DataFrame:
 
 def word_weights(postings: DataFrame, codebook: DataFrame, tfidf: int = 1) -> DataFrame:
     """(vw, n, w): w = ln(N / n) over N postings, ln N for a word without any; 1 without tf-idf."""
-    counts = postings.groupBy("vw").agg(F.count("*").alias("n"))
+    return weights_of_counts(postings.groupBy("vw").agg(F.count("*").alias("n")), codebook, tfidf)
+
+
+def weights_of_counts(counts: DataFrame, codebook: DataFrame, tfidf: int = 1) -> DataFrame:
+    """`word_weights` out of the number of postings of each word (vw, n)."""
     every = codebook.select("vw").join(counts, "vw", "left").select("vw", F.coalesce("n", F.lit(0)).alias("n"))
     if not tfidf:
         return every.withColumn("w", F.lit(1.0))
@@ -53,7 +57,11 @@ def word_weights(postings: DataFrame, codebook: DataFrame, tfidf: int = 1) -> Da
 
 def image_norms(postings: DataFrame) -> DataFrame:
     """(image_id, l1, l2, l3): the number of points, the root of the sum of squared word counts, the root of the number."""
-    counts = postings.groupBy("image_id", "vw").agg(F.count("*").alias("n"))
+    return norms_of_counts(postings.groupBy("image_id", "vw").agg(F.count("*").alias("n")))
+
+
+def norms_of_counts(counts: DataFrame) -> DataFrame:
+    """`image_norms` out of word counts by image (image_id, vw, n)."""
     return counts.groupBy("image_id").agg(F.sum("n").cast("double").alias("l1"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("l2"), F.sqrt(F.sum("n")).alias("l3"))
 
 
@@ -83,12 +91,15 @@ def wgc_weights(spark: SparkSession, kind: int = 0x40) -> DataFrame:
     return spark.createDataFrame(rows, "dim string, bin int, wt double")
 
 
-def probe(queries: DataFrame, postings: DataFrame, hamming: int) -> DataFrame:
-    """(query_id, dqid, image_id, pt, vw, hd, da, ds, ms) of pairs on the same word within the distance."""
-    q = queries.select("query_id", F.col("pt").alias("dqid"), "vw", F.col("binsign").alias("qsign"), F.col("qangle").alias("qa"), F.col("qscale").alias("qs"))
-    p = postings.select("image_id", "pt", "vw", "binsign", "qangle", "qscale")
+def probe(queries: DataFrame, postings: DataFrame, hamming: int, on: str = "vw") -> DataFrame:
+    """(query_id, dqid, image_id, pt, vw, hd, da, ds, ms) of pairs on the same word within the distance.
+
+    on: the column to join on, where both have one that only points of one word share.
+    """
+    q = queries.select("query_id", F.col("pt").alias("dqid"), on, F.col("binsign").alias("qsign"), F.col("qangle").alias("qa"), F.col("qscale").alias("qs"))
+    p = postings.select("image_id", "pt", *dict.fromkeys(("vw", on)), "binsign", "qangle", "qscale")
     hd = v.hamming(F.col("qsign"), F.col("binsign"))
-    pairs = p.join(q, "vw").where(hd <= hamming)
+    pairs = p.join(q, on).where(hd <= hamming)
     return pairs.select("query_id", "dqid", "image_id", "pt", "vw", hd.cast("int").alias("hd"), F.pmod(F.col("qangle") - F.col("qa"), F.lit(ANGLES)).alias("da"), (F.col("qscale") - F.col("qs") + 31).alias("ds"), F.least("qscale", "qs").alias("ms"))
 
 
@@ -142,15 +153,15 @@ def geometric_scores(bins: DataFrame, weights: DataFrame, window: int) -> DataFr
     return peaks.groupBy("query_id", "image_id").agg(F.min("m").alias("score"))
 
 
-def voted_scores(queries: DataFrame, postings: DataFrame, words: DataFrame, norms: DataFrame, query_norms: DataFrame, params: SearchParams) -> DataFrame:
-    """(query_id, image_id, score) of the images with votes for a query."""
-    found = votes(probe(queries, postings, params.hamming), words, params)
+def voted_scores(pairs: DataFrame, words: DataFrame, norms: DataFrame, query_norms: DataFrame, params: SearchParams) -> DataFrame:
+    """(query_id, image_id, score) of the images with votes for a query; pairs: as of `probe`."""
+    found = votes(pairs, words, params)
     if params.burst_intra is not None:
         found = damp_within_images(found, params.burst_intra, params.cancel_multiple)
     if params.burst_inter:
         found = damp_between_images(found)
     if params.wgc_window:
-        scored = geometric_scores(histograms(found), wgc_weights(queries.sparkSession, params.wgc_class), params.wgc_window)
+        scored = geometric_scores(histograms(found), wgc_weights(pairs.sparkSession, params.wgc_class), params.wgc_window)
     else:
         scored = found.groupBy("query_id", "image_id").agg(F.sum("score").alias("score"))
     column = f"l{params.norm}"
@@ -160,7 +171,7 @@ def voted_scores(queries: DataFrame, postings: DataFrame, words: DataFrame, norm
 
 def score_images(queries: DataFrame, postings: DataFrame, words: DataFrame, norms: DataFrame, query_norms: DataFrame, params: SearchParams) -> DataFrame:
     """(query_id, image_id, score) of every image for every query, as many rows as that is: images without votes score 0."""
-    scored = voted_scores(queries, postings, words, norms, query_norms, params)
+    scored = voted_scores(probe(queries, postings, params.hamming), words, norms, query_norms, params)
     every = norms.select("image_id").crossJoin(F.broadcast(query_norms.select("query_id")))  # a batch of queries
     return every.join(scored, ["query_id", "image_id"], "left").select("query_id", "image_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
@@ -172,15 +183,19 @@ def top(scores: DataFrame, k: int) -> DataFrame:
 
 
 def search(queries: DataFrame, postings: DataFrame, codebook: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
-    """The best images of each query (query_id, image_id, score, rnk); images without votes score 0 and fill up by number.
+    """The best images of each query (query_id, image_id, score, rnk); images without votes score 0 and fill up by number."""
+    return ranked(queries, probe(queries, postings, params.hamming), word_weights(postings, codebook, params.tfidf), image_norms(postings), params)
+
+
+def ranked(queries: DataFrame, pairs: DataFrame, words: DataFrame, norms: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
+    """`search` out of the pairs of queries and postings.
 
     Only images with votes are scored. A query with fewer than k of them is filled from the 2 k smallest
     image numbers, among which the first k without votes must be.
     """
-    words = word_weights(postings, codebook, params.tfidf)
-    norms, k = image_norms(postings), params.shortlist
+    k = params.shortlist
     query_norms = image_norms(queries.withColumn("image_id", F.col("query_id"))).withColumnRenamed("image_id", "query_id")
-    voted = top(voted_scores(queries, postings, words, norms, query_norms, params).where("score > 0"), k)
+    voted = top(voted_scores(pairs, words, norms, query_norms, params).where("score > 0"), k)
     have = query_norms.select("query_id").join(voted.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k)
     smallest = norms.select("image_id").orderBy("image_id").limit(2 * k)
     none = have.select("query_id").crossJoin(F.broadcast(smallest)).join(voted.select("query_id", "image_id"), ["query_id", "image_id"], "left_anti")  # 2 k rows for a query

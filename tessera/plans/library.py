@@ -12,11 +12,12 @@ from tessera.operators import quantization as pq
 from tessera.plans.fixtures import BASE, BITS, assigned, codebook, descriptors, postings, query_points
 from tessera.plans.numeric import E, _pairs, _vectors
 from tessera.plans.quantized import P, _model, _points, _residual_model
-from tessera.plans.registry import query
-from tessera.plans.retrieval import r6
+from tessera.plans.registry import ORACLE_SQL, query
+from tessera.plans.retrieval import PARAMS, r6
 from tessera.plans.verification import M, matches
 from tessera.sources import binary, index, models
 from tessera.sources.scratch import scratch, stored
+from tessera.streaming import ingest
 
 
 # points --------------------------------------------------------------------------------------------
@@ -467,13 +468,37 @@ def _(spark, sf):
 
 @query("index_stored", BASE + "SELECT p.image_id, p.pt, p.vw, p.qscale, p.qangle, round(n.l2, 6) AS l2 FROM post p JOIN norms n USING (image_id)")
 def _(spark, sf):
-    """The index written with its manifest, and read."""
+    """The index written as a snapshot, and read."""
     path = scratch(spark, "index")
-    index.store(postings(spark, sf), codebook(spark, sf), path)
-    p, norms, manifest = index.load(spark, path)
-    if manifest["words"] != 16:
-        raise ValueError("the manifest names another codebook")
-    return p.join(norms, "image_id").select("image_id", "pt", "vw", "qscale", "qangle", r6(F.col("l2")).alias("l2"))
+    index.store(postings(spark, sf), codebook(spark, sf), path, index.Layout(buckets=8), words=16)
+    found = index.load(spark, path)
+    if found.facts["settings"] != {"words": 16}:
+        raise ValueError("the snapshot names another codebook")
+    return found.postings().join(found.norms(), "image_id").select("image_id", "pt", "vw", "qscale", "qangle", r6(F.col("l2")).alias("l2"))
+
+
+@query("ivf_search_stored", ORACLE_SQL["ivf_search_topk"])
+def _(spark, sf):
+    """The search on a stored index: its postings, weights and norms are read, not made."""
+    p, path = postings(spark, sf), scratch(spark, "index")
+    index.store(p, codebook(spark, sf), path, index.Layout(buckets=8, slice_rows=64))
+    found = index.search(query_points(p), index.load(spark, path), PARAMS)
+    return found.select("query_id", "image_id", r6(F.col("score")).alias("score"), "rnk")
+
+
+@query("ivf_search_added", ORACLE_SQL["ivf_search_topk"])
+def _(spark, sf):
+    """The search after all points were added as a stream of three batches."""
+    path, source = scratch(spark, "index"), scratch(spark, "stream")
+    points_ = descriptors(spark, sf)
+    points_.repartition(3).write.parquet(source)
+    projected = stored(hamming.project(assigned(spark, sf), hamming.hadamard(BITS)), "projected")
+    stream = spark.readStream.schema(points_.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    medians = stored(hamming.medians(projected), "medians")
+    ingest.append_images(stream, path, scratch(spark, "stream-state"), codebook(spark, sf), hamming.hadamard(BITS), medians, True, index.Layout(buckets=8)).awaitTermination()
+    found = index.load(spark, path)
+    asked = stored(query_points(found.postings()), "asked")
+    return index.search(asked, found, PARAMS).select("query_id", "image_id", r6(F.col("score")).alias("score"), "rnk")
 
 
 @query("models_stored", P + "SELECT vec_id, q, c FROM code")

@@ -1,7 +1,8 @@
-"""Online additions: new descriptors arrive as a stream and are assigned, signed and appended to the index.
+"""Online additions: new descriptors arrive as a stream and are assigned, signed and added to a stored index.
 
-Word weights and norms of a search are those of the snapshot that it reads; a batch that is run again
-after a failure replaces its own rows, since every batch writes under its number.
+Every batch publishes a snapshot of the index with its points, and with word weights and norms that count
+them; a batch that is run again after a failure is in the index once, since the snapshot that has its
+points has its number too.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators import hamming, inverted, knn
+from tessera.sources import index
+from tessera.sources.scratch import stored
 
 
 def to_postings(points: DataFrame, codebook: DataFrame, basis, medians: DataFrame) -> DataFrame:
@@ -19,11 +22,16 @@ def to_postings(points: DataFrame, codebook: DataFrame, basis, medians: DataFram
     return inverted.with_geometry(signed).drop("vec", "proj")
 
 
-def append_images(points: DataFrame, path: str, checkpoint: str, codebook: DataFrame, basis, medians: DataFrame, once: bool = False) -> StreamingQuery:
-    """Starts a query that appends the postings of a stream of points to path/batch=<number>."""
+def append_images(points: DataFrame, path: str, checkpoint: str, codebook: DataFrame, basis, medians: DataFrame, once: bool = False, layout: index.Layout = index.Layout()) -> StreamingQuery:
+    """Starts a query that adds the postings of a stream of points to the index in `path`, which it creates if there is none."""
 
     def add(batch: DataFrame, number: int) -> None:
-        to_postings(batch, codebook, basis, medians).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        # the batch is read by several jobs
+        new = stored(to_postings(batch, codebook, basis, medians), "batch")
+        if index.latest(spark, path) is None:
+            index.store(new.where("false"), codebook, path, layout)
+        index.add(new, path, checkpoint, number)
 
     writer = points.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -2,9 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import hamming
-from tessera.plans import fixtures
-from tessera.sources import binary, index
+from tessera.sources import binary
 from tessera.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -44,20 +42,6 @@ def test_vectors_round_trip(spark, tmp_path):
     assert back.select("vec").exceptAll(e.select("vec")).count() == 0 and back.count() == e.count()
 
 
-def test_index_and_online_additions(spark, tmp_path):
-    points, cb = fixtures.descriptors(spark, SF), fixtures.codebook(spark, SF)
-    whole = fixtures.postings(spark, SF)
-    index.write(whole, str(tmp_path / "ix"))
-    postings, norms = index.read(spark, str(tmp_path / "ix"))
-    assert postings.count() == whole.count() and index.for_words(postings, [3]).count() == whole.where("vw = 3").count()
-    points.repartition(3).write.parquet(str(tmp_path / "in"))
-    medians = hamming.medians(hamming.project(fixtures.assigned(spark, SF), hamming.hadamard(64)))
-    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    ingest.append_images(stream, str(tmp_path / "out"), str(tmp_path / "ck"), cb, hamming.hadamard(64), medians, once=True).awaitTermination()
-    added = spark.read.parquet(str(tmp_path / "out"))
-    assert added.select("vec_id", "vw", "binsign").exceptAll(whole.select("vec_id", "vw", "binsign")).count() == 0 and added.count() == whole.count()
-
-
 def test_windowed_counts(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
     assert ingest.windowed_counts(events).agg(F.sum("n")).first()[0] == events.count()
