@@ -164,55 +164,55 @@ def _packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
     return numbered.groupBy("block").applyInArrow(pack, "block long, ids binary, tags binary, flat binary"), blocks
 
 
+def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, d) of the k smallest finite entries of each row, in order, ties by id; ids: of the columns."""
+    n = min(k, d.shape[1])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    most = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+    row, at = np.nonzero((d <= most) & (d < np.inf))
+    value, of = d[row, at], ids[at]
+    by = np.lexsort((of, value, row))
+    row, value, of = row[by], value[by], of[by]
+    heads = np.flatnonzero(np.diff(row, prepend=-1))
+    good = np.arange(len(row)) - np.repeat(heads, np.diff(np.append(heads, len(row)))) < n
+    return row[good], of[good], value[good]
+
+
+def best_of_each(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, d2, rnk): the k nearest of each query, ties by vec_id."""
+    w = Window.partitionBy("query_id").orderBy("d2", "vec_id")
+    return found.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k).select("query_id", "vec_id", "d2", "rnk")
+
+
 def nearest_in_blocks(
-    queries: DataFrame, points: DataFrame, k: int, keep: Callable | None = None, rebuild: Callable | None = None, sizes: tuple[int, int] = (256, 8192)
+    queries: DataFrame, points: DataFrame, k: int, keep: Callable | None = None, rebuild: Callable | None = None, sizes: tuple[int, int] = (1024, 8192)
 ) -> DataFrame:
     """(query_id, vec_id, d2, rnk): the k nearest points of each query, ties by id; neither side is collected or broadcast.
 
-    queries: query_id, tag, vec; points: vec_id, tag, vec, the tag a long. Every pair of blocks is one
-    product of matrices, and k rows a query are kept. keep(query vectors, query tags, point tags)
-    is the mask of the pairs that count; rebuild(vectors, tags) makes the points' vectors, and a number
-    added to the distances of each, out of what is in vec (codes, say).
+    queries: query_id, tag, vec; points: vec_id, tag, vec, the tag a long. The queries, the smaller side,
+    go in blocks to every block of points; each pair of blocks is one product of matrices, which leaves k
+    rows of a query. keep(query vectors, query tags, point tags) is the mask of the pairs that count;
+    rebuild(vectors, tags) makes the points' vectors, and a number added to the distances of each, out of
+    what is in vec (codes, say).
     """
     complete = "vec is not null and not exists(vec, x -> x is null or isnan(x))"
-    q, nq = _packed(queries.where(complete).select(F.col("query_id").cast("long").alias("id"), F.col("tag").cast("long").alias("tag"), "vec"), sizes[0])
+    q, _ = _packed(queries.where(complete).select(F.col("query_id").cast("long").alias("id"), F.col("tag").cast("long").alias("tag"), "vec"), sizes[0])
     p, np_ = _packed(points.where(complete).select(F.col("vec_id").cast("long").alias("id"), F.col("tag").cast("long").alias("tag"), "vec"), sizes[1])
-    q = q.select("block", *[F.col(c).alias(f"q_{c}") for c in ("ids", "tags", "flat")])
-    p = p.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("block"), "ids", "tags", "flat")
-
-    def best(d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest of each row, in order; ids of a row or of all rows."""
-        out_d, out_i = np.full((len(d), k), np.inf), np.full((len(d), k), np.iinfo(np.int64).max)
-        n = min(k, d.shape[1])
-        most = np.partition(d, n - 1, axis=1)[:, n - 1]
-        for i in range(len(d)):
-            at = np.flatnonzero((d[i] <= most[i]) & (d[i] < np.inf))
-            of = ids[at] if ids.ndim == 1 else ids[i, at]
-            by = np.lexsort((of, d[i, at]))[:n]
-            out_d[i, : len(by)], out_i[i, : len(by)] = d[i, at[by]], of[by]
-        return out_d, out_i
+    q = q.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(np_ - 1).cast("long"))).alias("block"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "tags", "flat")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                block = batch.column(0)[row].as_py()
-                q_ids, q_tags, q_flat, ids, tags, flat = (np.frombuffer(batch.column(i + 1)[row].as_buffer(), t) for i, t in enumerate((np.int64, np.int64, np.float64) * 2))
+                q_ids, q_tags, q_flat, ids, tags, flat = (np.frombuffer(batch.column(i)[row].as_buffer(), t) for i, t in enumerate((np.int64, np.int64, np.float64) * 2))
                 a, b, more = q_flat.reshape(len(q_ids), -1), flat.reshape(len(ids), -1), 0.0
                 if rebuild is not None:
                     b, more = rebuild(b, tags)
                 d = np.round(distances(a, b) + more, 9)
                 if keep is not None:
                     d[~keep(a, q_tags, tags)] = np.inf
-                found = best(d, ids)
-                if block in held:
-                    found = best(np.hstack([held[block][1], found[0]]), np.hstack([held[block][2], found[1]]))
-                held[block] = (q_ids.copy(), *found)
-        for q_ids, d, ids in held.values():
-            there = d < np.inf
-            rows, places = np.nonzero(there)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[there]), pa.array(d[there]), pa.array(places + 1, pa.int32())], ["query_id", "vec_id", "d2", "rnk"])
-
-    # a block of queries is one task, which meets the blocks of points one after the other and keeps k rows a query
-    pairs = q.join(p, "block").select("block", "q_ids", "q_tags", "q_flat", "ids", "tags", "flat").repartitionByRange(nq, "block")
-    return pairs.mapInArrow(run, "query_id long, vec_id long, d2 double, rnk int")
+                at, of, value = smallest(d, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(of), pa.array(value)], ["query_id", "vec_id", "d2"])
+
+    pairs = p.join(q, "block").select("q_ids", "q_tags", "q_flat", "ids", "tags", "flat")
+    return best_of_each(pairs.mapInArrow(run, "query_id long, vec_id long, d2 double"), k)

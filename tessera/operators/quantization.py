@@ -88,26 +88,72 @@ def learn_lists(points: DataFrame, lists_: int, subspaces: int, cells: int, samp
     return centroids, ProductQuantizer(np.stack([_kmeans(np.ascontiguousarray(parts[:, q]), cells, rounds, rng) for q in range(subspaces)]))
 
 
-def search_reranked(queries: DataFrame, points: DataFrame, centroids: np.ndarray, pq: ProductQuantizer, probes: int, short: int, k: int) -> DataFrame:
-    """(query_id, vec_id, d2, rnk): the k nearest by exact distance among each query's `short` nearest codes in its `probes` nearest lists.
+#: Codes in a block of a list, and queries in a block of those that probe a list.
+BLOCK, ASKED = 4096, 1024
+
+
+def list_blocks(built: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(vw, block, of, n, ids, codes): lists (vw, vec_id, codes) cut into `of` blocks of about `size` codes each, by a hash of vec_id."""
+    sizes = built.groupBy("vw").agg(F.ceil(F.count("*") / size).cast("long").alias("of"))  # a row a list
+    dealt = built.join(F.broadcast(sizes), "vw").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("of")))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("vec_id")
+        codes = table.column("codes").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.uint16)
+        one = {c: table.column(c)[:1] for c in ("vw", "block", "of")}
+        return pa.table({**one, "n": pa.array([len(table)], pa.int64()), "ids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary())})
+
+    return dealt.select("vw", F.col("vec_id").cast("long").alias("vec_id"), "codes", "block", "of").groupBy("vw", "block").applyInArrow(pack, "vw long, block long, of long, n long, ids binary, codes binary")
 
-    queries: query_id, vec, of any number: they meet the codes in blocks.
+
+def probed_blocks(queries: DataFrame, blocks: DataFrame, codebook: DataFrame, probes: int, size: int = ASKED) -> DataFrame:
+    """(vw, block, n, ids, codes, q_ids, q_flat): the blocks of the lists that queries probe, each with a block of those queries.
+
+    queries: query_id, vec; q_flat: their residuals to the list. Blocks of a list that nothing probes meet no
+    query. Of a long list each block goes to a task of its own, and the queries follow it there.
     """
-    book = points.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "vw long, centroid array<double>")
-    built = build_lists(points, book, pq).select("vec_id", F.col("vw").alias("tag"), F.col("codes").cast("array<double>").alias("vec"))
-    shared = points.sparkSession.sparkContext.broadcast((centroids, pq))
+    near = knn.nearest(queries.select("query_id", "vec"), codebook, probes).select("query_id", "vec", F.col("centroid_id").alias("vw"))
+    rest = near.join(F.broadcast(codebook.select(F.col("vw").cast("long").alias("vw"), "centroid")), "vw").select("vw", "query_id", F.zip_with("vec", "centroid", lambda x, y: x - y).alias("rest"))
+    groups = rest.groupBy("vw").agg(F.ceil(F.count("*") / size).cast("long").alias("of"))
+    dealt = rest.join(F.broadcast(groups), "vw").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("of")))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("query_id")
+        m = knn.matrix(table.column("rest").combine_chunks())
+        return pa.table({"vw": table.column("vw")[:1], "q_ids": pa.array([table.column("query_id").to_numpy().tobytes()], pa.binary()), "q_flat": pa.array([m.tobytes()], pa.binary())})
 
-    def keep(m: np.ndarray, _: np.ndarray, of: np.ndarray) -> np.ndarray:
-        centroids, _ = shared.value
-        probed = np.zeros((len(m), len(centroids)), bool)
-        np.put_along_axis(probed, np.argsort(knn.distances(m, centroids), 1, kind="stable")[:, :probes], True, 1)
-        return probed[:, of]
+    packed_ = dealt.select("vw", F.col("query_id").cast("long").alias("query_id"), "rest", "part").groupBy("vw", "part").applyInArrow(pack, "vw long, q_ids binary, q_flat binary")
+    sizes = blocks.select("vw", "of").distinct()
+    asked = packed_.join(F.broadcast(sizes), "vw").withColumn("block", F.explode(F.expr("sequence(0L, of - 1)"))).drop("of")
+    return blocks.drop("of").join(asked, ["vw", "block"])
 
-    def rebuild(codes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, float]:
-        centroids, pq = shared.value
-        return centroids[of] + pq.decode(codes.astype(np.int64)), 0.0
 
-    coarse = knn.nearest_in_blocks(queries.withColumn("tag", F.lit(0)), built, short, keep, rebuild).select("query_id", "vec_id")
+def nearest_codes(probed: DataFrame, pq: ProductQuantizer, short: int) -> DataFrame:
+    """(query_id, vec_id, d2, rnk): the `short` nearest codes of each query; `short` of each pair of blocks leave a task.
+
+    A point in several lists counts once, with its nearest code.
+    """
+    shared = probed.sparkSession.sparkContext.broadcast(pq)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pq = shared.value
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, codes, q_ids, q_flat = (np.frombuffer(batch.column(i)[row].as_buffer(), t) for i, t in enumerate((np.int64, np.uint16, np.int64, np.float64)))
+                made = pq.decode(codes.reshape(len(ids), -1).astype(np.int64))
+                at, of, d = knn.smallest(np.round(knn.distances(q_flat.reshape(len(q_ids), -1), made), 9), ids, short)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(of), pa.array(d)], ["query_id", "vec_id", "d2"])
+
+    found = probed.select("ids", "codes", "q_ids", "q_flat").mapInArrow(run, "query_id long, vec_id long, d2 double")
+    return knn.best_of_each(found.groupBy("query_id", "vec_id").agg(F.min("d2").alias("d2")), short)
+
+
+def search_reranked(queries: DataFrame, points: DataFrame, blocks: DataFrame, codebook: DataFrame, pq: ProductQuantizer, probes: int, short: int, k: int) -> DataFrame:
+    """(query_id, vec_id, d2, rnk): the k nearest by exact distance among each query's `short` nearest codes in its `probes` nearest lists.
+
+    queries: query_id, vec, of any number; blocks: as of `list_blocks`.
+    """
+    coarse = nearest_codes(probed_blocks(queries, blocks, codebook, probes), pq, short).select("query_id", "vec_id")
     both = coarse.join(points.select("vec_id", "vec"), "vec_id").join(queries.select("query_id", F.col("vec").alias("asked")), "query_id")
     return nearest(both.select("query_id", "vec_id", v.distance_l2_squared(F.col("asked"), F.col("vec")).alias("d2")), k)
 
@@ -217,9 +263,9 @@ def rerank(coarse: DataFrame, coded: DataFrame, queries: list[tuple[int, np.ndar
     return nearest(joined.mapInArrow(run, "query_id long, vec_id long, d2 double"), k)
 
 
-def build_lists(points: DataFrame, codebook: DataFrame, pq: ProductQuantizer) -> DataFrame:
-    """(vw, vec_id, codes): the residual of each point to its word's centroid, as a code."""
-    near = knn.nearest(points.select("vec_id", "vec"), codebook)
+def build_lists(points: DataFrame, codebook: DataFrame, pq: ProductQuantizer, spill: int = 1) -> DataFrame:
+    """(vw, vec_id, codes): the residual of each point to its word's centroid, as a code; spill: a point is in so many nearest lists."""
+    near = knn.nearest(points.select("vec_id", "vec"), codebook, spill)
     rest = near.join(codebook.select(F.col("vw").alias("centroid_id"), "centroid"), "centroid_id")
     rest = rest.select("vec_id", F.col("centroid_id").alias("vw"), F.zip_with("vec", "centroid", lambda x, y: x - y).alias("vec"))
     return encode(rest, pq).select("vw", "vec_id", "codes")

@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import knn
 from tessera.operators import quantization as pq
 from tessera.plans.fixtures import BASE, codebook, descriptors
 from tessera.plans.registry import query
 from tessera.plans.retrieval import r6
+from tessera.sources.scratch import stored
 
 P = BASE[:-1] + """, sub AS (SELECT d.vec_id, q.q, d.vec[q.q * 8 + 1 : q.q * 8 + 8] AS v FROM d CROSS JOIN (SELECT unnest(range(0, 8)) AS q) q
 ), pc AS (SELECT vec_id AS c, q, v FROM sub WHERE vec_id < 16
@@ -86,8 +88,6 @@ for _name, _table, _column, _how in (("pq_adc", "adc", "d2", {}), ("pq_adc_cor",
 @query("pq_nn_fc", P + """SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), vec_id)::INTEGER AS rnk
     FROM (SELECT a.vec_id AS query_id, pd.vec_id, sum(pd.d2) AS d2 FROM code a JOIN pd USING (q, c) WHERE a.vec_id BETWEEN 20 AND 24 GROUP BY ALL) QUALIFY rnk <= 10""")
 def _(spark, sf):
-    from tessera.operators import knn
-
     model, queries = _model(spark, sf), _queries(spark, sf)
     decoded = model.decode(model.encode(np.array([x for _, x in queries])))
     table = spark.createDataFrame([(int(i), row.tolist()) for (i, _), row in zip(queries, decoded, strict=True)], "query_id long, centroid array<double>")
@@ -121,8 +121,6 @@ def _(spark, sf):
 
 
 def _residual_model(spark, sf) -> pq.ProductQuantizer:
-    from tessera.operators import knn
-
     near = knn.nearest(_points(spark, sf).where("vec_id between 16 and 31"), codebook(spark, sf)).join(codebook(spark, sf).withColumnRenamed("vw", "centroid_id"), "centroid_id")
     rows = sorted(near.collect(), key=lambda r: r["vec_id"])
     return pq.from_rows([np.array(r["vec"]) - np.array(r["centroid"]) for r in rows], 8)
@@ -154,26 +152,58 @@ def _(spark, sf):
     return _found(spark, sf).select("query_id", "vw", "vec_id")
 
 
-#: Of 16 learned lists 12 are probed and 200 codes kept for exact distances: the given vectors fill their space almost evenly.
-_LISTS, _PROBES, _SHORT = 16, 12, 200
+# lists of which a quarter is probed ------------------------------------------------------------------
 
+#: Of 64 lists 16 are probed, and each vector is in 3: the given vectors fill their space almost evenly, so that neighbours lie in many lists.
+_LISTS, _PROBES, _SPILL, _SHORT = 64, 16, 3, 200
 
-def _reranked(spark, sf, probes: int) -> DataFrame:
+
+def reranked(spark, sf, spill: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, pq.ProductQuantizer]:
+    """(queries, points, blocks of the learned lists, codebook, quantiser)"""
     points = _points(spark, sf)
     centroids, model = pq.learn_lists(points, _LISTS, 16, 256)
-    queries = points.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
-    found = pq.search_reranked(queries, points, centroids, model, probes, _SHORT, 10)
-    return found.select("query_id", "vec_id", r6(F.col("d2")).alias("d2"), "rnk")
+    book = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "vw long, centroid array<double>")
+    blocks = stored(pq.list_blocks(pq.build_lists(points, book, model, spill)), "lists")
+    return points.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), points, blocks, book, model
 
 
 @query("ivfpq_reranked")
 def _(spark, sf):
-    return _reranked(spark, sf, _PROBES)
+    found = pq.search_reranked(*reranked(spark, sf, _SPILL), _PROBES, _SHORT, 10)
+    return found.select("query_id", "vec_id", r6(F.col("d2")).alias("d2"), "rnk")
 
 
 @query("pq_reranked")
 def _(spark, sf):
-    return _reranked(spark, sf, _LISTS)
+    found = pq.search_reranked(*reranked(spark, sf, 1), _LISTS, _SHORT, 10)
+    return found.select("query_id", "vec_id", r6(F.col("d2")).alias("d2"), "rnk")
+
+
+_SQUARED = "list_sum(list_transform(list_zip({}, {}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_MINUS = "list_transform(list_zip({}, {}), lambda z: z[1] - z[2])"
+_EIGHTH = "CROSS JOIN (SELECT unnest(range(0, 8)) AS q) q"
+
+
+@query("ivfpq_pruned", f"""WITH d AS (SELECT vec_id, list_transform(embedding, lambda z: z::DOUBLE) AS vec FROM embeddings
+), l AS (SELECT vec_id AS vw, vec AS centroid FROM d WHERE vec_id < 64
+), near AS (SELECT vec_id, vw, {_MINUS.format("vec", "centroid")} AS rest, row_number() OVER (PARTITION BY vec_id ORDER BY {_SQUARED.format("vec", "centroid")}, vw) AS rnk FROM d CROSS JOIN l
+), sub AS (SELECT vec_id, vw, rnk, q.q, rest[q.q * 8 + 1 : q.q * 8 + 8] AS v FROM near {_EIGHTH}
+), cell AS (SELECT vec_id - 64 AS c, q, v FROM sub WHERE rnk = 1 AND vec_id BETWEEN 64 AND 127
+), code AS (SELECT s.vec_id, s.vw, s.q, c.c, c.v FROM sub s JOIN cell c USING (q) WHERE s.rnk <= 3 QUALIFY row_number() OVER (PARTITION BY s.vec_id, s.vw, s.q ORDER BY {_SQUARED.format("s.v", "c.v")}, c.c) = 1
+), adc AS (SELECT p.vec_id AS query_id, code.vec_id, p.vw, round(sum({_SQUARED.format("p.v", "code.v")}), 9) AS d2 FROM sub p JOIN code USING (vw, q) WHERE p.rnk <= 16 AND p.vec_id % 20 = 0 GROUP BY ALL
+), best AS (SELECT query_id, vec_id, min(d2) AS d2 FROM adc GROUP BY ALL
+), short AS (SELECT query_id, vec_id FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) <= 200
+), exact AS (SELECT query_id, s.vec_id, {_SQUARED.format("a.vec", "b.vec")} AS d2 FROM short s JOIN d a ON a.vec_id = s.query_id JOIN d b ON b.vec_id = s.vec_id)
+SELECT query_id, vec_id, round(d2, 6) + 0.0 AS d2, row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), vec_id)::INTEGER AS rnk FROM exact QUALIFY rnk <= 10""")
+def _(spark, sf):
+    """A quarter of the lists probed, as `ivfpq_reranked` does; the lists and cells are given vectors, which SQL can name."""
+    points = _points(spark, sf)
+    book = points.where("vec_id < 64").select(F.col("vec_id").alias("vw"), F.col("vec").alias("centroid"))
+    near = knn.nearest(points.where("vec_id between 64 and 127"), book).join(book, F.col("centroid_id") == F.col("vw"))
+    model = pq.from_rows([np.array(r["vec"]) - np.array(r["centroid"]) for r in sorted(near.collect(), key=lambda r: r["vec_id"])], 8)
+    blocks = stored(pq.list_blocks(pq.build_lists(points, book, model, _SPILL)), "lists")
+    found = pq.search_reranked(points.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), points, blocks, book, model, _PROBES, _SHORT, 10)
+    return found.select("query_id", "vec_id", r6(F.col("d2")).alias("d2"), "rnk")
 
 
 # the lists' neighbours as votes for images, with scale weights and weak geometry -------------------
