@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import vectors as v
 from tessera.operators.knn import matrix
 from tessera.operators.medians import group_medians
 
@@ -70,6 +71,24 @@ def medians(projected: DataFrame, words: DataFrame | None = None, hold: int = 1
     return words.select("vw").distinct().join(found, "vw", "left")
 
 
+def near_signatures(queries: DataFrame, points: DataFrame, most: int, block: int = 4096) -> DataFrame:
+    """(a, b, hd): the points (vec_id, binsign) whose signatures differ from a query's in `most` bits or fewer.
+
+    Each block of points stays in its task; the queries, the smaller side, go to every block in blocks.
+    """
+
+    def blocks(rows: DataFrame) -> tuple[DataFrame, int]:
+        n = max(1, -(-rows.count() // block))
+        dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"), "vec_id", "binsign")
+        return dealt.groupBy("block").agg(F.collect_list(F.struct("vec_id", "binsign")).alias("rows")), n  # about `block` rows
+
+    (q, _), (p, n) = blocks(queries), blocks(points)
+    asked = q.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"), F.col("rows").alias("asked"))
+    pairs = p.join(asked, "block").select("rows", F.explode("asked").alias("q")).select("q", F.explode("rows").alias("p"))
+    hd = v.hamming(F.col("q.binsign"), F.col("p.binsign"))
+    return pairs.where(hd <= most).select(F.col("q.vec_id").alias("a"), F.col("p.vec_id").alias("b"), hd.cast("int").alias("hd"))
+
+
 def signatures(projected: DataFrame, medians_: DataFrame, first: int = 0) -> DataFrame:
     """projected with binsign: bit j is set if component first + j is at least its word's median (0 without one); 64 bits at most."""
     joined = projected.join(medians_, "vw", "left")

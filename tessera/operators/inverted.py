@@ -195,12 +195,17 @@ def ranked(queries: DataFrame, pairs: DataFrame, words: DataFrame, norms: DataFr
     """
     k = params.shortlist
     query_norms = image_norms(queries.withColumn("image_id", F.col("query_id"))).withColumnRenamed("image_id", "query_id")
-    voted = top(voted_scores(pairs, words, norms, query_norms, params).where("score > 0"), k)
-    have = query_norms.select("query_id").join(voted.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k)
-    smallest = norms.select("image_id").orderBy("image_id").limit(2 * k)
+    return filled(voted_scores(pairs, words, norms, query_norms, params).where("score > 0"), query_norms.select("query_id"), norms.select("image_id"), k)
+
+
+def filled(scores: DataFrame, queries: DataFrame, images: DataFrame, k: int, score: float = 0.0) -> DataFrame:
+    """The k best images of each query, those without a score among them, which have `score`, less than all others; ties by image."""
+    voted = top(scores, k)
+    have = queries.join(voted.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k)
+    smallest = images.orderBy("image_id").limit(2 * k)
     none = have.select("query_id").crossJoin(F.broadcast(smallest)).join(voted.select("query_id", "image_id"), ["query_id", "image_id"], "left_anti")  # 2 k rows for a query
-    filled = none.select("query_id", "image_id", F.lit(0.0).alias("score"))
-    return top(voted.select("query_id", "image_id", "score").unionByName(filled), k)
+    rest = none.select("query_id", "image_id", F.lit(score).alias("score"))
+    return top(voted.select("query_id", "image_id", "score").unionByName(rest), k)
 
 
 def merge(first: DataFrame, second: DataFrame, offset: int) -> DataFrame:

@@ -216,28 +216,44 @@ def with_errors(points: DataFrame, pq: ProductQuantizer) -> ProductQuantizer:
     return ProductQuantizer(pq.centroids, errors)
 
 
-def code_distances(coded: DataFrame, queries: list[tuple[int, np.ndarray]], pq: ProductQuantizer, symmetric: bool = False, corrected: bool = False) -> DataFrame:
-    """(query_id, vec_id, d2) of every code for a batch of queries: by their own codes, or by tables of the exact queries."""
-    ids = np.array([i for i, _ in queries])
-    m = np.array([x for _, x in queries])
-    if symmetric:
-        codes, between = pq.encode(m), pq.cell_distances(corrected)
-        luts = np.stack([between[np.arange(len(between)), c] for c in codes])
-    else:
-        luts = pq.tables(m, corrected)
-    shared = coded.sparkSession.sparkContext.broadcast((ids, luts))
+def pair_distances(pairs: DataFrame, pq: ProductQuantizer, symmetric: bool = False, corrected: bool = False) -> DataFrame:
+    """(query_id, vec_id, d2) of pairs (query_id, vec, vec_id, codes): of the vector to the code, or of its own code to the code."""
+    shared = pairs.sparkSession.sparkContext.broadcast((pq, pq.cell_distances(corrected)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, luts = shared.value
+        pq, between = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vec_id, codes = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            for i, lut in zip(ids.tolist(), luts, strict=True):
-                d = lut[np.arange(codes.shape[1])[None], codes].sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), i), pa.int64()), pa.array(vec_id), pa.array(d)], ["query_id", "vec_id", "d2"])
+            if batch.num_rows:
+                m, codes = knn.matrix(batch.column(1)), batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)
+                q = np.arange(codes.shape[1])[None]
+                d = between[q, pq.encode(m), codes] if symmetric else np.take_along_axis(pq.tables(m, corrected), codes[:, :, None], 2)[:, :, 0]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(d.sum(1))], ["query_id", "vec_id", "d2"])
+
+    return pairs.select(F.col("query_id").cast("long"), "vec", F.col("vec_id").cast("long"), "codes").mapInArrow(run, "query_id long, vec_id long, d2 double")
+
+
+def approximated(rows: DataFrame, pq: ProductQuantizer) -> DataFrame:
+    """rows with vec replaced by what its code stands for."""
+    shared = rows.sparkSession.sparkContext.broadcast(pq)
+    made = _map(rows, [T.StructField("made", T.ArrayType(T.DoubleType()))], lambda m: [lists(shared.value.decode(shared.value.encode(m)), pa.float64())])
+    return made.drop("vec").withColumnRenamed("made", "vec")
+
+
+def search_codes(queries: DataFrame, coded: DataFrame, pq: ProductQuantizer, k: int, symmetric: bool = False, corrected: bool = False) -> DataFrame:
+    """(query_id, vec_id, d2, rnk): the k nearest of all codes (vec_id, codes) for each query (query_id, vec), of any number.
+
+    symmetric: the query is what its own code stands for. corrected: with the errors of the codes, that of
+    the query's own code aside, which is the same for all points.
+    """
+    shared = coded.sparkSession.sparkContext.broadcast(pq)
+
+    def rebuild(codes: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+        c = codes.astype(np.int64)
+        return shared.value.decode(c), shared.value.errors[np.arange(c.shape[1]), c].sum(1) if corrected else 0.0
 
-    return coded.select(F.col("vec_id").cast("long"), "codes").mapInArrow(run, "query_id long, vec_id long, d2 double")
+    asked = approximated(queries, pq) if symmetric else queries
+    points = coded.select("vec_id", F.lit(0).alias("tag"), F.col("codes").cast("array<double>").alias("vec"))
+    return knn.nearest_in_blocks(asked.select("query_id", F.lit(0).alias("tag"), "vec"), points, k, rebuild=rebuild)
 
 
 def nearest(distances: DataFrame, k: int) -> DataFrame:
@@ -246,20 +262,19 @@ def nearest(distances: DataFrame, k: int) -> DataFrame:
     return distances.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k)
 
 
-def rerank(coarse: DataFrame, coded: DataFrame, queries: list[tuple[int, np.ndarray]], first: ProductQuantizer, second: ProductQuantizer, k: int) -> DataFrame:
-    """The k nearest among a short list (query_id, vec_id) by both codes' reconstruction; coded: vec_id, codes, rest_codes."""
-    shared = coded.sparkSession.sparkContext.broadcast((dict(queries), first, second))
+def rerank(coarse: DataFrame, coded: DataFrame, queries: DataFrame, first: ProductQuantizer, second: ProductQuantizer, k: int) -> DataFrame:
+    """The k nearest among a short list (query_id, vec_id) by both codes' reconstruction; coded: vec_id, codes, rest_codes; queries: query_id, vec."""
+    shared = coded.sparkSession.sparkContext.broadcast((first, second))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id, first, second = shared.value
+        first, second = shared.value
         for batch in batches:
             if batch.num_rows:
                 a, b = (batch.column(i).flatten().to_numpy().reshape(batch.num_rows, -1) for i in (2, 3))
-                q = np.array([by_id[i] for i in batch.column(0).to_pylist()])
-                d = ((q - first.decode(a) - second.decode(b)) ** 2).sum(1)
+                d = ((knn.matrix(batch.column(4)) - first.decode(a) - second.decode(b)) ** 2).sum(1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["query_id", "vec_id", "d2"])
 
-    joined = coarse.select("query_id", "vec_id").join(coded, "vec_id").select("query_id", "vec_id", "codes", "rest_codes")
+    joined = coarse.select("query_id", "vec_id").join(coded, "vec_id").join(queries.select("query_id", "vec"), "query_id").select("query_id", "vec_id", "codes", "rest_codes", "vec")
     return nearest(joined.mapInArrow(run, "query_id long, vec_id long, d2 double"), k)
 
 

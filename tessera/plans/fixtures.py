@@ -21,7 +21,8 @@ WORDS = 16
 BITS = 64
 #: Signatures of the fixture lie far apart; the default for real descriptors is 22.
 HAMMING = 28
-QUERY_IMAGES = 5
+#: Queries are the images, or vectors, whose id this divides.
+EVERY = 20
 
 
 def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +52,8 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_points(points: DataFrame) -> DataFrame:
-    """The postings of the first images, as queries; query_id is the image."""
-    return points.where(F.col("image_id") < QUERY_IMAGES).withColumn("query_id", F.col("image_id"))
+    """The postings of the images that are queries; query_id is the image."""
+    return points.where(F.col("image_id") % EVERY == 0).withColumn("query_id", F.col("image_id"))
 
 
 _BINOMIAL = ", ".join(f"({i}, {64 - log2(sum(comb(64, j) for j in range(i + 1)))!r}::DOUBLE)" for i in range(65))
@@ -85,7 +86,7 @@ WITH d AS (
 ), pairs AS (
   SELECT q.image_id AS query_id, q.pt AS dqid, p.image_id, p.pt, p.vw, bit_count(xor(q.lo, p.lo)) + bit_count(xor(q.hi, p.hi)) AS hd,
          (p.qangle - q.qangle + 64) % 64 AS da, p.qscale - q.qscale + 31 AS ds, least(q.qscale, p.qscale) AS ms
-  FROM post q JOIN post p USING (vw) WHERE q.image_id < {QUERY_IMAGES}
+  FROM post q JOIN post p USING (vw) WHERE q.image_id % {EVERY} = 0
 ), votes AS (
   SELECT pairs.*, words.w * words.w * exp(ms * 0.06::DOUBLE) * hew.hw AS score
   FROM pairs JOIN words USING (vw) JOIN hew USING (hd) WHERE pairs.hd <= {HAMMING}
@@ -109,7 +110,7 @@ WITH d AS (
 ), norms AS (SELECT image_id, sum(n)::DOUBLE AS l1, sqrt(sum(n * n)) AS l2, sqrt(sum(n)) AS l3 FROM (SELECT image_id, vw, count(*) AS n FROM post GROUP BY ALL) GROUP BY image_id
 ), scores AS (
   SELECT q.query_id, i.image_id, coalesce(w.score, 0) / (i.l2 * qn.l2) AS score
-  FROM (SELECT unnest(range(0, {QUERY_IMAGES})) AS query_id) q CROSS JOIN norms i JOIN norms qn ON qn.image_id = q.query_id
+  FROM (SELECT image_id AS query_id FROM norms WHERE image_id % {EVERY} = 0) q CROSS JOIN norms i JOIN norms qn ON qn.image_id = q.query_id
   LEFT JOIN wgc w ON w.query_id = q.query_id AND w.image_id = i.image_id
 )
 """

@@ -174,7 +174,7 @@ def _(spark, sf):
     return pq.list_sizes(_merged(spark, sf), codebook(spark, sf))
 
 
-_PRUNED = P.replace("WHERE r.rnk <= 3 AND r.vec_id BETWEEN 20 AND 24", "WHERE r.rnk <= 5 AND r.d2 < 1.1::DOUBLE * (SELECT min(x.d2) FROM ranked x WHERE x.vec_id = r.vec_id) AND r.vec_id % 20 = 0")
+_PRUNED = P.replace("WHERE r.rnk <= 3 AND r.vec_id % 20 = 0", "WHERE r.rnk <= 5 AND r.d2 < 1.1::DOUBLE * (SELECT min(x.d2) FROM ranked x WHERE x.vec_id = r.vec_id) AND r.vec_id % 20 = 0")
 
 
 @query("ivfpq_search_pruned", _PRUNED + "SELECT query_id, vw, vec_id, round(d2, 6) + 0.0 AS d2 FROM ivf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), vec_id) <= 10")

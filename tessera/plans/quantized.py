@@ -19,13 +19,13 @@ P = BASE[:-1] + """, sub AS (SELECT d.vec_id, q.q, d.vec[q.q * 8 + 1 : q.q * 8 +
 ), code AS (SELECT vec_id, q, c, d2 FROM pd QUALIFY row_number() OVER (PARTITION BY vec_id, q ORDER BY d2, c) = 1
 ), err AS (SELECT pc.q, pc.c, coalesce(avg(code.d2), 0) AS e FROM pc LEFT JOIN code USING (q, c) GROUP BY ALL
 ), between AS (SELECT a.q, a.c AS c1, b.c AS c2, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM pc a JOIN pc b USING (q)
-), adc AS (SELECT pd.vec_id AS query_id, code.vec_id, sum(pd.d2) AS d2, sum(pd.d2 + err.e) AS cor FROM pd JOIN code USING (q, c) JOIN err USING (q, c) WHERE pd.vec_id BETWEEN 20 AND 24 GROUP BY ALL
-), sdc AS (SELECT a.vec_id AS query_id, b.vec_id, sum(w.d2) AS d2, sum(w.d2 + ea.e + eb.e) AS cor FROM code a JOIN code b USING (q) JOIN between w ON w.q = a.q AND w.c1 = a.c AND w.c2 = b.c JOIN err ea ON ea.q = a.q AND ea.c = a.c JOIN err eb ON eb.q = b.q AND eb.c = b.c WHERE a.vec_id BETWEEN 20 AND 24 GROUP BY ALL
+), adc AS (SELECT pd.vec_id AS query_id, code.vec_id, sum(pd.d2) AS d2, sum(pd.d2 + err.e) AS cor FROM pd JOIN code USING (q, c) JOIN err USING (q, c) WHERE pd.vec_id % 20 = 0 GROUP BY ALL
+), sdc AS (SELECT a.vec_id AS query_id, b.vec_id, sum(w.d2) AS d2, sum(w.d2 + ea.e + eb.e) AS cor FROM code a JOIN code b USING (q) JOIN between w ON w.q = a.q AND w.c1 = a.c AND w.c2 = b.c JOIN err ea ON ea.q = a.q AND ea.c = a.c JOIN err eb ON eb.q = b.q AND eb.c = b.c WHERE a.vec_id % 20 = 0 GROUP BY ALL
 ), rest AS (SELECT asg.vec_id, asg.vw, list_transform(list_zip(asg.vec, cb.centroid), lambda z: z[1] - z[2]) AS v FROM asg JOIN cb USING (vw)
 ), rsub AS (SELECT vec_id, vw, q.q, v[q.q * 8 + 1 : q.q * 8 + 8] AS v FROM rest CROSS JOIN (SELECT unnest(range(0, 8)) AS q) q
 ), rpc AS (SELECT vec_id - 16 AS c, q, v FROM rsub WHERE vec_id BETWEEN 16 AND 31
 ), rcode AS (SELECT rsub.vec_id, rsub.vw, rsub.q, rpc.c FROM rsub JOIN rpc USING (q) QUALIFY row_number() OVER (PARTITION BY rsub.vec_id, rsub.q ORDER BY list_sum(list_transform(list_zip(rsub.v, rpc.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), rpc.c) = 1
-), probe AS (SELECT r.vec_id AS query_id, r.vw, q.q, list_transform(list_zip(d.vec, cb.centroid), lambda z: z[1] - z[2])[q.q * 8 + 1 : q.q * 8 + 8] AS v FROM ranked r JOIN d USING (vec_id) JOIN cb USING (vw) CROSS JOIN (SELECT unnest(range(0, 8)) AS q) q WHERE r.rnk <= 3 AND r.vec_id BETWEEN 20 AND 24
+), probe AS (SELECT r.vec_id AS query_id, r.vw, q.q, list_transform(list_zip(d.vec, cb.centroid), lambda z: z[1] - z[2])[q.q * 8 + 1 : q.q * 8 + 8] AS v FROM ranked r JOIN d USING (vec_id) JOIN cb USING (vw) CROSS JOIN (SELECT unnest(range(0, 8)) AS q) q WHERE r.rnk <= 3 AND r.vec_id % 20 = 0
 ), ivf AS (SELECT p.query_id, p.vw, rc.vec_id, sum(list_sum(list_transform(list_zip(p.v, rpc.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d2 FROM probe p JOIN rcode rc USING (vw, q) JOIN rpc ON rpc.q = p.q AND rpc.c = rc.c GROUP BY ALL)
 """
 
@@ -38,9 +38,8 @@ def _model(spark, sf) -> pq.ProductQuantizer:
     return pq.from_rows([r["centroid"] for r in sorted(codebook(spark, sf).collect(), key=lambda r: r["vw"])], 8)
 
 
-def _queries(spark, sf) -> list[tuple[int, np.ndarray]]:
-    rows = _points(spark, sf).where("vec_id between 20 and 24").collect()
-    return sorted((r["vec_id"], np.array(r["vec"])) for r in rows)
+def _queries(spark, sf) -> DataFrame:
+    return _points(spark, sf).where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
 
 
 @query("pq_subvectors", P + "SELECT vec_id, q, round(list_sum(v), 6) + 0.0 AS s FROM sub")
@@ -68,31 +67,40 @@ def _(spark, sf):
     return rest.select("vec_id", r6(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("e"))
 
 
-def _distances(spark, sf, **how) -> DataFrame:
+def next_distances(spark, sf, **how) -> DataFrame:
+    """Distances of every vector to the code of the next one."""
+    model = pq.with_errors(_points(spark, sf), _model(spark, sf))
+    coded = pq.encode(_points(spark, sf), model).select((F.col("vec_id") - 1).alias("query_id"), "vec_id", "codes")
+    pairs = coded.join(_points(spark, sf).withColumnRenamed("vec_id", "query_id"), "query_id")
+    return pq.pair_distances(pairs, model, **how).select("query_id", "vec_id", r6(F.col("d2")).alias("d2"))
+
+
+def nearest_codes(spark, sf, symmetric: bool = False, corrected: bool = False) -> DataFrame:
+    """The ten nearest codes of every twentieth vector."""
     model = pq.with_errors(_points(spark, sf), _model(spark, sf))
     coded = pq.encode(_points(spark, sf), model)
-    return pq.code_distances(coded, _queries(spark, sf), model, **how)
+    return pq.search_codes(_queries(spark, sf), coded, model, 10, symmetric, corrected).select("query_id", "vec_id", "rnk")
 
 
-for _name, _table, _column, _how in (("pq_adc", "adc", "d2", {}), ("pq_adc_cor", "adc", "cor", {"corrected": True}), ("pq_sdc", "sdc", "d2", {"symmetric": True}), ("pq_sdc_cor", "sdc", "cor", {"symmetric": True, "corrected": True})):
+_SUM = {"adc": "pd.d2", "adc_cor": "pd.d2 + eb.e", "sdc": "w.d2", "sdc_cor": "w.d2 + ea.e + eb.e"}
+for _name, _column, _how in (("adc", "d2", {}), ("adc_cor", "cor", {"corrected": True}), ("sdc", "d2", {"symmetric": True}), ("sdc_cor", "cor", {"symmetric": True, "corrected": True})):
 
-    @query(_name, P + f"SELECT query_id, vec_id, round({_column}, 6) + 0.0 AS d2 FROM {_table}")
+    @query(f"pq_{_name}", P + f"""SELECT a.vec_id AS query_id, b.vec_id, round(sum({_SUM[_name]}), 6) + 0.0 AS d2 FROM code a JOIN code b ON b.vec_id = a.vec_id + 1 AND b.q = a.q JOIN err ea ON ea.q = a.q AND ea.c = a.c JOIN err eb ON eb.q = b.q AND eb.c = b.c
+        JOIN between w ON w.q = a.q AND w.c1 = a.c AND w.c2 = b.c JOIN pd ON pd.vec_id = a.vec_id AND pd.q = b.q AND pd.c = b.c GROUP BY ALL""")
     def _(spark, sf, how=_how):
-        return _distances(spark, sf, **how).select("query_id", "vec_id", r6(F.col("d2")).alias("d2"))
+        return next_distances(spark, sf, **how)
 
-    @query(_name.replace("pq_", "pq_nn_"), P + f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round({_column}, 9), vec_id)::INTEGER AS rnk FROM {_table} QUALIFY rnk <= 10")
+    @query(f"pq_nn_{_name}", P + f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round({_column}, 9), vec_id)::INTEGER AS rnk FROM {_name[:3]} QUALIFY rnk <= 10")
     def _(spark, sf, how=_how):
-        return pq.nearest(_distances(spark, sf, **how), 10).select("query_id", "vec_id", "rnk")
+        return nearest_codes(spark, sf, **how)
 
 
 @query("pq_nn_fc", P + """SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), vec_id)::INTEGER AS rnk
-    FROM (SELECT a.vec_id AS query_id, pd.vec_id, sum(pd.d2) AS d2 FROM code a JOIN pd USING (q, c) WHERE a.vec_id BETWEEN 20 AND 24 GROUP BY ALL) QUALIFY rnk <= 10""")
+    FROM (SELECT a.vec_id AS query_id, pd.vec_id, sum(pd.d2) AS d2 FROM code a JOIN pd USING (q, c) WHERE a.vec_id % 20 = 0 GROUP BY ALL) QUALIFY rnk <= 10""")
 def _(spark, sf):
-    model, queries = _model(spark, sf), _queries(spark, sf)
-    decoded = model.decode(model.encode(np.array([x for _, x in queries])))
-    table = spark.createDataFrame([(int(i), row.tolist()) for (i, _), row in zip(queries, decoded, strict=True)], "query_id long, centroid array<double>")
-    d = knn.cross_distances(_points(spark, sf), table).select(F.col("centroid_id").alias("query_id"), "vec_id", "d2")
-    return pq.nearest(d, 10).select("query_id", "vec_id", "rnk")
+    """Codes of queries against vectors."""
+    asked = pq.approximated(_queries(spark, sf), _model(spark, sf)).withColumn("tag", F.lit(0))
+    return knn.nearest_in_blocks(asked, _points(spark, sf).withColumn("tag", F.lit(0)), 10).select("query_id", "vec_id", "rnk")
 
 
 @query("pq_learn")
@@ -116,7 +124,7 @@ def _(spark, sf):
     rest = pq.residuals(points, first)
     second = pq.from_rows([r["vec"] for r in sorted(rest.where("vec_id between 16 and 31").collect(), key=lambda r: r["vec_id"])], 8)
     coded = pq.encode(rest.withColumnRenamed("codes", "first_codes"), second).select("vec_id", F.col("first_codes").alias("codes"), F.col("codes").alias("rest_codes"))
-    short = pq.nearest(pq.code_distances(coded.select("vec_id", "codes"), _queries(spark, sf), first), 30)
+    short = pq.search_codes(_queries(spark, sf), coded.select("vec_id", "codes"), first, 30)
     return pq.rerank(short, coded, _queries(spark, sf), first, second, 10).select("query_id", "vec_id", r6(F.col("d2")).alias("d2"), "rnk")
 
 
@@ -135,7 +143,7 @@ def _(spark, sf):
 def _found(spark, sf) -> DataFrame:
     model, cb = _residual_model(spark, sf), codebook(spark, sf)
     built = pq.build_lists(_points(spark, sf), cb, model)
-    queries = _points(spark, sf).where("vec_id between 20 and 24").withColumnRenamed("vec_id", "query_id")
+    queries = _points(spark, sf).where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
     return pq.search_lists(queries, built, cb, model, 3, 10)
 
 
@@ -211,7 +219,7 @@ def _(spark, sf):
 _SIGMA = 0.5
 _POINT = "(PARTITION BY query_id)"
 _WEIGHTS = {
-    0: f"1 - sqrt(d2) / sqrt((1 + {_SIGMA}) * max(d2) OVER ())",
+    0: f"1 - sqrt(d2) / sqrt((1 + {_SIGMA}) * max(d2) OVER (PARTITION BY query_id // 10))",
     1: f"1 - sqrt(d2) / sqrt({_SIGMA} * max(d2) OVER {_POINT})",
     2: f"exp(-d2 / (4 * {_SIGMA} * max(d2) OVER {_POINT}))",
     4: f"exp(-d2 / (max(d2) OVER {_POINT} * {_SIGMA}))",

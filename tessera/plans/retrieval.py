@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
 from tessera.operators import clustering, hamming, inverted, knn, points
-from tessera.plans.fixtures import BASE, BITS, HAMMING, QUERY_IMAGES, WORDS, assigned, codebook, descriptors, postings, query_points
+from tessera.plans.fixtures import BASE, BITS, EVERY, HAMMING, WORDS, assigned, codebook, descriptors, postings, query_points
 from tessera.plans.registry import query, table
 from tessera.sources.scratch import stored
 
@@ -222,35 +222,35 @@ def _coarse(spark, sf) -> DataFrame:
 
 _ANN = BASE + """, leafnode AS (SELECT a.vw AS leaf, b.vw AS node, row_number() OVER (PARTITION BY a.vw ORDER BY list_sum(list_transform(list_zip(a.centroid, b.centroid), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.vw) AS r
   FROM cb a CROSS JOIN (SELECT * FROM cb WHERE vw < 4) b
-), edges AS (SELECT leaf, node FROM leafnode WHERE r <= 2
+), edges AS (SELECT asg.vw AS leaf, co.node FROM asg JOIN (SELECT vec_id, vw AS node FROM dist WHERE vw < 4 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d2, vw) = 1) co USING (vec_id) GROUP BY ALL HAVING count(*) >= 2
 ), near AS (SELECT vec_id, vw AS node, row_number() OVER (PARTITION BY vec_id ORDER BY d2, vw) AS r FROM dist WHERE vw < 4
 ), tried AS (SELECT DISTINCT n.vec_id, dist.vw, dist.d2, n.r FROM near n JOIN edges e USING (node) JOIN dist ON dist.vec_id = n.vec_id AND dist.vw = e.leaf)
 """
 
 
-def _edges(spark, sf) -> DataFrame:
-    leaves = codebook(spark, sf).select(F.col("vw").alias("leaf"), F.col("centroid").alias("vec"))
-    return knn.nearest(leaves, _coarse(spark, sf), 2).select("leaf", F.col("centroid_id").alias("node"))
+def _edges(spark, sf, least: int = 2) -> DataFrame:
+    """Leaves and nodes that are nearest to the same points, `least` of them."""
+    d = descriptors(spark, sf).select("vec_id", "vec")
+    node = knn.nearest(d, _coarse(spark, sf)).select("vec_id", F.col("centroid_id").alias("node"))
+    leaf = knn.nearest(d, codebook(spark, sf)).select("vec_id", F.col("centroid_id").alias("leaf"))
+    return knn.co_assignment_edges(node, leaf, least)
 
 
 @query("ann_assign", _ANN + "SELECT vec_id, vw AS leaf, round(d2, 6) AS d2 FROM (SELECT DISTINCT vec_id, vw, d2 FROM tried WHERE r = 1) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d2, vw) = 1")
 def _(spark, sf):
-    found = knn.assign_two_level(descriptors(spark, sf).select("vec_id", "vec"), _coarse(spark, sf), _edges(spark, sf), codebook(spark, sf))
+    found = knn.assign_two_level(descriptors(spark, sf).select("vec_id", "vec"), _coarse(spark, sf), _edges(spark, sf).select("leaf", "node"), codebook(spark, sf))
     return found.select("vec_id", "leaf", r6(F.col("d2")).alias("d2"))
 
 
 @query("ann_assign_k", _ANN + "SELECT vec_id, vw AS leaf, round(d2, 6) AS d2 FROM (SELECT DISTINCT vec_id, vw, d2 FROM tried WHERE r <= 2) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d2, vw) <= 3")
 def _(spark, sf):
-    found = knn.assign_two_level(descriptors(spark, sf).select("vec_id", "vec"), _coarse(spark, sf), _edges(spark, sf), codebook(spark, sf), 3, 2)
+    found = knn.assign_two_level(descriptors(spark, sf).select("vec_id", "vec"), _coarse(spark, sf), _edges(spark, sf).select("leaf", "node"), codebook(spark, sf), 3, 2)
     return found.select("vec_id", "leaf", r6(F.col("d2")).alias("d2"))
 
 
 @query("ann_edges", BASE + ", co AS (SELECT vec_id, vw AS node FROM dist WHERE vw < 4 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d2, vw) = 1) SELECT asg.vw AS leaf, co.node, count(*) AS n FROM asg JOIN co USING (vec_id) GROUP BY ALL HAVING count(*) >= 3")
 def _(spark, sf):
-    d = descriptors(spark, sf).select("vec_id", "vec")
-    node = knn.nearest(d, _coarse(spark, sf)).select("vec_id", F.col("centroid_id").alias("node"))
-    leaf = knn.nearest(d, codebook(spark, sf)).select("vec_id", F.col("centroid_id").alias("leaf"))
-    return knn.co_assignment_edges(node, leaf, 3)
+    return _edges(spark, sf, 3)
 
 
 @query("ann_default_edges", _ANN + "SELECT leaf, node FROM leafnode WHERE r = 1")
@@ -334,10 +334,10 @@ def _(spark, sf):
     return clustering.distance_correction(d.withColumnRenamed("centroid_id", "vw"), 10, 0.5).select("vw", r6(F.col("factor")).alias("factor"))
 
 
-@query("covariance", BASE + """, p AS (SELECT i.i, j.i AS j, avg(d.vec[i.i + 1] * d.vec[j.i + 1]) - avg(d.vec[i.i + 1]) * avg(d.vec[j.i + 1]) AS c FROM d CROSS JOIN (SELECT unnest(range(0, 8)) AS i) i CROSS JOIN (SELECT unnest(range(0, 8)) AS i) j GROUP BY ALL)
+@query("covariance", BASE + """, p AS (SELECT i.i, j.i AS j, avg(d.vec[i.i + 1] * d.vec[j.i + 1]) - avg(d.vec[i.i + 1]) * avg(d.vec[j.i + 1]) AS c FROM d CROSS JOIN (SELECT unnest(range(0, 64)) AS i) i CROSS JOIN (SELECT unnest(range(0, 64)) AS i) j GROUP BY ALL)
     SELECT i, j, round(c, 6) + 0.0 AS c FROM p""")
 def _(spark, sf):
-    vecs = descriptors(spark, sf).select("vec_id", F.slice("vec", 1, 8).alias("vec"))
+    vecs = descriptors(spark, sf).select("vec_id", "vec")
     return clustering.covariance(vecs).select("i", "j", r6(F.col("c")).alias("c"))
 
 
@@ -346,10 +346,10 @@ def _(spark, sf):
     return clustering.principal_components(descriptors(spark, sf).select("vec_id", "vec"), 8)
 
 
-@query("hadamard_project", BASE + "SELECT vec_id, bit, round(v, 6) + 0.0 AS v FROM proj WHERE bit < 4")
+@query("hadamard_project", BASE + "SELECT vec_id, bit, round(v, 6) + 0.0 AS v FROM proj")
 def _(spark, sf):
     p = hamming.project(descriptors(spark, sf).select("vec_id", "vec"), hamming.hadamard(BITS))
-    return p.select("vec_id", F.posexplode(F.slice("proj", 1, 4)).alias("bit", "v")).select("vec_id", F.col("bit").cast("long").alias("bit"), r6(F.col("v")).alias("v"))
+    return p.select("vec_id", F.posexplode("proj").alias("bit", "v")).select("vec_id", F.col("bit").cast("long").alias("bit"), r6(F.col("v")).alias("v"))
 
 
 @query("unbalance_factor", BASE + "SELECT round(16 * sum(n * n) / pow(sum(n), 2), 6) AS uf FROM (SELECT vw, count(*)::DOUBLE AS n FROM asg GROUP BY vw)")
@@ -403,12 +403,10 @@ def _(spark, sf):
     return p.join(first, "image_id").select("vec_id", v.hamming(F.col("binsign"), F.col("b")).cast("int").alias("hd"))
 
 
-@query("hamming_cross", BASE + f"SELECT a.vec_id AS a, b.vec_id AS b, {_HAM} AS hd FROM post a JOIN post b ON a.vec_id < 16 AND {_HAM} <= 20")
+@query("hamming_cross", BASE + f"SELECT a.vec_id AS a, b.vec_id AS b, {_HAM} AS hd FROM post a JOIN post b ON a.vec_id % 20 = 0 AND {_HAM} <= 20")
 def _(spark, sf):
     p = postings(spark, sf).select("vec_id", "binsign")
-    probes = p.where("vec_id < 16").select(F.col("vec_id").alias("a"), F.col("binsign").alias("s"))  # a batch of probes against all
-    hd = v.hamming(F.col("s"), F.col("binsign"))
-    return p.join(F.broadcast(probes), hd <= 20).select("a", F.col("vec_id").alias("b"), hd.cast("int").alias("hd"))
+    return hamming.near_signatures(p.where("vec_id % 20 = 0"), p, 20).select("a", "b", "hd")
 
 
 # inverted file -----------------------------------------------------------------------------------
@@ -525,7 +523,7 @@ def _scores(spark, sf) -> DataFrame:
     p = postings(spark, sf)
     q = query_points(p)
     norms = inverted.image_norms(p)
-    of_queries = norms.where(F.col("image_id") < QUERY_IMAGES).withColumnRenamed("image_id", "query_id")
+    of_queries = norms.where(F.col("image_id") % EVERY == 0).withColumnRenamed("image_id", "query_id")
     return inverted.score_images(q, p, inverted.word_weights(p, codebook(spark, sf)), norms, of_queries, PARAMS)
 
 
@@ -545,9 +543,9 @@ def _(spark, sf):
     return _scores(spark, sf).select("query_id", "image_id", r6(F.col("score")).alias("score"))
 
 
-@query("ivf_multi_query", BASE + "SELECT query_id, count(*) AS n, round(max(score), 6) AS best FROM scores WHERE query_id IN (1, 3) GROUP BY query_id")
+@query("ivf_multi_query", BASE + "SELECT query_id, count(*) AS n, round(max(score), 6) AS best FROM scores GROUP BY query_id")
 def _(spark, sf):
-    return _scores(spark, sf).where(F.col("query_id").isin(1, 3)).groupBy("query_id").agg(F.count("*").alias("n"), r6(F.max("score")).alias("best"))
+    return _scores(spark, sf).groupBy("query_id").agg(F.count("*").alias("n"), r6(F.max("score")).alias("best"))
 
 
 @query("probe_stats", BASE + f"SELECT query_id, count(*) AS visited, count(*) FILTER (hd <= {HAMMING})::BIGINT AS hits, count(DISTINCT image_id) FILTER (hd <= {HAMMING}) AS images FROM pairs GROUP BY query_id")
@@ -580,18 +578,16 @@ def _(spark, sf):
 
 @query("bow_l1_topk", BASE + """, bow AS (SELECT image_id, vw, count(*) * any_value(w) / (SELECT 1) AS x FROM post JOIN words USING (vw) GROUP BY image_id, vw),
     nb AS (SELECT image_id, vw, x / sum(x) OVER (PARTITION BY image_id) AS x FROM bow),
-    common AS (SELECT a.image_id AS query_id, b.image_id, sum(abs(a.x - b.x) - a.x - b.x) AS s FROM nb a JOIN nb b USING (vw) WHERE a.image_id < 5 GROUP BY ALL)
-    SELECT q.query_id, i.image_id, round(2 + coalesce(s, 0), 6) + 0.0 AS d FROM (SELECT unnest(range(0, 5)) AS query_id) q CROSS JOIN (SELECT DISTINCT image_id FROM nb) i LEFT JOIN common c ON c.query_id = q.query_id AND c.image_id = i.image_id
+    common AS (SELECT a.image_id AS query_id, b.image_id, sum(abs(a.x - b.x) - a.x - b.x) AS s FROM nb a JOIN nb b USING (vw) WHERE a.image_id % 20 = 0 GROUP BY ALL)
+    SELECT q.query_id, i.image_id, round(2 + coalesce(s, 0), 6) + 0.0 AS d FROM (SELECT DISTINCT image_id AS query_id FROM nb WHERE image_id % 20 = 0) q CROSS JOIN (SELECT DISTINCT image_id FROM nb) i LEFT JOIN common c ON c.query_id = q.query_id AND c.image_id = i.image_id
     QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY round(2 + coalesce(s, 0), 9), i.image_id) <= 10""")
 def _(spark, sf):
     a = assigned(spark, sf)
     bow = a.groupBy("image_id", "vw").agg(F.count("*").alias("n")).join(inverted.word_weights(a, codebook(spark, sf)).select("vw", "w"), "vw")
     bow = bow.select("image_id", "vw", (F.col("n") * F.col("w")).alias("x"))
     bow = bow.withColumn("x", F.col("x") / F.sum("x").over(Window.partitionBy("image_id")))
-    q = bow.where(F.col("image_id") < QUERY_IMAGES).select(F.col("image_id").alias("query_id"), "vw", F.col("x").alias("y"))
+    q = bow.where(F.col("image_id") % EVERY == 0).select(F.col("image_id").alias("query_id"), "vw", F.col("x").alias("y"))
     # |x - y| summed over both vectors is 2 plus what the common words take off
     common = bow.join(q, "vw").groupBy("query_id", "image_id").agg(F.sum(F.abs(F.col("x") - F.col("y")) - F.col("x") - F.col("y")).alias("s"))
-    every = bow.select("image_id").distinct().crossJoin(F.broadcast(q.select("query_id").distinct()))
-    d = every.join(common, ["query_id", "image_id"], "left").withColumn("d", 2 + F.coalesce("s", F.lit(0.0)))
-    w = Window.partitionBy("query_id").orderBy(F.round("d", 9), "image_id")
-    return d.withColumn("_r", F.row_number().over(w)).where("_r <= 10").select("query_id", "image_id", r6(F.col("d")).alias("d"))
+    nearest = inverted.filled(common.select("query_id", "image_id", (-F.round(2 + F.col("s"), 9)).alias("score")), q.select("query_id").distinct(), bow.select("image_id").distinct(), 10, -2.0)
+    return nearest.select("query_id", "image_id", r6(-F.col("score")).alias("d"))

@@ -1,61 +1,56 @@
-"""The whole jobs of queries whose SQL has a slice: every image or vector with an id divisible by 20 against all rows.
+"""Whole jobs beside the queries of the other modules: voted images only, all pairs of vectors, and videos verified jointly.
 
-The queries without `_whole` keep their few query ids, words and dimensions, as their SQL does.
+All queries take every image or vector whose id 20 divides; those here whose name ends in `_whole` were the
+first to do so and give the rows of their namesakes.
 """
 
 from __future__ import annotations
 
 from math import pi
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import clustering, hamming, inverted, knn, points, sparse
 from tessera.operators import geometry as g
-from tessera.operators import quantization as pq
-from tessera.plans.fixtures import BITS, HAMMING, codebook, descriptors, postings
-from tessera.plans.numeric import _vectors, bags
-from tessera.plans.quantized import _model, _points
-from tessera.plans.registry import query
+from tessera.plans.fixtures import BASE, BITS, HAMMING, codebook, descriptors, postings, query_points
+from tessera.plans.numeric import E, _vectors, bags
+from tessera.plans.quantized import nearest_codes
+from tessera.plans.registry import ORACLE_SQL, query
 from tessera.plans.retrieval import PARAMS, r6
-
-
-def every_twentieth(rows: DataFrame) -> DataFrame:
-    """The rows of all images that are queries; query_id is the image."""
-    return rows.where("image_id % 20 = 0").withColumn("query_id", F.col("image_id"))
+from tessera.plans.verification import M
 
 
 def _search(p: DataFrame, spark, sf) -> DataFrame:
     """The best images of every query; images without votes, which score 0, are not listed."""
     words, norms = inverted.word_weights(p, codebook(spark, sf)), inverted.image_norms(p)
-    found = inverted.votes(inverted.probe(every_twentieth(p), p, PARAMS.hamming), words, PARAMS)
+    found = inverted.votes(inverted.probe(query_points(p), p, PARAMS.hamming), words, PARAMS)
     found = inverted.damp_between_images(inverted.damp_within_images(found, PARAMS.burst_intra, PARAMS.cancel_multiple))
     scored = inverted.geometric_scores(inverted.histograms(found), inverted.wgc_weights(spark, PARAMS.wgc_class), PARAMS.wgc_window)
     scored = scored.join(norms.select("image_id", F.col("l2").alias("n")), "image_id").join(norms.select(F.col("image_id").alias("query_id"), F.col("l2").alias("qn")), "query_id")
     return inverted.top(scored.select("query_id", "image_id", (F.col("score") / (F.col("n") * F.col("qn"))).alias("score")).where("score > 0"), PARAMS.shortlist)
 
 
-@query("ivf_search_whole")
+@query("ivf_search_whole", BASE + "SELECT query_id, image_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id)::INTEGER AS rnk FROM scores WHERE score > 0 QUALIFY rnk <= 20")
 def _(spark, sf):
     return _search(postings(spark, sf), spark, sf).select("query_id", "image_id", r6(F.col("score")).alias("score"), "rnk")
 
 
 def _matches(p: DataFrame) -> DataFrame:
-    return g.match_words(points.affine(every_twentieth(p), (1.05, 0.0, 15.0, 0.0, 1.05, -10.0), 1.05), p, HAMMING)
+    return g.match_words(points.affine(query_points(p), (1.05, 0.0, 15.0, 0.0, 1.05, -10.0), 1.05), p, HAMMING)
 
 
-@query("match_vw_whole")
+@query("match_vw_whole", ORACLE_SQL["match_vw"])
 def _(spark, sf):
     return _matches(postings(spark, sf)).select("query_id", "qpt", "image_id", "dbpt", r6(F.col("score")).alias("score"))
 
 
-@query("verify_whole")
+@query("verify_whole", M + "SELECT query_id, image_id, nmatch, round(votes, 6) AS votes FROM best")
 def _(spark, sf):
     return g.verify(_matches(postings(spark, sf))).select("query_id", "image_id", "nmatch", r6(F.col("votes")).alias("votes"))
 
 
-@query("search_verified_whole")
+@query("search_verified_whole", ORACLE_SQL["search_verified"])
 def _(spark, sf):
     p = postings(spark, sf)
     m = _matches(p).join(_search(p, spark, sf).select("query_id", "image_id"), ["query_id", "image_id"], "left_semi")
@@ -63,7 +58,7 @@ def _(spark, sf):
     return g.verify(m).where("votes > 0").select("query_id", "image_id", "nmatch", r6(F.col("votes")).alias("votes"), F.row_number().over(w).alias("place"))
 
 
-@query("match_exact_whole")
+@query("match_exact_whole", ORACLE_SQL["match_exact_knn"])
 def _(spark, sf):
     d = descriptors(spark, sf).select("vec_id", F.col("image_id").alias("tag"), "vec")
     asked = d.where("tag % 20 = 0").withColumnRenamed("vec_id", "query_id")
@@ -73,53 +68,40 @@ def _(spark, sf):
     return rows.join(most, "query_id").select("query_id", "qpt", "image_id", "dbpt", r6(1 - F.sqrt("d2") / F.col("t")).alias("score"))
 
 
-for _name, _symmetric, _corrected in (("pq_nn_adc_whole", False, False), ("pq_nn_adc_cor_whole", False, True), ("pq_nn_sdc_whole", True, False), ("pq_nn_sdc_cor_whole", True, True)):
-
-    @query(_name)
-    def _(spark, sf, symmetric=_symmetric, corrected=_corrected):
-        model = pq.with_errors(_points(spark, sf), _model(spark, sf))
-        shared = spark.sparkContext.broadcast(model)
-
-        def rebuild(codes: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
-            c = codes.astype(np.int64)
-            return shared.value.decode(c), shared.value.errors[np.arange(c.shape[1]), c].sum(1) if corrected else 0.0
+for _name, _how in (("adc", {}), ("adc_cor", {"corrected": True}), ("sdc", {"symmetric": True}), ("sdc_cor", {"symmetric": True, "corrected": True})):
 
-        asked = _points(spark, sf).where("vec_id % 20 = 0")
-        if symmetric:  # what the query's own code stands for; its error is the same for all points
-            rest = pq.residuals(asked, model).select("vec_id", F.col("vec").alias("rest"))
-            asked = asked.join(rest, "vec_id").select("vec_id", F.zip_with("vec", "rest", lambda x, y: x - y).alias("vec"))
-        coded = pq.encode(_points(spark, sf), model).select("vec_id", F.lit(0).alias("tag"), F.col("codes").cast("array<double>").alias("vec"))
-        found = knn.nearest_in_blocks(asked.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("tag"), "vec"), coded, 10, rebuild=rebuild)
-        return found.select("query_id", "vec_id", "rnk")
+    @query(f"pq_nn_{_name}_whole", ORACLE_SQL[f"pq_nn_{_name}"])
+    def _(spark, sf, how=_how):
+        return nearest_codes(spark, sf, **how)
 
 
 # all words, dimensions and pairs of images ----------------------------------------------------------
 
 
-@query("sparse_dot_whole")
+@query("sparse_dot_whole", ORACLE_SQL["sparse_dot"])
 def _(spark, sf):
     rows = bags(spark, sf)
     return sparse.dot_products_salted(rows.where("image_id % 20 = 0"), rows).where("a <> b")
 
 
-@query("matmul_whole")
+@query("matmul_whole", E + ", m AS (SELECT vec_id AS r, i.i, v[i.i + 1] AS x FROM e CROSS JOIN (SELECT unnest(range(0, 64)) AS i) i) SELECT a.r, b.r AS c, round(sum(a.x * b.x), 6) + 0.0 AS x FROM m a JOIN m b ON a.i = b.i GROUP BY ALL")
 def _(spark, sf):
     cells = _vectors(spark, sf).select(F.col("vec_id").alias("r"), F.posexplode("v").alias("i", "x"))
     return sparse.matrix_product(cells, cells.select("i", F.col("r").alias("c"), F.col("x").alias("y"))).select("r", "c", r6(F.col("x")).alias("x"))
 
 
-@query("to_dense_whole")
+@query("to_dense_whole", ORACLE_SQL["to_dense"])
 def _(spark, sf):
     dense = sparse.to_dense(bags(spark, sf).select("image_id", F.col("vw").alias("idx"), F.col("n").alias("x")), "image_id", 1000)
     return dense.select("image_id", F.aggregate(F.transform("v", lambda x, i: x * i), F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("s"))
 
 
-@query("covariance_whole")
+@query("covariance_whole", ORACLE_SQL["covariance"])
 def _(spark, sf):
     return clustering.covariance(descriptors(spark, sf).select("vec_id", "vec")).select("i", "j", r6(F.col("c")).alias("c"))
 
 
-@query("hadamard_project_whole")
+@query("hadamard_project_whole", ORACLE_SQL["hadamard_project"])
 def _(spark, sf):
     p = hamming.project(descriptors(spark, sf).select("vec_id", "vec"), hamming.hadamard(BITS))
     return p.select("vec_id", F.posexplode("proj").alias("bit", "v")).select("vec_id", F.col("bit").cast("long").alias("bit"), r6(F.col("v")).alias("v"))
@@ -131,13 +113,13 @@ def _(spark, sf):
     return h.select("query_id", "image_id", *g.CELL, "n", (F.round(F.col("affine")[0], 3) + 0.0).alias("a"), (F.round(F.col("affine")[4], 3) + 0.0).alias("e"))
 
 
-@query("affine_inliers_whole")
+@query("affine_inliers_whole", ORACLE_SQL["affine_inliers"])
 def _(spark, sf):
     m = _matches(postings(spark, sf))
     return g.agreeing(g.hypotheses(g.spread_votes(m)), m).groupBy("query_id", "image_id", "qpt", "dbpt").agg(F.count("*").alias("n"))
 
 
-@query("match_coords_whole")
+@query("match_coords_whole", ORACLE_SQL["match_coords"])
 def _(spark, sf):
     m = _matches(postings(spark, sf))
     found = m.join(g.verify(m).select(*g.PAIR), list(g.PAIR), "left_semi")

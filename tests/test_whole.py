@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import geometry
-from tessera.plans import ORACLE_SQL, QUERIES, fixtures, whole
+from tessera.operators import geometry, hamming, quantization
+from tessera.plans import QUERIES, fixtures, quantized, whole
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,70 +34,51 @@ def test_recall_of_approximate_search(spark, name, sf):
     assert recall >= 0.9
 
 
-@pytest.fixture(scope="module")
-def db():
-    from test_oracle import db
-
-    return db.__wrapped__()
-
-
-def whole_sql(name):
-    """The SQL of a query with a few ids, for every id divisible by 20."""
-    sql = ORACLE_SQL[name]
-    n = fixtures.QUERY_IMAGES
-    changes = {
-        f"q.image_id < {n}": "q.image_id % 20 = 0",
-        f"(SELECT unnest(range(0, {n})) AS query_id) q": "(SELECT image_id AS query_id FROM norms WHERE image_id % 20 = 0) q",
-        "pd.vec_id BETWEEN 20 AND 24": "pd.vec_id % 20 = 0",
-        "a.vec_id BETWEEN 20 AND 24": "a.vec_id % 20 = 0",
-        "q.image_id < 2 AND": "q.image_id % 20 = 0 AND",
-    }
-    for old, new in changes.items():
-        sql = sql.replace(old, new)
-    assert sql != ORACLE_SQL[name]
-    return sql
-
-
-def close(ours, theirs, keys, values=()):
-    ours, theirs = (x.sort_values(keys).reset_index(drop=True) for x in (ours, theirs))
-    assert len(ours) and ours[keys].astype("int64").values.tolist() == theirs[keys].astype("int64").values.tolist()
-    for v in values:
-        assert np.allclose(ours[v].astype(float), theirs[v].astype(float), atol=2e-6)
-
-
-@pytest.mark.parametrize("name,sliced,keys,values", [
-    ("ivf_search_whole", "ivf_search_topk", ["query_id", "rnk", "image_id"], ["score"]),
-    ("match_vw_whole", "match_vw", ["query_id", "qpt", "image_id", "dbpt"], ["score"]),
-    ("verify_whole", "verify_best", ["query_id", "image_id", "nmatch"], ["votes"]),
-    ("search_verified_whole", "search_verified", ["query_id", "place", "image_id", "nmatch"], ["votes"]),
-    ("match_exact_whole", "match_exact_knn", ["query_id", "qpt", "image_id", "dbpt"], ["score"]),
-    *[(f"pq_nn_{k}_whole", f"pq_nn_{k}", ["query_id", "rnk", "vec_id"], []) for k in ("adc", "adc_cor", "sdc", "sdc_cor")],
-])
-def test_every_query_id_against_all_rows(spark, db, name, sliced, keys, values):
-    theirs = db.execute(whole_sql(sliced)).df()
-    if name == "ivf_search_whole":
-        theirs = theirs[theirs["score"] > 0]
-    ours = QUERIES[name](spark, SF).toPandas()
-    assert set(ours["query_id"]) == {i for i in range(500 if name.startswith("pq") else 50) if i % 20 == 0}
-    close(ours, theirs, keys, values)
-
-
-@pytest.mark.parametrize("name,sliced,changes,keys,values", [
-    ("sparse_dot_whole", "sparse_dot", {"AND p.vw < 40 ": "", "AND q.image_id % 20 = 0 ": ""}, ["a", "b", "dot"], []),
-    ("matmul_whole", "matmul", {"WHERE b.r < 4 ": ""}, ["r", "c"], ["x"]),
-    ("to_dense_whole", "to_dense", {"range(0, 10)": "range(0, 1000)", "WHERE vw < 10 ": ""}, ["image_id", "s"], []),
-    ("covariance_whole", "covariance", {"range(0, 8)": "range(0, 64)"}, ["i", "j"], ["c"]),
-    ("hadamard_project_whole", "hadamard_project", {" WHERE bit < 4": ""}, ["vec_id", "bit"], ["v"]),
-    ("affine_lsq_whole", "affine_lsq", {"e FROM hyp WHERE query_id = image_id AND n >= 6": "e, n FROM hyp"}, ["query_id", "image_id", "h0", "h1", "h2", "h3", "n"], []),
-    ("affine_inliers_whole", "affine_inliers", {" WHERE query_id = image_id AND qpt = dbpt": ""}, ["query_id", "image_id", "qpt", "dbpt", "n"], []),
-    ("match_coords_whole", "match_coords", {" WHERE m.qpt = m.dbpt": ""}, ["query_id", "image_id", "qpt", "dbpt"], ["qx", "x"]),
-])
-def test_all_words_dimensions_and_pairs(spark, db, name, sliced, changes, keys, values):
-    sql = ORACLE_SQL[sliced].replace(f"q.image_id < {fixtures.QUERY_IMAGES}", "q.image_id % 20 = 0")
-    for old, new in changes.items():
-        assert old in sql
-        sql = sql.replace(old, new)
-    close(QUERIES[name](spark, SF).toPandas(), db.execute(sql).df(), keys, values)
+def test_a_search_reads_the_probed_lists_only(spark):
+    queries, points, blocks, book, model = quantized.reranked(spark, SF, 3)
+    sizes = {r["vw"]: r["n"] for r in blocks.groupBy("vw").agg(F.sum("n").alias("n")).collect()}
+    assert sum(sizes.values()) == 3 * points.count()
+    centroids = {r["vw"]: np.array(r["centroid"]) for r in book.collect()}
+    for r in queries.where("query_id in (0, 40)").collect():
+        near = sorted(centroids, key=lambda c: (((np.array(r["vec"]) - centroids[c]) ** 2).sum(), c))[:16]
+        one = queries.where(F.col("query_id") == r["query_id"])
+        read = quantization.probed_blocks(one, blocks, book, 16)
+        assert {x["vw"] for x in read.select("vw").collect()} == set(near) & set(sizes)
+        assert read.agg(F.sum("n")).first()[0] == sum(sizes.get(c, 0) for c in near) < 0.7 * sum(sizes.values())
+    # small blocks of codes and of queries give the same
+    cut = quantization.list_blocks(quantization.build_lists(points, book, model, 3), 4)
+    assert cut.count() > blocks.count() and cut.agg(F.max("n")).first()[0] < 30
+    same = [sorted(map(tuple, quantization.nearest_codes(quantization.probed_blocks(queries, b, book, 16, n), model, 30).collect())) for b, n in ((blocks, 1024), (cut, 2))]
+    assert same[0] == same[1]
+
+
+def test_pruned_search_with_fewer_codes_than_asked_for(spark):
+    points = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [9.0, 9.0]), (3, None)], "vec_id long, vec array<double>")
+    book = spark.createDataFrame([(0, [0.0, 0.0]), (1, [9.0, 9.0])], "vw long, centroid array<double>")
+    model = quantization.from_rows([np.array([0.0, 0.0]), np.array([1.0, 0.0])], 1)
+    blocks = quantization.list_blocks(quantization.build_lists(points, book, model))
+    found = quantization.search_reranked(points.withColumnRenamed("vec_id", "query_id"), points, blocks, book, model, 1, 5, 5)
+    assert sorted((r["query_id"], r["vec_id"], r["rnk"]) for r in found.collect()) == [(0, 0, 1), (0, 1, 2), (1, 0, 2), (1, 1, 1), (2, 2, 1)]
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_recall_of_two_level_assignment(spark, sf):
+    exact = QUERIES["assign_1nn"](spark, sf).withColumnRenamed("vw", "exact")
+    both = QUERIES["ann_assign"](spark, sf).join(exact, "vec_id")
+    recall = both.agg(F.avg((F.col("leaf") == F.col("exact")).cast("double"))).first()[0]
+    print(sf, "recall@1 of ann_assign", recall)
+    assert both.count() == exact.count() and recall >= 0.9
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_near_signatures(spark, block):
+    rng = np.random.default_rng(5)
+    signs = [int(x) for x in rng.integers(-(2**63), 2**63, 60)]
+    signs += [x ^ int(b) for x, b in zip(signs[:20], rng.integers(0, 4096, 20), strict=True)]
+    p = spark.createDataFrame(list(enumerate(signs)), "vec_id long, binsign long")
+    got = hamming.near_signatures(p.where("vec_id % 3 = 0"), p, 26, block).collect()
+    want = [(a, b, n) for a, x in enumerate(signs) if a % 3 == 0 for b, y in enumerate(signs) if (n := bin((x ^ y) & (2**64 - 1)).count("1")) <= 26]
+    assert sorted(map(tuple, got)) == want
 
 
 def test_videos_are_verified_jointly(spark):
