@@ -23,6 +23,8 @@ from tessera.llm import rowmap
 from tessera.llm.textblocks import LOWER, Words, blocks, gram_hashes, word_hashes
 
 MAX_WINDOWS = 500_000
+#: Of the words of a part, about.
+MAX_BYTES = 128 << 20
 #: Word characters: 0-9, a-z (after lower-casing) and whatever is not ASCII.
 INSIDE = np.zeros(256, bool)
 INSIDE[0x30:0x3A] = INSIDE[0x41:0x5B] = INSIDE[0x61:0x7B] = INSIDE[0x80:] = True
@@ -111,7 +113,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows:
     """
     windows = benchmark_windows(benchmark, n, nameless)
     windows = rowmap.written(windows, "windows")
-    parts = max(1, -(-windows.count() // max_windows))
+    count, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.length("words")), F.lit(0))).first()
+    parts = max(1, -(-count // max_windows), -(-size // MAX_BYTES))
     windows = windows.withColumn("part", F.pmod(F.xxhash64("h", "item"), F.lit(parts)))
     for k in range(parts):
         part = docs.sparkSession.sparkContext.broadcast(windows.where(F.col("part") == k).drop("part").collect())

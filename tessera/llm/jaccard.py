@@ -334,7 +334,7 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id; rows without doc_id stay.
 
     Rows are judged by their own text: where a doc_id repeats with several texts, each is a document. Of
-    rows with the same doc_id and text one stays. Null and empty texts are like nothing else. All columns
+    rows with the same doc_id and text one stays, the least by its other columns as JSON. Null and empty texts are like nothing else. All columns
     stay as they are, whatever their names; an empty table stays empty.
     """
     docs, back = rowmap.set_aside(docs)
@@ -344,11 +344,13 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if repeated.isEmpty():
         gone = near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct()
         return back(docs.join(gone, "doc_id", "left_anti"))
-    # a number of its own for every text of such a doc_id, above all others
-    top = docs.agg(F.max(key)).first()[0]
-    again = docs.join(repeated, key == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    again = rowmap.written(again.withColumn("_row", F.lit(top).cast("long") + 1 + F.monotonically_increasing_id()), "again")
-    rows = docs.join(repeated, key == F.col("_id"), "left_anti").withColumn("_row", key).unionByName(again)
+    # of rows with the same doc_id and text the least of the others' columns stays, which any order of the input gives
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = docs.join(repeated, key == F.col("_id"), "left_semi")
+    again = again.groupBy("doc_id", "text").agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_least")).select("doc_id", "text", "_least.*") if rest else again.dropDuplicates()
+    # a number of its own for every row: rows are many fewer than the numbers of a long
+    rows = docs.join(repeated, key == F.col("_id"), "left_anti").unionByName(again.select(*docs.columns))
+    rows = rowmap.written(rows.withColumn("_row", F.when(key.isNotNull(), F.monotonically_increasing_id())), "again")
     found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), k, percent).where("doc_id is not null").select(F.col("doc_id").alias("_row"), "component_id")
     judged = found.join(rows.select("_row", key.alias("_id")), "_row")
     kept = judged.groupBy("component_id").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_row")).select("_row")

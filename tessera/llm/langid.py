@@ -59,7 +59,7 @@ def _folding() -> tuple[np.ndarray, np.ndarray]:
         letter[c] = x.isalpha()
         if len(x.lower()) == 1:
             lower[c] = ord(x.lower())
-    for c in range(0x20000, 0x32000):
+    for c in range(0x20000, 0x110000):
         letter[c] = chr(c).isalpha()
     return lower, letter
 

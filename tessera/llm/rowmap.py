@@ -47,14 +47,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Nothing reads the shuffles of the write after it, so they are removed when it ends.
     """
+    path = scratch(df.sparkSession, name)
+    _write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _write(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
-    path = scratch(spark, name)
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.mode("overwrite").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """The table in the folder `path`, a URI or a local path; written first, unless a whole one is there."""
+    spark, (fs, folder_) = df.sparkSession, folder(path)
+    path = path if "://" in path else f"file://{path}"
+    if fs.get_file_info(f"{folder_}/_SUCCESS").type.name != "File":
+        _write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

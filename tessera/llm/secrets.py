@@ -34,7 +34,7 @@ _ASSIGN = re.compile(rb"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _NPM = re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+_JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+")
 _DIGITS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,13 +47,7 @@ def base62_crc(body: bytes) -> bytes:
     return out
 
 
-#: Characters of a JWT header at most; longer ones are not decoded and not JWTs.
-MOST_HEADER = 8192
-
-
 def _jwt_header(part: bytes) -> bool:
-    if len(part) > MOST_HEADER:
-        return False
     try:
         head = json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4)))
     except (ValueError, binascii.Error, RecursionError):

@@ -24,11 +24,12 @@ from tessera.llm.textblocks import LOWER, Words, blocks, prefix_hashes, range_ha
 
 @dataclass(frozen=True)
 class ToxSpec:
-    """per_grade: expected texts of each label in the sample that the model is fitted on; min_texts: of a feature, in it."""
+    """per_grade: expected texts of each label in the sample that the model is fitted on; min_texts: of a feature, in it; levels: grades of toxic texts; gap: between thresholds at first."""
 
     per_grade: int = 4000
     min_texts: int = 5
-    max_features: int = 200_000
+    levels: int = 3
+    gap: float = 3.0
     epochs: int = 6
     alpha: float = 0.3
     beta: float = 1.0
@@ -68,19 +69,21 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def severity_grades(examples: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
-    """Grades 0, 1, 2 of labelled texts: a toxic one is of grade 2 if it has more telling words than the median toxic one.
+def severity_grades(examples: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, levels: int = 3) -> np.ndarray:
+    """Grades 0 (not toxic) and 1 to `levels` of labelled texts: toxic ones in equal parts by their number of telling words, ties in order.
 
     Telling: a feature at least ten times as frequent among the toxic texts as among the others.
     """
     if not toxic.any():
         return np.zeros(len(toxic), int)
     inside, rest = (np.concatenate([e[0] for e, t in zip(examples, toxic, strict=True) if t == side] or [np.zeros(0, np.int64)]) for side in (1, 0))
-    size = int(max([0, *inside, *rest])) + 1
+    size = int(max(inside.max(initial=0), rest.max(initial=0))) + 1
     a, b = np.bincount(inside, minlength=size), np.bincount(rest, minlength=size)
     telling = (a >= 10) & (a / toxic.sum() >= 10 * (b + 0.5) / max(1, (toxic == 0).sum()))
     weight = np.array([counts[telling[ids]].sum() for ids, counts in examples])
-    return np.where(toxic == 1, 1 + (weight > np.median(weight[toxic == 1])), 0)
+    grades, own = np.zeros(len(toxic), int), np.flatnonzero(toxic == 1)
+    grades[own[np.argsort(weight[own], kind="stable")]] = 1 + np.arange(len(own)) * levels // len(own)
+    return grades
 
 
 def _labelled_sample(docs: DataFrame, labels: DataFrame, spec: ToxSpec) -> tuple[np.ndarray, list]:
@@ -111,9 +114,9 @@ def _labelled_sample(docs: DataFrame, labels: DataFrame, spec: ToxSpec) -> tuple
             ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8")
             yield pa.RecordBatch.from_arrays([pa.array(ids)], ["id"])
 
-    # only features of enough texts leave the executors, and max_features at most
+    # only features of enough texts leave the executors; the bounded sample bounds them
     frequent = sample.select("ids").mapInArrow(listed, "id long").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= spec.min_texts)
-    kept = np.sort(np.array([r["id"] for r in frequent.orderBy(F.desc("n"), "id").limit(spec.max_features).select("id").collect()], np.int64).view(np.uint64))
+    kept = np.sort(np.array([r["id"] for r in frequent.select("id").collect()], np.int64).view(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast(kept)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +137,7 @@ def _labelled_sample(docs: DataFrame, labels: DataFrame, spec: ToxSpec) -> tuple
 def train(examples: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_features: int, spec: ToxSpec) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds that maximise the likelihood of the grades, with an elastic net on the weights."""
     top = max(1, int(grades.max(initial=0)))
-    theta, squares = np.linspace(0.5, 0.5 + 1.0 * (top - 1), top), np.full(top, 1e-6)
+    theta, squares = 0.5 + spec.gap * np.arange(top), np.full(top, 1.0)
     z, n = np.zeros(n_features), np.zeros(n_features)
 
     def leader(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -155,6 +158,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_f
                 g_theta[y] -= slope[y] / p
             if y > 0:
                 g_theta[y - 1] += slope[y - 1] / p
+            g_theta = np.clip(g_theta, -4, 4)
             g = np.clip(-g_theta.sum(), -4, 4) * x
             squares += g_theta**2
             theta = np.maximum.accumulate(theta - 0.5 * g_theta / np.sqrt(squares) + 1e-9 * np.arange(top))
@@ -174,17 +178,16 @@ def fit(docs: DataFrame, labels: DataFrame, spec: ToxSpec = ToxSpec()) -> ToxMod
         return None
     rows = sorted(rows, key=lambda r: (r.doc_id, r.ids, r.counts))
     examples = [(np.frombuffer(r.ids, "<u4").astype(np.int64), np.frombuffer(r.counts, "<u4").astype(float)) for r in rows]
-    grades = severity_grades(examples, np.array([r.toxic for r in rows]))
+    grades = severity_grades(examples, np.array([r.toxic for r in rows]), spec.levels)
     weights, thresholds = train([(i, 1 + np.log(c)) for i, c in examples], grades, len(hashes), spec)
     used = np.flatnonzero(weights)
     return ToxModel(hashes[used], weights[used], thresholds)
 
 
 def score(docs: DataFrame, model: ToxModel | None) -> DataFrame:
-    """docs with expected_severity (0 to the top grade), grade (the likeliest) and toxic (P(grade > 0) >= 0.5).
+    """docs with expected_severity (0 to the top grade), grade (the median one: P(grade > k) >= 0.5 for each k below it) and toxic (grade > 0).
 
-    A null or empty text, and every text without a model, has severity 0 and grade 0; among equally likely
-    grades the lowest counts. Texts are read whole; repeated rows are scored alike; an empty table stays
+    A null or empty text, and every text without a model, has severity 0 and grade 0. Texts are read whole; repeated rows are scored alike; an empty table stays
     empty; columns of docs with these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -214,9 +217,8 @@ def score(docs: DataFrame, model: ToxModel | None) -> DataFrame:
                 more = np.zeros((block.rows, 1))
             else:
                 more = _sigmoid(sums[:, None] - m.thresholds) * has[:, None]
-            each = np.hstack([np.ones((block.rows, 1)), more]) - np.hstack([more, np.zeros((block.rows, 1))])
             expected += more.sum(1).tolist()
-            grades += each.argmax(1).tolist()
+            grades += (more >= 0.5).sum(1).tolist()
             flags += (more[:, 0] >= 0.5).tolist()
         return [pa.array(expected, pa.float64()), pa.array(grades, pa.int32()), pa.array(flags, pa.bool_())]
 

@@ -8,8 +8,10 @@ depends on the key alone, not on a sort. Sequences are dealt to range partitions
 sorted there and written as records of one size: slot s is record s % per_shard of shard s // per_shard,
 so that a reader can start anywhere and go on sequentially.
 
-A manifest in the folder names the specification, the number of sequences and a checksum of the ids: a
-folder of another order is refused. A shard is written under another name and then renamed, with an
+The sequences stay in the folder, under a checksum of the texts that doesn't hang on how they are read: a
+job that goes on there, with other settings or on another cluster, takes the sequences as they are and so
+the same order. A manifest names the specification, that checksum, and the number and a checksum of the
+sequences: a folder of another order is refused. A shard is written under another name and then renamed, with an
 index beside it that has a checksum for each record. Shards that agree with their index are kept and
 their sequences not shuffled again; damaged or missing ones are written anew.
 """
@@ -88,8 +90,8 @@ ROW = 64
 ROWS = "part long, first long, sizes array<long>, docs array<array<long>>, crc long, body binary"
 
 
-def sequences(docs: DataFrame, spec: OrderSpec = OrderSpec()) -> DataFrame:
-    """The sequences of docs (doc_id, text), written to the shared folder: up to ROW of a partition in a row.
+def sequences(docs: DataFrame, path: str, spec: OrderSpec = OrderSpec()) -> DataFrame:
+    """The sequences of docs (doc_id, text), written to the folder `path` unless it has them: up to ROW of a partition in a row.
 
     first: the number of the row's first sequence in the partition; sizes, docs: of each its ids without
     padding and its documents; body: the ids, compressed. A null text is the end id alone; a document
@@ -124,7 +126,14 @@ def sequences(docs: DataFrame, spec: OrderSpec = OrderSpec()) -> DataFrame:
         if len(ids):
             yield cut(-(-len(ids) // length))
 
-    return rowmap.written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ROWS), "sequences")
+    return rowmap.kept(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ROWS), path)
+
+
+def fingerprint(docs: DataFrame, spec: OrderSpec) -> str:
+    """A checksum of the rows (doc_id, text), in any order, and of what makes sequences of them."""
+    low, high = (F.xxhash64("doc_id", "text", F.lit(seed)).cast("decimal(38,0)") for seed in (1, 2))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").agg(F.count("*"), F.sum(low), F.sum(high)).first()
+    return hashlib.sha256(repr((tuple(rows), spec.length, spec.end_id, spec.vocabulary, spec.id_type)).encode()).hexdigest()
 
 
 def assign_slots(rows: DataFrame, starts: dict[int, int], total: int, spec: OrderSpec, done: np.ndarray) -> DataFrame:
@@ -162,12 +171,6 @@ def index_name(shard: int) -> str:
     return f"shard-{shard:08d}.arrow"
 
 
-def _folder(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def _put(to, name: str, body: bytes) -> None:
     """Writes a file that is there whole or not at all."""
     part = posixpath.join(posixpath.dirname(name), f".{posixpath.basename(name)}.{uuid.uuid4().hex}")
@@ -196,7 +199,7 @@ def _kept(spark, path: str, total: int, spec: OrderSpec) -> np.ndarray:
     """The shards that are there and right, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to, folder = _folder(path)
+        to, folder = rowmap.folder(path)
         for batch in batches:
             good = [s for s in batch.column(0).to_pylist() if (rows := _index(to, folder, s, spec)) is not None and len(rows) == min(spec.per_shard, total - s * spec.per_shard)]
             yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], ["shard"])
@@ -208,34 +211,40 @@ def _kept(spark, path: str, total: int, spec: OrderSpec) -> np.ndarray:
 def write_shards(docs: DataFrame, path: str, spec: OrderSpec = OrderSpec()) -> DataFrame:
     """Writes the shards to the folder `path` as the result is computed: (slot, shard, byte_offset, n_tokens, doc_ids, ids_crc32).
 
-    path: a URI that pyarrow can write to, or a local path, shared by the executors. A folder that holds
-    another order (another specification or other texts) raises ValueError. For rows of docs see
+    path: a URI that pyarrow and Spark can write to, or a local path, shared by the executors. A folder that
+    holds another order (another specification or other texts) raises ValueError. For rows of docs see
     `sequences`; an empty table gives no rows and no shards.
     """
     spark = docs.sparkSession
-    rows = sequences(docs, spec)
+    to, folder = rowmap.folder(path)
+    to.create_dir(folder, recursive=True)
+    manifest = posixpath.join(folder, "manifest.json")
+    held = None
+    if to.get_file_info(manifest).type.name == "File":
+        with to.open_input_stream(manifest) as f:
+            held = f.read()
+    mark = fingerprint(docs, spec)
+    if held is not None and json.loads(held)["input"] != mark:
+        raise ValueError(f"{path} holds another training order")
+    rows = sequences(docs, posixpath.join(path, f"sequences-{mark[:32]}"), spec)
     # a row for each partition
     parts = sorted(tuple(r) for r in rows.groupBy("part").agg(F.sum(F.size("sizes")).alias("n"), F.bit_xor(F.xxhash64("first", "crc")).alias("crc")).collect())
     starts, total = {}, 0
     for part, n, _ in parts:
         starts[part] = total
         total += n
-    said = json.dumps({"spec": asdict(spec), "sequences": total, "input": hashlib.sha256(repr(parts).encode()).hexdigest()}, sort_keys=True).encode()
-    to, folder = _folder(path)
-    to.create_dir(folder, recursive=True)
-    manifest = posixpath.join(folder, "manifest.json")
+    said = json.dumps({"spec": asdict(spec), "input": mark, "sequences": total, "order": hashlib.sha256(repr(parts).encode()).hexdigest()}, sort_keys=True).encode()
     done = np.zeros(0, np.int64)
-    if to.get_file_info(manifest).type.name == "File":
-        with to.open_input_stream(manifest) as f:
-            if f.read() != said:
-                raise ValueError(f"{path} holds another training order")
+    if held is not None:
+        if held != said:
+            raise ValueError(f"{path} holds another training order")
         done = _kept(spark, path, total, spec)
     else:
         _put(to, manifest, said)
     shards = max(1, -(-total // spec.per_shard))
 
     def old(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to, folder = _folder(path)
+        to, folder = rowmap.folder(path)
         for batch in batches:
             for s in batch.column(0).to_pylist():
                 rows = _index(to, folder, s, spec)
@@ -254,7 +263,7 @@ def write_shards(docs: DataFrame, path: str, spec: OrderSpec = OrderSpec()) -> D
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        to, folder = _folder(path)
+        to, folder = rowmap.folder(path)
         shard = part = sink = None
         made = []
         for batch in batches:
@@ -285,7 +294,7 @@ def write_shards(docs: DataFrame, path: str, spec: OrderSpec = OrderSpec()) -> D
 
 def read_slots(path: str, first: int, count: int, spec: OrderSpec = OrderSpec()) -> np.ndarray:
     """The ids of `count` consecutive slots from `first` on, one row each; fewer at the end of the order."""
-    source, folder = _folder(path)
+    source, folder = rowmap.folder(path)
     out = []
     while count > 0:
         name = posixpath.join(folder, shard_name(first // spec.per_shard))

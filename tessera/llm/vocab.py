@@ -9,6 +9,7 @@ tokens are found in the text and stand for their own ids.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,13 +31,42 @@ def _encoding(path: str):
     return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
+#: The white space of the pattern's \\s (Unicode White_Space), and how long a run of it the matcher is given.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONGEST = 50_000
+_RUNS = re.compile(f"[{_SPACE}]{{{LONGEST},}}")
+
+
+def _piece(encoding, text: str) -> np.ndarray:
+    """Ids of one piece of the pattern, merged as a whole."""
+    return np.array(encoding._encode_single_piece(text), np.uint32)
+
+
+def _in_parts(text: str, path: str) -> np.ndarray:
+    """Ids of a text without added tokens, long runs of white space aside from the matcher, which keeps a place for each of their characters.
+
+    By the pattern a run is one piece, but for its last character where other text follows: that one
+    begins the next piece, as it does where the rest is encoded by itself.
+    """
+    encoding, at, out = _encoding(path), 0, []
+    for run in _RUNS.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        out += [encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()), _piece(encoding, text[run.start() : stop])]
+        at = stop
+    return np.concatenate([*out, encoding.encode_to_numpy(text[at:], disallowed_special=())])
+
+
 def encode(text: str, path: str = DEFAULT) -> np.ndarray:
     return np.array(_encoding(path).encode_ordinary(text), np.uint32)
 
 
 def document_ids(text: str, path: str = DEFAULT) -> np.ndarray:
     """The ids that `tokenizers` gives without encode_special_tokens and with add_special_tokens=False."""
-    return _encoding(path).encode_to_numpy(text, allowed_special=_SPECIAL, disallowed_special=())
+    if len(text) < LONGEST or not _RUNS.search(text):
+        return _encoding(path).encode_to_numpy(text, allowed_special=_SPECIAL, disallowed_special=())
+    name, number = next(iter(ADDED.items()))
+    parts = [x for part in text.split(name) for x in (np.array([number], np.uint32), _in_parts(part, path))]
+    return np.concatenate(parts[1:])
 
 
 def column_ids(texts, path: str = DEFAULT) -> Iterator[np.ndarray]:

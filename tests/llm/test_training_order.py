@@ -53,19 +53,36 @@ def test_another_order_is_refused(docs, tmp_path):
 def test_damaged_and_missing_shards_are_written_anew(docs, tmp_path):
     path = tmp_path / "s"
     first = training_order.write_shards(docs, str(path), SPEC).collect()
-    whole = {p.name: p.read_bytes() for p in path.iterdir()}
+    whole = {p.name: p.read_bytes() for p in path.glob("*shard-*")}
     body = bytearray(whole["shard-00000001.bin"])
     body[5] ^= 1
     (path / "shard-00000001.bin").write_bytes(bytes(body))
     (path / "shard-00000003.bin").unlink()
     (path / "shard-00000004.arrow").write_bytes(b"broken")
-    kept = {p.name: p.stat().st_mtime_ns for p in path.iterdir() if p.name[6:14] not in ("00000001", "00000003", "00000004")}
+    kept = {p.name: p.stat().st_mtime_ns for p in path.glob("shard-*") if p.name[6:14] not in ("00000001", "00000003", "00000004")}
     again = training_order.write_shards(docs, str(path), SPEC).collect()
-    assert content(again) == content(first) and {p.name: p.read_bytes() for p in path.iterdir()} == whole
+    assert content(again) == content(first) and {p.name: p.read_bytes() for p in path.glob("*shard-*")} == whole
     assert {n: (path / n).stat().st_mtime_ns for n in kept} == kept
     assert content(training_order.write_shards(docs, str(path), SPEC).collect()) == content(first)
 
 
+def test_a_restart_with_other_splits_goes_on(docs, tmp_path):
+    path = tmp_path / "s"
+    first = training_order.write_shards(docs, str(path), SPEC).collect()
+    whole = {p.name: p.read_bytes() for p in path.glob("shard-*")}
+    (path / "shard-00000002.bin").write_bytes(b"cut off")
+    (path / "shard-00000005.arrow").unlink()
+    other = docs.repartition(11, "text")
+    assert content(training_order.write_shards(other, str(path), SPEC).collect()) == content(first)
+    assert {p.name: p.read_bytes() for p in path.glob("shard-*")} == whole
+    # sequences that were not written to their end are made anew, and then the shards must be of that order
+    marks = list(path.glob("sequences-*"))
+    assert len(marks) == 1
+    (marks[0] / "_SUCCESS").unlink()
+    with pytest.raises(ValueError, match="another training order"):
+        training_order.write_shards(docs.repartition(5, "text"), str(path), SPEC)
+
+
 def test_ids_that_do_not_fit(docs, tmp_path):
     with pytest.raises(Exception, match="does not fit"):
         training_order.write_shards(docs, str(tmp_path / "s"), training_order.OrderSpec(length=64, id_type="u1"))
