@@ -43,13 +43,15 @@ def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """docs without documents that are benchmark text for half of their words or more, and of others without those passages.
 
     Benchmark rows without text have no passages, those without item_id have. n_chars follows the text.
+    Null and empty texts stay; texts are read whole; repeated rows are treated alike; an empty table, or
+    one without benchmark rows, stays as it is, and so do all other columns.
     """
     kept = decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), nameless=True)
     return _recounted(kept, docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with every secret of their texts replaced by a mark; no row goes. n_chars follows the text."""
+    """docs with every secret of their texts replaced by a mark; no row goes. n_chars follows the text. For rows of every kind see `secrets.redact`."""
     return _recounted(secrets.redact(docs), docs)
 
 
@@ -78,6 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences of the documents table.
+
+    Null and empty texts go in the first stage, and of rows with the same doc_id and text one stays in the
+    second; rows without doc_id are near-duplicates of nothing; texts are read whole in every stage; an
+    empty table gives no pieces; further columns of the table change nothing.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = rowmap.written(stage(spark, docs, sf_dir), name)
