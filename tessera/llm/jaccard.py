@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     A set holds the distinct k-word shingles of the lower-cased (A-Z) words of a text, or its whole
     sequence if it has fewer words. Documents link if percent % at least of the union of their sets is
     common; component_id is the smallest doc_id reachable, n_links the number of other documents linked
-    to. A text without words has an empty set and no links. Rows without doc_id have none either; rows
+    to. Sets are equal if a 128-bit hash of their shingles is. A text without words has an empty set and no links. Rows without doc_id have none either; rows
     that repeat a doc_id are the same document. Texts are read whole; an empty table gives no rows; other
     columns of docs are ignored.
     """

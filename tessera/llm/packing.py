@@ -112,7 +112,8 @@ def pack(docs: DataFrame, spec: PackSpec = PackSpec()) -> DataFrame:
 
     docs: doc_id, text, and other columns, which are ignored. A null or empty text is the end id alone;
     a null doc_id is kept as null; repeated rows are packed each. An empty table gives no rows. A text
-    of any length is cut into windows. Sequence ids are unique, not dense.
+    of any length is cut into windows. Of windows with equal gaps the one opened first is filled, and the
+    first of the fullest is emitted. Sequence ids are unique, not dense.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,7 @@ def pack(docs: DataFrame, spec: PackSpec = PackSpec()) -> DataFrame:
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
-    """sequence_id, n_tokens and the sequence's ids, joined in order."""
+    """sequence_id, n_tokens and the sequence's ids, joined in order, out of rows of `pack`; those of documents without doc_id count too, no rows give none."""
     rows = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     return rows.select("sequence_id", "n_tokens", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"))
 

@@ -133,7 +133,12 @@ def find_recurring(docs: DataFrame, window: int = WINDOW, per_shard: int = PER_S
 
 
 def remove_recurring(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed and `kept`, the words that stay joined by one space, of every row of docs."""
+    """doc_id, n_words, n_removed and `kept`, the words that stay joined by one space, of every row of docs.
+
+    The automata read all text that windows shared by several places cover; no other text can hold a
+    recurring passage. A null text has no words; a row without doc_id keeps all of its own; rows that
+    repeat a doc_id lose the same; texts are read whole; other columns are left out; an empty table gives no rows.
+    """
     joined = docs.select(F.col("doc_id").cast("long"), "text").join(find_recurring(docs, window), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

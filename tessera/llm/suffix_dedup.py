@@ -237,7 +237,11 @@ def find_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, per_shard: int =
 
 
 def remove_repeats(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal runs removed) and `kept`, the bytes that stay, of every row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans (maximal runs removed) and `kept`, the bytes that stay, of every row of docs.
+
+    A null text has no bytes; a row without doc_id keeps all of its own; rows that repeat a doc_id are the
+    same places and lose the same; texts are read whole; other columns are left out; an empty table gives no rows.
+    """
     joined = docs.select(F.col("doc_id").cast("long"), "text").join(find_repeats(docs, min_length), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
