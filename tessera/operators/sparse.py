@@ -110,17 +110,19 @@ def _atoms(spark, supports: list) -> DataFrame:
 def intersection_atoms(spark, dim: int, depth: int, seed: int) -> DataFrame:
     """dim - 1 atoms, each the words where `depth` rows of the Hadamard matrix (dim a power of two) are all positive.
 
-    The first row of atom i is a random permutation's entry i, the others stand 1, 2, 4 .. further on.
+    Every atom draws its own rows and rejects those that the ones before determine, so that it has dim / 2 ** depth words.
     """
-    order = np.random.default_rng(seed).permutation(dim - 1)
+    if 1 << depth > dim:
+        raise ValueError(f"{dim} words have fewer than {depth} independent rows")
     words = np.arange(dim)
     parity = lambda x: np.array([bin(v).count("1") & 1 for v in x.tolist()])
     supports = []
-    for i in range(dim - 1):
-        rows = [1 + int(order[(i + ((1 << j) >> 1)) % (dim - 1)]) for j in range(depth)]
-        inside = np.ones(dim, bool)
-        for r in rows:
-            inside &= parity(words & r) == 0
+    for atom in range(dim - 1):
+        draw, inside = np.random.default_rng((seed, atom)), np.ones(dim, bool)
+        while inside.sum() << depth > dim:
+            half = inside & (parity(words & int(draw.integers(1, dim))) == 0)
+            if half.sum() < inside.sum():  # an independent row halves what is left
+                inside = half
         supports.append(words[inside])
     return _atoms(spark, supports)
 

@@ -225,9 +225,10 @@ for _detail in (4, 5):
 
 
 _PAIRS2 = M[:-1] + f""", rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, image_id ORDER BY round(score, 9) DESC, qpt, dbpt) - 1 AS i, count(*) OVER (PARTITION BY query_id, image_id) AS m FROM m
-), ss AS (SELECT query_id, image_id, unnest(range(1, 2 * any_value(m) - 2)) AS s FROM rk GROUP BY query_id, image_id
-), st AS (SELECT query_id, image_id, s, s // 2 + 1 AS low, unnest(range(1, least(10, s - s // 2) + 1)) AS k FROM ss
-), ij AS (SELECT query_id, image_id, low + (k * 100003) % (s - low + 1) AS i, s - low - (k * 100003) % (s - low + 1) AS j FROM st
+), ss AS (SELECT query_id, image_id, any_value(m) AS m, unnest(range(1, 2 * any_value(m) - 2)) AS s FROM rk GROUP BY query_id, image_id
+), st AS (SELECT *, s // 2 + 1 AS low, unnest(range(1, 11)) AS k FROM ss
+), dr AS (SELECT *, low + ('0x' || substr(md5(s || ':' || k), 1, 8))::BIGINT % (least(s, m - 1) - low + 1) AS i FROM st
+), ij AS (SELECT DISTINCT query_id, image_id, i, s - i AS j FROM dr
 ), p2 AS (
   SELECT ij.query_id, ij.image_id, a.qpt AS qpt1, a.dbpt AS dbpt1, b.qpt AS qpt2, b.dbpt AS dbpt2, a.score + b.score AS score,
          (a.x - b.x) / (a.qx - b.qx) AS ax, (a.y - b.y) / (a.qy - b.qy) AS ay, b.x AS bx, b.qx AS bqx, b.y AS yb, b.qy AS bqy
