@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import knn
+from tessera.operators import keyed, knn
 
 
 def subset(rows: DataFrame, key: str, n: int, salt: str = "") -> DataFrame:
@@ -62,26 +62,26 @@ def kmeans(points: DataFrame, k: int, rounds: int = 20, tolerance: float = 1e-9,
 
 
 def best_kmeans(points: DataFrame, k: int, rounds: int, starts: int) -> DataFrame:
-    """The result of the start, out of several, with the least sum of squared distances."""
-    found = [kmeans(points, k, rounds, salt=str(i)) for i in range(starts)]
-    cost = lambda f: knn.nearest(points, f.select("vw", "centroid")).agg(F.sum("d2")).first()[0]
-    return min(found, key=cost)
+    """The result of the start, out of several, with the least sum of squared distances (the first of equals); a round is one pass for all starts."""
+    every = points.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(starts - 1).cast("long"))).alias("grp"), "vec_id", "vec")
+    book, counts = keyed.kmeans(every, k, rounds, salt=F.col("grp").cast("string"))
+    cost = keyed.costs(every, book)
+    best = min(book, key=lambda g: (cost[g], g))
+    return keyed.table(points.sparkSession, {best: book[best]}, counts).drop("grp")
 
 
 def hierarchical_kmeans(points: DataFrame, branch: int, levels: int, rounds: int) -> DataFrame:
-    """(level, parent, child, centroid, n): every cell of a level is split by k-means of its own points."""
-    out, cells = None, points.withColumn("word", F.lit(0).cast("long"))
+    """(level, parent, child, centroid, n): every cell of a level is split by k-means of its own points, all of a level in the same passes.
+
+    A point's cell is found by going down the tree in each pass, so that nothing but the tree is kept
+    between levels. A level has branch ** level parents, a parameter.
+    """
+    out, cells = None, points.select("vec_id", "vec", F.lit(0).cast("long").alias("grp"))
     for level in range(levels):
-        parents = sorted(r["word"] for r in cells.select("word").distinct().collect())  # branch ** level at most
-        parts = None
-        for parent in parents:
-            own = cells.where(F.col("word") == parent).select(*points.columns)
-            found = kmeans(own, branch, rounds)
-            rows = found.select(F.lit(level).alias("level"), F.lit(parent).cast("long").alias("parent"), F.col("vw").alias("child"), "centroid", "n")
-            out = rows if out is None else out.unionByName(rows)
-            at = knn.nearest(own, found.select("vw", "centroid")).select(*points.columns, (F.lit(parent) * branch + F.col("centroid_id")).alias("word"))
-            parts = at if parts is None else parts.unionByName(at)
-        cells = parts
+        book, counts = keyed.kmeans(cells, branch, rounds)
+        rows = keyed.table(points.sparkSession, book, counts).select(F.lit(level).alias("level"), F.col("grp").alias("parent"), F.col("vw").alias("child"), "centroid", "n")
+        out = rows if out is None else out.unionByName(rows)
+        cells = keyed.assign(cells, book).select("vec_id", "vec", (F.col("grp") * branch + F.col("cell")).alias("grp"))
     return out
 
 

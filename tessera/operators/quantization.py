@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import vectors as v
-from tessera.operators import clustering, knn
+from tessera.operators import clustering, keyed, knn
 
 
 @dataclass(frozen=True)
@@ -55,16 +55,16 @@ def from_rows(rows: list[np.ndarray], subspaces: int) -> ProductQuantizer:
     return ProductQuantizer(m.reshape(len(m), subspaces, -1).transpose(1, 0, 2).copy())
 
 
+def subvectors(points: DataFrame, subspaces: int) -> DataFrame:
+    """(vec_id, grp, vec): a row for each subspace."""
+    part = lambda q: F.slice("vec", F.lit(q) * (F.size("vec") / subspaces).cast("int") + 1, (F.size("vec") / subspaces).cast("int"))
+    return points.select("vec_id", F.posexplode(F.array(*[part(q) for q in range(subspaces)])).alias("grp", "vec")).withColumn("grp", F.col("grp").cast("long"))
+
+
 def learn(points: DataFrame, subspaces: int, cells: int, rounds: int = 10) -> ProductQuantizer:
-    """k-means in every subspace; the cells alone come to the driver."""
-    dim = len(points.select("vec").first()["vec"])
-    size = dim // subspaces
-    out = []
-    for q in range(subspaces):
-        part = points.select("vec_id", F.slice("vec", q * size + 1, size).alias("vec"))
-        found = sorted(clustering.kmeans(part, cells, rounds).collect(), key=lambda r: r["vw"])
-        out.append([r["centroid"] for r in found])
-    return with_errors(points, ProductQuantizer(np.array(out)))
+    """k-means in every subspace, all in the same passes; the cells alone come to the driver."""
+    book, _ = keyed.kmeans(subvectors(points, subspaces), cells, rounds)
+    return with_errors(points, ProductQuantizer(np.stack([book[q] for q in range(subspaces)])))
 
 
 def _kmeans(m: np.ndarray, cells: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
