@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import geometry as g
-from tessera.operators import inverted, points
+from tessera.operators import inverted, matching, points
 from tessera.plans.fixtures import BASE, EVERY, HAMMING, codebook, descriptors, postings, query_points
 from tessera.plans.registry import query
 from tessera.plans.retrieval import PARAMS, r6
@@ -81,6 +83,53 @@ def _(spark, sf):
     return p.join(found.select("query_id", "image_id"), "image_id").select("query_id", "image_id", "pt", "vw")
 
 
+S = BASE[:-1] + """, sl AS (SELECT query_id, image_id FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) <= 10
+), strong AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY cornerness DESC, pt) AS r FROM d
+), nn AS (
+  SELECT sl.query_id, q.pt AS qpt, sl.image_id, o.pt AS dbpt, greatest(q.r, o.r) AS r, round(list_sum(list_transform(list_zip(q.vec, o.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS d2
+  FROM sl JOIN strong q ON q.image_id = sl.query_id JOIN strong o ON o.image_id = sl.image_id
+)
+"""
+_SCORE = "round(1 - sqrt(d2) / sqrt(1.1::DOUBLE * max(d2) OVER (PARTITION BY query_id)), 6) + 0.0 AS score"
+
+
+def _by_mode(spark, sf, flags: int, threshold: float, crop: int | None = None) -> DataFrame:
+    """Matches with the ten best images of each query, in the mode of a bit field; crop replaces its number of points."""
+    p = postings(spark, sf)
+    shortlist = inverted.search(query_points(p), p, codebook(spark, sf), PARAMS).where("rnk <= 10").select("query_id", "image_id")
+    mode = g.presets(flags)[0]
+    if mode.crop is not None and crop is not None:
+        mode = replace(mode, crop=crop)
+    side = p if mode.words else descriptors(spark, sf)
+    found = matching.match(query_points(side), side, shortlist, mode, threshold)
+    return found.select("query_id", "qpt", "image_id", "dbpt", r6(F.col("score")).alias("score"))
+
+
+@query("match_within", S + "SELECT query_id, qpt, image_id, dbpt, round(1 - sqrt(d2) / 1.25::DOUBLE, 6) + 0.0 AS score FROM nn WHERE d2 <= 1.25::DOUBLE * 1.25::DOUBLE")
+def _(spark, sf):
+    return _by_mode(spark, sf, 4, 1.25)
+
+
+@query("match_listed_words", S + f"SELECT q.image_id AS query_id, q.pt AS qpt, p.image_id, p.pt AS dbpt, round(1 - (bit_count(xor(q.lo, p.lo)) + bit_count(xor(q.hi, p.hi))) / {HAMMING + 1}.0::DOUBLE, 6) AS score FROM sl JOIN post q ON q.image_id = sl.query_id JOIN post p ON p.image_id = sl.image_id AND p.vw = q.vw WHERE bit_count(xor(q.lo, p.lo)) + bit_count(xor(q.hi, p.hi)) <= {HAMMING}")
+def _(spark, sf):
+    return _by_mode(spark, sf, 8, HAMMING)
+
+
+@query("match_nearest_each", S + f", k AS (SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY query_id, qpt, image_id ORDER BY d2, dbpt) <= 2) SELECT query_id, qpt, image_id, dbpt, {_SCORE} FROM k")
+def _(spark, sf):
+    return _by_mode(spark, sf, 0x10, 2)
+
+
+@query("match_nearest_all", S + f", k AS (SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY query_id, qpt ORDER BY d2, image_id, dbpt) <= 2) SELECT query_id, qpt, image_id, dbpt, {_SCORE} FROM k")
+def _(spark, sf):
+    return _by_mode(spark, sf, 0x20, 2)
+
+
+@query("match_nearest_cropped", S + f", k AS (SELECT * FROM nn WHERE r <= 4 QUALIFY row_number() OVER (PARTITION BY query_id, qpt, image_id ORDER BY d2, dbpt) <= 2) SELECT query_id, qpt, image_id, dbpt, {_SCORE} FROM k")
+def _(spark, sf):
+    return _by_mode(spark, sf, 2 | 0x10, 2, crop=4)
+
+
 @query("hough_coords", M + "SELECT query_id, qpt, image_id, dbpt, round(c0, 6) + 0.0 AS c0, round(c1, 6) + 0.0 AS c1, round(c2, 4) + 0.0 AS c2, round(c3, 4) + 0.0 AS c3 FROM hc")
 def _(spark, sf):
     h = g.hough_coordinates(matches(spark, sf))
