@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.operators import usage
 from tessera.plans.registry import query, table
 from tessera.plans.retrieval import r6
+from tessera.sources import text_index
+from tessera.sources.scratch import scratch
 
 #: Plan, visuals, queries, price of a query beyond them.
 PLANS = [("freemium", 10, 1, None), ("basic", 1000, 1, 0.09), ("intermediate", 5000, 50000, 0.04), ("premium", 10000, 100000, 0.02)]
@@ -185,6 +187,20 @@ def _(spark, sf):
     return found.select("doc_id", r6(F.col("score")).alias("score"))
 
 
+_WORDS = ("worthless", "license", "the")
+
+
+@query("text_search_stored", """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t FROM documents),
+    c AS (SELECT doc_id, coalesce(len(t), 0)::DOUBLE AS n, len(list_filter(t, lambda w: w = 'worthless'))::DOUBLE AS a, len(list_filter(t, lambda w: w = 'license'))::DOUBLE AS b, len(list_filter(t, lambda w: w = 'the'))::DOUBLE AS c FROM t),
+    s AS (SELECT count(*)::DOUBLE AS total, avg(n) AS av, count(*) FILTER (a > 0)::DOUBLE AS da, count(*) FILTER (b > 0)::DOUBLE AS db, count(*) FILTER (c > 0)::DOUBLE AS dc FROM c),
+    f AS (SELECT doc_id, round(2.2::DOUBLE * (ln((total - da + 0.5) / (da + 0.5) + 1) * a / (a + 1.2::DOUBLE * (0.25 + 0.75 * n / av)) + ln((total - db + 0.5) / (db + 0.5) + 1) * b / (b + 1.2::DOUBLE * (0.25 + 0.75 * n / av))
+      + ln((total - dc + 0.5) / (dc + 0.5) + 1) * c / (c + 1.2::DOUBLE * (0.25 + 0.75 * n / av))), 9) AS score FROM c, s WHERE a > 0 OR b > 0 OR c > 0)
+    SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS rnk FROM f QUALIFY rnk <= 50""")
+def _(spark, sf):
+    index = text_index.write(table(spark, sf, "documents"), scratch(spark, "text_index"))
+    return text_index.search(index, list(_WORDS), 50).rows.select("doc_id", r6(F.col("score")).alias("score"), "rnk")
+
+
 @query("cascade_delete", "SELECT 'orders' AS tbl, count(*) AS n FROM orders WHERE o_custkey % 7 <> 0 UNION ALL SELECT 'lineitem', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 7 <> 0")
 def _(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
