@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import knn
+from tessera.operators import knn, shards
 from tessera.operators import quantization as pq
 from tessera.plans.fixtures import BASE, codebook, descriptors
 from tessera.plans.registry import query
@@ -160,6 +160,38 @@ def _(spark, sf):
     return _found(spark, sf).select("query_id", "vw", "vec_id")
 
 
+# shards: points of even images, and after them those of odd ones -------------------------------------
+
+_SHARDS = P[:-1] + """, num AS (SELECT vec_id, image_id, row_number() OVER o - 1 AS label, dense_rank() OVER i - 1 AS image FROM d WINDOW o AS (ORDER BY image_id % 2, image_id, pt), i AS (ORDER BY image_id % 2, image_id))
+"""
+
+
+def _shards(spark, sf) -> shards.Shard:
+    coded = pq.build_lists(_points(spark, sf), codebook(spark, sf), _residual_model(spark, sf))
+    points = stored(coded.join(descriptors(spark, sf).select("vec_id", "image_id", "pt"), "vec_id"), "coded")
+    return shards.merge(*(shards.build(points.where(F.col("image_id") % 2 == i)) for i in (0, 1)))
+
+
+@query("shards_merged", _SHARDS + "SELECT num.vec_id, asg.vw, num.label, num.image FROM num JOIN asg USING (vec_id)")
+def _(spark, sf):
+    both = _shards(spark, sf)
+    return shards.images_of(both.points.drop("image_id"), both.images).select("vec_id", "vw", "label", "image")
+
+
+@query("shard_ends", _SHARDS + 'SELECT image, image_id, max(label) + 1 AS "end" FROM num GROUP BY ALL')
+def _(spark, sf):
+    return _shards(spark, sf).images.select("image", "image_id", "end")
+
+
+@query("shard_votes", _SHARDS + """SELECT query_id, image, image_id, count(*) AS votes FROM (
+    SELECT query_id, label, image, num.image_id FROM ivf JOIN num USING (vec_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), label) <= 10) GROUP BY ALL""")
+def _(spark, sf):
+    both = _shards(spark, sf)
+    built = both.points.select(F.col("label").alias("vec_id"), "vw", "codes")
+    found = pq.search_lists(_queries(spark, sf), built, codebook(spark, sf), _residual_model(spark, sf), 3, 10)
+    return shards.images_of(found.select("query_id", F.col("vec_id").alias("label")), both.images).groupBy("query_id", "image", "image_id").agg(F.count("*").alias("votes"))
+
+
 # lists of which a quarter is probed ------------------------------------------------------------------
 
 #: Of 64 lists 16 are probed, and each vector is in 3: the given vectors fill their space almost evenly, so that neighbours lie in many lists.
