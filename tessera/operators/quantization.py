@@ -106,14 +106,14 @@ def list_blocks(built: DataFrame, size: int = BLOCK) -> DataFrame:
     return dealt.select("vw", F.col("vec_id").cast("long").alias("vec_id"), "codes", "block", "of").groupBy("vw", "block").applyInArrow(pack, "vw long, block long, of long, n long, ids binary, codes binary")
 
 
-def probed_blocks(queries: DataFrame, blocks: DataFrame, codebook: DataFrame, probes: int, size: int = ASKED) -> DataFrame:
+def probed_blocks(queries: DataFrame, blocks: DataFrame, codebook: DataFrame, probes: int, size: int = ASKED, relative: bool = True) -> DataFrame:
     """(vw, block, n, ids, codes, q_ids, q_flat): the blocks of the lists that queries probe, each with a block of those queries.
 
-    queries: query_id, vec; q_flat: their residuals to the list. Blocks of a list that nothing probes meet no
+    queries: query_id, vec; q_flat: their residuals to the list, or the vectors where codes are not relative to it. Blocks of a list that nothing probes meet no
     query. Of a long list each block goes to a task of its own, and the queries follow it there.
     """
     near = knn.nearest(queries.select("query_id", "vec"), codebook, probes).select("query_id", "vec", F.col("centroid_id").alias("vw"))
-    rest = near.join(F.broadcast(codebook.select(F.col("vw").cast("long").alias("vw"), "centroid")), "vw").select("vw", "query_id", F.zip_with("vec", "centroid", lambda x, y: x - y).alias("rest"))
+    rest = near.join(F.broadcast(codebook.select(F.col("vw").cast("long").alias("vw"), "centroid")), "vw").select("vw", "query_id", (F.zip_with("vec", "centroid", lambda x, y: x - y) if relative else F.col("vec")).alias("rest"))
     groups = rest.groupBy("vw").agg(F.ceil(F.count("*") / size).cast("long").alias("of"))
     dealt = rest.join(F.broadcast(groups), "vw").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("of")))
 
@@ -278,11 +278,11 @@ def rerank(coarse: DataFrame, coded: DataFrame, queries: DataFrame, first: Produ
     return nearest(joined.mapInArrow(run, "query_id long, vec_id long, d2 double"), k)
 
 
-def build_lists(points: DataFrame, codebook: DataFrame, pq: ProductQuantizer, spill: int = 1) -> DataFrame:
-    """(vw, vec_id, codes): the residual of each point to its word's centroid, as a code; spill: a point is in so many nearest lists."""
+def build_lists(points: DataFrame, codebook: DataFrame, pq: ProductQuantizer, spill: int = 1, relative: bool = True) -> DataFrame:
+    """(vw, vec_id, codes): the residual of each point to its word's centroid (the point itself, if not relative) as a code; spill: a point is in so many nearest lists."""
     near = knn.nearest(points.select("vec_id", "vec"), codebook, spill)
     rest = near.join(codebook.select(F.col("vw").alias("centroid_id"), "centroid"), "centroid_id")
-    rest = rest.select("vec_id", F.col("centroid_id").alias("vw"), F.zip_with("vec", "centroid", lambda x, y: x - y).alias("vec"))
+    rest = rest.select("vec_id", F.col("centroid_id").alias("vw"), (F.zip_with("vec", "centroid", lambda x, y: x - y) if relative else F.col("vec")).alias("vec"))
     return encode(rest, pq).select("vw", "vec_id", "codes")
 
 

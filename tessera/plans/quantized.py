@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import knn, shards
+from tessera.operators import knn, lists, shards
 from tessera.operators import quantization as pq
 from tessera.plans.fixtures import BASE, codebook, descriptors
 from tessera.plans.registry import query
@@ -160,6 +160,37 @@ def _(spark, sf):
     return _found(spark, sf).select("query_id", "vw", "vec_id")
 
 
+# lists as they are learned ------------------------------------------------------------------------
+
+
+@query("ivfpq_coded_centroids", P + """, ccode AS (SELECT cs.vec_id AS vw, cs.q, cell.v FROM sub cs JOIN sub cell ON cell.q = cs.q AND cell.vec_id BETWEEN 16 AND 31 WHERE cs.vec_id < 16
+      QUALIFY row_number() OVER (PARTITION BY cs.vec_id, cs.q ORDER BY list_sum(list_transform(list_zip(cs.v, cell.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), cell.vec_id) = 1
+    ), made AS (SELECT vw, flatten(list(v ORDER BY q)) AS v FROM ccode GROUP BY vw
+    ), cd AS (SELECT vec_id, vw, list_sum(list_transform(list_zip(d.vec, made.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM d CROSS JOIN made)
+    SELECT vec_id, vw, round(d2, 6) AS d2 FROM cd QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d2, vw) = 1""")
+def _(spark, sf):
+    cells = sorted(_points(spark, sf).where("vec_id between 16 and 31").collect(), key=lambda r: r["vec_id"])
+    codes, made = lists.coded_centroids(codebook(spark, sf), pq.from_rows([r["vec"] for r in cells], 8))
+    book = lists.ListModel(list(range(64)), made, None, True, codes).codebook(spark)
+    return knn.nearest(_points(spark, sf), book).select("vec_id", F.col("centroid_id").alias("vw"), r6(F.col("d2")).alias("d2"))
+
+
+@query("ivfpq_absolute", P + """SELECT query_id, vec_id, round(adc.d2, 6) + 0.0 AS d2, row_number() OVER (PARTITION BY query_id ORDER BY round(adc.d2, 9), vec_id)::INTEGER AS rnk
+    FROM adc JOIN asg USING (vec_id) JOIN (SELECT vec_id AS query_id, vw FROM ranked WHERE rnk <= 3) r USING (query_id, vw) QUALIFY rnk <= 10""")
+def _(spark, sf):
+    centroids = np.array([r["centroid"] for r in sorted(codebook(spark, sf).collect(), key=lambda r: r["vw"])])
+    model = lists.ListModel(list(range(64))[::-1], centroids[:, ::-1], pq.from_rows(list(centroids[:, ::-1]), 8), relative=False)
+    return lists.search(_queries(spark, sf), stored(lists.build(_points(spark, sf), model), "lists"), model, 3, 10).select("query_id", "vec_id", r6(F.col("d2")).alias("d2"), "rnk")
+
+
+@query("ivfpq_learned")
+def _(spark, sf):
+    """A quarter of the lists probed, whose centroids are product codes; each vector is in three, as in `ivfpq_reranked`."""
+    points = _points(spark, sf)
+    model = lists.learn(points, _LISTS, 16, 64, rounds=5, coarse_cells=32)
+    return lists.search_reranked(_queries(spark, sf), points, stored(lists.build(points, model, _SPILL), "lists"), model, _PROBES, _SHORT, 10)
+
+
 # shards: points of even images, and after them those of odd ones -------------------------------------
 
 _SHARDS = P[:-1] + """, num AS (SELECT vec_id, image_id, row_number() OVER o - 1 AS label, dense_rank() OVER i - 1 AS image FROM d WINDOW o AS (ORDER BY image_id % 2, image_id, pt), i AS (ORDER BY image_id % 2, image_id))
