@@ -19,7 +19,7 @@ def squared(a, b):
     return ((a[:, None] - b[None]) ** 2).sum(2)
 
 
-@pytest.mark.parametrize("name", ["ivfpq_reranked", "pq_reranked"])
+@pytest.mark.parametrize("name", ["ivfpq_reranked", "ivfpq_learned", "pq_reranked"])
 @pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
 def test_recall_of_approximate_search(spark, name, sf):
     ids, m = vectors(spark, sf)
