@@ -48,10 +48,34 @@ def _by_group(groups: np.ndarray, book: Book) -> Iterator[tuple[int, np.ndarray]
 def starts(points: DataFrame, k: int, salt: Column | str = "") -> Book:
     """k points of each group (all, if fewer), the first by a hash of salt and vec_id. Each task sends k of a group at most."""
     prefix = salt if isinstance(salt, Column) else F.lit(salt)
-    hashed = points.select("grp", "vec_id", "vec", F.md5(F.concat(prefix, F.col("vec_id").cast("string"))).alias("_h"))
-    first = hashed.withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy("_h", "vec_id"))).where(F.col("_r") <= k)
+    hashed = points.select("grp", F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(F.md5(F.concat(prefix, F.col("vec_id").cast("string"))), F.lit("")).alias("_h"), F.col("vec").cast("array<double>").alias("vec"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple[pa.Table, bytes | None]] = {}  # the first k of a group, and the hash of the last of them
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups, h = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype("S32")
+            order = np.argsort(groups, kind="stable")
+            found, at = np.unique(groups[order], return_index=True)
+            for g, rows in zip(found.tolist(), np.split(order, at[1:]), strict=True):
+                own, last = kept.get(g, (None, None))
+                if last is not None:
+                    rows = rows[h[rows] <= last]
+                if not len(rows):
+                    continue
+                new = pa.Table.from_batches([batch.take(pa.array(rows))])
+                own = new if own is None else pa.concat_tables([own, new])
+                by = np.lexsort((own.column(1).to_numpy(), own.column(2).to_numpy().astype("S32")))[:k]
+                own = own.take(pa.array(by)).combine_chunks()
+                kept[g] = own, own.column(2)[k - 1].as_py().encode() if len(own) == k else None
+        for own, _ in kept.values():
+            yield from own.to_batches()
+
+    least = hashed.mapInArrow(first, hashed.schema)
+    ranked = least.withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy("_h", "vec_id"))).where(F.col("_r") <= k)
     book: dict[int, list] = {}
-    for r in sorted(first.select("grp", "_r", "vec").collect(), key=lambda r: (r["grp"], r["_r"])):
+    for r in sorted(ranked.select("grp", "_r", "vec").collect(), key=lambda r: (r["grp"], r["_r"])):
         book.setdefault(r["grp"], []).append(r["vec"])
     return {g: np.array(c, np.float64) for g, c in book.items()}
 

@@ -34,11 +34,12 @@ def test_each_group_ends_as_alone(spark, most):
 
 def test_rows_of_every_kind(spark):
     same = [1.0, 2.0]
-    rows = [(1, i, same) for i in range(6)] + [(2, 10, [0.0, 0.0]), (None, 11, same), (1, 12, None), (1, 13, [float("nan"), 0.0]), (2, 10, [0.0, 0.0])]
+    rows = [(1, i, same) for i in range(6)] + [(2, 10, [0.0, 0.0]), (None, 11, same), (1, 12, None), (1, 13, [float("nan"), 0.0]), (2, 10, [0.0, 0.0]), (3, None, same), (3, None, [0.0, 0.0])]
     book, counts = keyed.kmeans(spark.createDataFrame(rows, SCHEMA), 3, 2)
     assert counts[1].tolist() == [6, 0, 0] and len(book[1]) == 3  # equal points fill one cell, the others are splits of it
     assert np.allclose(book[1], same, rtol=1e-4)
     assert len(book[2]) == 2 and counts[2].sum() == 2
+    assert counts[3].sum() == 2  # points without id are points
     empty = spark.createDataFrame([], SCHEMA)
     assert keyed.kmeans(empty, 3, 2) == ({}, {})
     assert keyed.assign(empty, {}).count() == 0
