@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.textblocks import SPACE, Words, blocks, gram_hashes, mix, powers, prefix_hashes, range_hashes, sliding, word_hashes
+from tessera.llm.textblocks import SPACE, Words, blocks, gram_hashes, mix, next_hashes, powers, prefix_hashes, range_hashes, sliding, word_hashes
 
 _CHUNK = 1 << 22
 _SEGMENT = 256
@@ -49,8 +49,7 @@ def byte_units(gram: int):
     def make(block):
         c = prefix_hashes(block.data)
         n = max(0, len(block.data) - gram + 1)
-        starts = np.arange(n)
-        grams = range_hashes(c, starts, starts + gram)
+        grams = next_hashes(c, n, gram)
         return grams, block.offsets, lambda s, e: range_hashes(c, s, e)
 
     return make

@@ -11,7 +11,7 @@ than the streamed one are removed. Lengths are counted up to the minimum, which
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +27,39 @@ GRAM = 20
 PER_SHARD = 32768
 #: Bytes of a segment at most, since a step is one byte of every segment.
 MOST_SEGMENT = 1024
-_PACKED = 7
+_PACKED_BITS = 63
+_SORT_BITS = 63
+
+
+class Marks:
+    """A bit vector of places with counts, which tells how many marked places stand before a place without a search."""
+
+    def __init__(self, at: np.ndarray, size: int):
+        """at are the marked places below size, in order; there is one at least."""
+        word = at >> 6
+        head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        self.words = np.zeros((size >> 6) + 1, np.uint64)
+        self.words[word[head]] = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), head)
+        self.counts = np.zeros(len(self.words), np.int64)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.counts[1:])
+
+    def before(self, places: np.ndarray) -> np.ndarray:
+        """Number of marked places below each of places, which are `size` at most."""
+        word = places >> 6
+        return self.counts[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << (places & 63).astype(np.uint64)) - np.uint64(1)))
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.counts.nbytes
 
 
 class RunLengthIndex:
     """An r-index over some texts, each at least one byte long.
 
-    What stays after building: for each run its first and last row, symbol, samples and mapping; the rows
-    where groups of `depth` equal symbols begin, with the least owner of each; and, to compare places,
-    the first symbols at each place and its rank among the suffixes by some powers of symbols.
+    What stays after building: for each run its first and last row, symbol, samples and mapping, with marks
+    at the first rows of runs, and at the runs of each symbol; marks at the rows where groups of `depth` equal
+    symbols begin, with the least owner of each; and, to compare places, the first symbols at each place and
+    its rank among the suffixes by some powers of symbols. Symbols are the bytes that occur, numbered from 1.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, depth: int, owner: np.ndarray | None = None, most: int | None = None):
@@ -43,60 +67,86 @@ class RunLengthIndex:
         lengths, self.most = np.diff(offsets), most
         ends = np.cumsum(lengths + 1) - 1  # of each text, where its terminator stands
         n = int(ends[-1]) + 1
-        text = np.zeros(n, np.int64)  # bytes from 1, terminators 0
+        has = np.bincount(data, minlength=256) > 0
+        symbols = int(has.sum())
+        self.symbol = np.where(has, np.cumsum(has), symbols + 1)  # of each byte; one number for all that don't occur
+        self.bits = symbols.bit_length()
+        text = np.zeros(n, np.int64)  # terminators are 0
         inside = np.ones(n, bool)
         inside[ends] = False
-        text[inside] = data.astype(np.int64) + 1
+        text[inside] = self.symbol[data]
         sa = self._sort(text)
         self.size = n
         same = self.equal(sa[1:], sa[:-1], depth)
         self.group_start = np.flatnonzero(np.concatenate([[True], ~same]))
+        self.groups = Marks(self.group_start, n)
         of_row = np.repeat(np.arange(len(lengths)) if owner is None else owner, lengths + 1)[sa]
         self.least_owner = np.minimum.reduceat(of_row, self.group_start)
         bwt = text[sa - 1]
         starts = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         self.run_start, self.run_char = starts, bwt[starts]
+        self.run_marks = Marks(starts, n)
         run_length = np.diff(np.append(starts, n))
         self.run_last = starts + run_length - 1
         self.first_sample, self.last_sample = sa[starts], sa[self.run_last]
-        order = np.argsort(self.run_char, kind="stable")  # runs by symbol, then place
+        order = np.argsort(self.run_char.astype(np.int16), kind="stable")  # runs by symbol, then place
         before = np.concatenate([[0], np.cumsum(run_length[order])[:-1]])
         self.lf = np.empty(len(starts), np.int64)  # row that the first row of each run maps to
         self.lf[order] = before
-        self.by_char, self.by_char_key = order, self.run_char[order] * len(starts) + order
+        self.by_char, self.char_marks = order, Marks(self.run_char[order] * len(starts) + order, (symbols + 2) * len(starts))
 
     def owners(self, rows: np.ndarray) -> np.ndarray:
         """The least owner of the texts that have the first `depth` symbols of each row."""
-        return self.least_owner[np.searchsorted(self.group_start, rows, "right") - 1]
+        return self.least_owner[self.groups.before(rows + 1) - 1]
 
     def _sort(self, text: np.ndarray) -> np.ndarray:
         """Suffix array by doubling, of which only the suffixes still equal are sorted again; ranks by at most `most` symbols stay, to compare places."""
-        n = len(text)
-        padded = np.concatenate([text, np.zeros(_PACKED, np.int64)])
+        n, self.width = len(text), _PACKED_BITS // self.bits
+        padded = np.concatenate([text, np.zeros(self.width, np.int64)])
         key = np.zeros(n, np.int64)
-        for j in range(_PACKED):
-            key = (key << 9) | padded[j : j + n]
-        #: the first symbols of each suffix in one number
+        for j in range(self.width):
+            key <<= self.bits
+            key |= padded[j : j + n]
+        #: the first `width` symbols of each suffix in one number
         self.packed = np.append(key, 0)
-        sa = np.argsort(key)
-        ordered = key[sa]
-        head = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        bits = n.bit_length()
+        low, small = (1 << bits) - 1, 3 * bits <= _SORT_BITS
+        if small:  # numbers that end in their places: sorting them is several times as fast as ordering places by them
+            both = (key & ~low) | np.arange(n)
+            both.sort()
+            sa, apart = both & low, (both[1:] ^ both[:-1]) > low
+        else:
+            sa = np.argsort(key)
+            apart = np.diff(key[sa]) != 0
+        head = np.concatenate([[True], apart])
         rank = np.empty(n + 1, np.int64)  # of a suffix, the first row of those equal so far; -1 past the end
         rank[n] = -1
         rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        self.ranks: list[tuple[int, np.ndarray]] = [(_PACKED, rank.astype(np.int32))]
-        step = _PACKED
-        while True:
-            alone = head & np.append(head[1:], True)
-            rows = np.flatnonzero(~alone)
+
+        def split(after: Callable) -> bool:
+            """Orders the suffixes still equal by a number of each, n at most; False if there are none."""
+            rows = np.flatnonzero(~(head & np.append(head[1:], True)))
             if not len(rows):
-                break
+                return False
             at = sa[rows]
-            key = rank[at] * (n + 1) + rank[np.minimum(at + step, n)] + 1
-            order = np.argsort(key)
-            sa[rows], key = at[order], key[order]
-            head[rows] = np.concatenate([[True], key[1:] != key[:-1]])
-            rank[sa[rows]] = np.maximum.accumulate(np.where(head[rows], rows, 0))
+            if small:
+                both = (rank[at] << 2 * bits) | (after(at) << bits) | np.arange(len(at))
+                both.sort()
+                order, apart = both & low, (both[1:] ^ both[:-1]) > low
+            else:
+                both = rank[at] * (n + 1) + after(at)
+                order = np.argsort(both)
+                apart = np.diff(both[order]) != 0
+            sa[rows] = at = at[order]
+            head[rows] = fresh = np.concatenate([[True], apart])
+            rank[at] = np.maximum.accumulate(np.where(fresh, rows, 0))
+            return True
+
+        if small:
+            split(lambda at: key[at] & low)
+        self.ranks: list[tuple[int, np.ndarray]] = [(self.width, rank.astype(np.int32))]
+        step = self.width
+        while split(lambda at: rank[np.minimum(at + step, n)] + 1):
             step *= 2
             if self.most is None or step <= self.most:
                 self.ranks.append((step, rank.astype(np.int32)))
@@ -104,28 +154,35 @@ class RunLengthIndex:
 
     def equal(self, p: np.ndarray, q: np.ndarray, depth: int) -> np.ndarray:
         """Whether `depth` symbols from p and q agree."""
-        if depth < _PACKED:
-            return self.packed[p] >> 9 * (_PACKED - depth) == self.packed[q] >> 9 * (_PACKED - depth)
+        if depth < self.width:
+            rest = self.bits * (self.width - depth)
+            return self.packed[p] >> rest == self.packed[q] >> rest
         step, rank = max((x for x in self.ranks if x[0] <= depth), key=lambda x: x[0])
         last = len(rank) - 1
-        out, done = np.ones(len(p), bool), 0
-        while done < depth:
-            at = min(done, depth - step)
-            out &= rank[np.minimum(p + at, last)] == rank[np.minimum(q + at, last)]
-            done = at + step
+        out = rank[p] == rank[q]
+        for done in range(step, depth, step):
+            at, still = min(done, depth - step), np.flatnonzero(out)
+            out[still] = rank[np.minimum(p[still] + at, last)] == rank[np.minimum(q[still] + at, last)]
         return out
 
     def common(self, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix at p and q, `most` at most; no terminator stands within `most` of p."""
-        out, last = np.zeros(len(p), np.int64), self.size
-        for step, rank in reversed([x for x in self.ranks if x[0] <= int(most.max(initial=0))]):
-            at, to = np.minimum(p + out, last), np.minimum(q + out, last)
-            out += step * (rank[at] == rank[to])
-        differ = self.packed[np.minimum(p + out, last)] ^ self.packed[np.minimum(q + out, last)]
-        differ &= ~(differ >> 1)  # so that no rounding changes the highest bit
-        out += (9 * _PACKED - np.frexp(differ.astype(np.float64))[1]) // 9
+        out = self._packed_common(p, q)
+        more = np.flatnonzero((out == self.width) & (most > self.width))
+        if len(more):
+            p, q, last, far = p[more], q[more], self.size, np.full(len(more), self.width)
+            for step, rank in reversed([x for x in self.ranks if x[0] <= int(most[more].max())]):
+                at, to = np.minimum(p + far, last), np.minimum(q + far, last)
+                far += step * (rank[at] == rank[to])
+            out[more] = far + self._packed_common(np.minimum(p + far, last), np.minimum(q + far, last))
         return np.minimum(out, most)
 
+    def _packed_common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Length of the longest common prefix at p and q, `width` at most."""
+        differ = self.packed[p] ^ self.packed[q]
+        differ &= ~(differ >> 1)  # so that no rounding changes the highest bit
+        return (self.bits * self.width - np.frexp(differ.astype(np.float64))[1]) // self.bits
+
     def matching_statistics(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Streams texts from their ends, all at once; each step gives (text, place, match length, row) arrays.
 
@@ -136,18 +193,17 @@ class RunLengthIndex:
         order = np.argsort(-lengths, kind="stable")
         ends, sizes = offsets[1:][order], lengths[order]
         row, length, place = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), np.full(len(order), self.first_sample[0])
-        runs = len(self.run_start)
+        runs, shorter = len(self.run_start), -sizes
         for step in range(int(sizes[0]) if len(sizes) else 0):
-            live = int(np.searchsorted(-sizes, -step, "left"))
-            c = data[ends[:live] - 1 - step].astype(np.int64) + 1
-            r = np.searchsorted(self.run_start, row[:live], "right") - 1
+            live = int(np.searchsorted(shorter, -step, "left"))
+            c = self.symbol[data[ends[:live] - 1 - step]]
+            r = self.run_marks.before(row[:live] + 1) - 1
             ahead = row[:live] - self.run_start[r]
             sample = place[:live]
             size = length[:live]
             off = np.flatnonzero(self.run_char[r] != c)
             if len(off):
-                key = c[off] * runs + r[off]
-                to = np.searchsorted(self.by_char_key, key)
+                to = self.char_marks.before(c[off] * runs + r[off])
                 has_up = to > 0
                 up = self.by_char[np.maximum(to - 1, 0)]
                 has_up &= self.run_char[up] == c[off]

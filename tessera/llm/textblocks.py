@@ -114,6 +114,11 @@ def range_hashes(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((c[ends] - c[starts]) * powers(_INVERSE, len(c))[starts])
 
 
+def next_hashes(c: np.ndarray, n: int, size: int) -> np.ndarray:
+    """`range_hashes` of the `size` bytes from each of the first n places on."""
+    return mix((c[size : size + n] - c[:n]) * powers(_INVERSE, len(c))[:n])
+
+
 #: Longer words are hashed with BLAKE2b: sums of powers modulo 2 ** 64 can be made equal on purpose where a text is long (Thue-Morse words of 1024 letters).
 POLYNOMIAL = 64
 
