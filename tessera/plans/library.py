@@ -218,7 +218,7 @@ for _detail in (4, 5):
     @query(f"verify_preset_{_detail}", _preset_sql(_detail))
     def _(spark, sf, detail=_detail):
         params = g.presets(detail << 8)[1]
-        m = candidates(spark, sf, params) if detail == 4 else matches(spark, sf)
+        m = candidates(spark, sf, params)
         found = g.agreeing(g.hypotheses(g.spread_votes(m, params), params), m, params).groupBy(*g.PAIR, *g.CELL, "place")
         found = found.agg(F.count("*").alias("nmatch"), F.count_distinct("qpt").alias("nq"), F.count_distinct("dbpt").alias("nd"), F.first("affine").alias("affine"))
         enough = (F.col("nmatch") >= params.least_after) & (F.col("nq") >= params.least_after) & (F.col("nd") >= params.least_after)
